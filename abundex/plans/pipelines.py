@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from abundex.operators import clean, exposure, normalize
 from abundex.operators.exposure import EpisodeRule
 from abundex.schemas import AbundanceSet
+from abundex.session import cut_lineage
 
 
 def clean_samples(
@@ -37,6 +38,8 @@ def clean_samples(
         counts = scaled.withColumnRenamed("norm_count", "read_count")
         samples = clean.drop_empty_samples(samples, counts)
     if rarefy_depth > 0:
+        # Sizes, slices and starts all read the counts: write the merged table once.
+        counts, samples = cut_lineage(counts), cut_lineage(samples)
         counts = normalize.rarefy(counts, rarefy_depth, seed)
         samples = clean.drop_empty_samples(samples, counts)
     return clean.reconcile_keys(AbundanceSet(counts, samples, data.taxonomy))
