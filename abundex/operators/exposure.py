@@ -191,9 +191,13 @@ def exposure_lags(days: DataFrame, max_lag: int) -> DataFrame:
     without exposure per lag.
     """
     record = Window.partitionBy("subject_id").orderBy("study_day")
-    sets = F.array(*(F.lag("abx", n).over(record) if n else F.col("abx") for n in range(max_lag + 1)))
-    return days.select(*DAY_KEYS, F.posexplode(sets).alias("day_lag", "_abx")).select(
-        *DAY_KEYS, "day_lag", F.explode_outer("_abx").alias("abx_b")
+    sets = F.array(
+        "abx", *(F.lag("abx", n).over(record) for n in range(1, max_lag + 1))
+    )
+    return (
+        days.select(*DAY_KEYS, sets.alias("_sets"))
+        .select(*DAY_KEYS, F.posexplode("_sets").alias("day_lag", "_abx"))
+        .select(*DAY_KEYS, "day_lag", F.explode_outer("_abx").alias("abx_b"))
     )
 
 

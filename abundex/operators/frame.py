@@ -20,6 +20,7 @@ from abundex.operators.diversity import hill_diversity, lagged_response, respons
 from abundex.operators.exposure import DAY_KEYS, indicator
 from abundex.operators.reshape import unnest
 from abundex.schemas import ModelFrame
+from abundex.session import cut_lineage
 
 SPECIMEN_COLUMNS = ("specimen_id2", "subject_id", "specimen_type", "study_day")
 
@@ -107,13 +108,19 @@ def model_frame(
     max_lag: int | None = 3,
     max_continuous: int | None = None,
     check: bool = False,
+    write: bool = True,
 ) -> ModelFrame:
     """The frame of one specimen type.
 
     ``response`` is ``D1_delta`` (ratio to the previous specimen) or ``D1`` (with
     D1_lag as a predictor). ``max_continuous`` switches k from lag to run length.
+    The responses feed the keep rule, the observations and the design; ``write``
+    puts them in the shared folder once instead of computing D1 and the history
+    for each of those.
     """
     responses = response_rows(samples, diversity, history, specimen_type)
+    if write:
+        responses = cut_lineage(responses)
     rows = exposure_rows(responses, max_lag, max_continuous)
     kept = exposure_keep_rule(rows, min_subjects, min_median)
     rows = keep_subjects(rows, kept)
