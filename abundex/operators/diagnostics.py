@@ -68,9 +68,9 @@ def check_treedepth(sampler: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame
 def energy_diff(sampler: DataFrame) -> DataFrame:
     """Energy minus the previous iteration's, inside each chain; NULL at its start."""
     sliced = sampler.withColumn("_slice", block_slice(F.col("iteration")))
-    lagged = lag_in_slices(sliced, ["chain"], "_slice", ["iteration"], "energy", "_before")
-    return lagged.withColumn("energy_diff", F.col("energy") - F.col("_before")).drop(
-        "_slice", "_before"
+    lagged = lag_in_slices(sliced, ["chain"], "_slice", ["iteration"], "energy", "_last_energy")
+    return lagged.withColumn("energy_diff", F.col("energy") - F.col("_last_energy")).drop(
+        "_slice", "_last_energy"
     )
 
 
@@ -296,7 +296,8 @@ def khat(
     positive = ranks.join(stats.filter(F.col("_min") > 0), keys)
     tried = (
         positive.select("*", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("_m"))
-        .groupBy(*keys, "_n", candidate.alias("_b"))
+        .withColumn("_b", candidate)
+        .groupBy(*keys, "_n", "_b")
         .agg(F.sum(F.col("_freq") * F.ln(F.lit(1.0) - F.col("_b") * F.col(value))).alias("_s"))
     )
     k = -F.col("_s") / n
