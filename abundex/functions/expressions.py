@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +54,16 @@ def indexed(base: str, *index: str) -> Column:
     return F.concat(F.lit(f"{base}["), F.concat_ws(",", *(F.col(c) for c in index)), F.lit("]"))
 
 
+def bisect(values: Column, passed: Callable[[Column], Column], longest: int) -> Column:
+    """How many leading entries of a sorted array pass, for arrays up to ``longest``."""
+    steps = F.array(*(F.lit(1 << bit) for bit in reversed(range(longest.bit_length()))))
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(passed(F.get(values, at + step - 1)), at + step).otherwise(at),
+    )
+
+
 def join_null_safe(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left"
 ) -> DataFrame:

@@ -3,7 +3,7 @@
 A plain window sends each group to one task. Here a group is cut into slices that
 follow its order; the window runs inside a slice, and what a slice needs from the
 earlier ones comes from a table with one row per slice, joined back on the group
-and the slice. The caller picks a slice column that bounds the rows of a slice
+and the slice. Group and slice columns must not be NULL. The caller picks a slice column that bounds the rows of a slice
 (a day, a block of consecutive iterations, a hash prefix) and never decreases along the order.
 """
 
@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import join_null_safe
-
 ITERATIONS_PER_SLICE = 65_536
 
 
@@ -53,7 +51,7 @@ def lag_in_slices(
         .drop("_last")
     )
     return (
-        join_null_safe(rows, carried, [*keys, slice_col])
+        rows.join(carried, [*keys, slice_col], "left")
         .withColumn(out, F.coalesce("_before", "_carried")[value])
         .drop("_before", "_carried")
     )
@@ -78,13 +76,13 @@ def running_sum(
         Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        df.groupBy(*keys, slice_col)
+        rows.groupBy(*keys, slice_col)
         .agg(F.sum(value).alias("_slice_sum"))
         .withColumn("_offset", F.coalesce(F.sum("_slice_sum").over(along), F.lit(0)))
         .drop("_slice_sum")
     )
     return (
-        join_null_safe(rows, offsets, [*keys, slice_col])
+        rows.join(offsets, [*keys, slice_col], "left")
         .withColumn(out, F.col("_within") + F.col("_offset"))
         .drop("_within", "_offset")
     )

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abundex.functions.expressions import bisect
 from abundex.functions.ordered import running_sum
 
 GROUP_ROWS = 2_000_000
@@ -27,16 +28,6 @@ def oversized_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFram
     return sizes.filter(F.col("_rows") > limit)
 
 
-def _slice_of(value: Column, cuts: Column) -> Column:
-    """Number of cut points at or below ``value``, by bisection."""
-    steps = F.array(*(F.lit(MAX_SLICES * 2 >> i) for i in range(MAX_SLICES.bit_length() + 1)))
-    return F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(F.get(cuts, at + step - 1) <= value, at + step).otherwise(at),
-    )
-
-
 def slice_by_value(
     values: DataFrame, keys: Sequence[str], value: str, limit: int, big: DataFrame
 ) -> DataFrame:
@@ -61,20 +52,26 @@ def slice_by_value(
     return (
         values.join(cuts, list(keys), "left")
         .withColumn(
-            "_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(_slice_of(F.col(value), F.col("_cuts")))
+            "_slice",
+            F.when(F.col("_cuts").isNull(), 0).otherwise(
+                bisect(F.col("_cuts"), lambda cut: cut <= F.col(value), 2 * MAX_SLICES)
+            ),
         )
         .drop("_cuts")
     )
 
 
 def value_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, limit: int | None = GROUP_ROWS
 ) -> DataFrame:
-    """Distinct values per group with ``_freq`` and ``_rank``, the number of rows at or below."""
+    """Distinct values per group with ``_freq`` and ``_rank``, the number of rows at or below.
+
+    ``limit=None`` states that the groups are small.
+    """
     known = df.filter(F.col(value).isNotNull())
     values = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_freq"))
-    big = oversized_groups(known, keys, limit)
-    if big.isEmpty():
+    big = None if limit is None else oversized_groups(known, keys, limit)
+    if big is None or big.isEmpty():
         upwards = Window.partitionBy(*keys).orderBy(value)
         return values.withColumn("_rank", F.sum("_freq").over(upwards))
     sliced = slice_by_value(values, keys, value, limit, big)

@@ -103,26 +103,32 @@ def flag_duplicates(samples: DataFrame, keys: Sequence[str] = REPEAT_KEYS) -> Da
     )
 
 
-def merge_duplicates(
-    samples: DataFrame, counts: DataFrame, keys: Sequence[str] = REPEAT_KEYS
-) -> tuple[DataFrame, DataFrame]:
-    """Sum the counts of repeated specimens; the first specimen's metadata is kept."""
-    flagged = flag_duplicates(samples, keys)
-    first = F.min_by(
-        F.struct(*(c for c in samples.columns if c != "specimen_id2")),
-        F.col("specimen_id2").cast("string"),
-    )
-    merged_samples = (
+def merged_samples(flagged: DataFrame) -> DataFrame:
+    """One row per ``specimen_id3``, with the metadata of its first specimen."""
+    metadata = [c for c in flagged.columns if c not in ("specimen_id2", "specimen_id3")]
+    first = F.min_by(F.struct(*metadata), F.col("specimen_id2").cast("string"))
+    return (
         flagged.groupBy(F.col("specimen_id3").alias("specimen_id2"))
         .agg(first.alias("_first"))
         .select("specimen_id2", "_first.*")
     )
-    merged_counts = (
+
+
+def merged_counts(counts: DataFrame, flagged: DataFrame) -> DataFrame:
+    """Counts summed per ``specimen_id3``; specimens that are not in ``flagged`` drop."""
+    return (
         counts.join(flagged.select("specimen_id2", "specimen_id3"), "specimen_id2")
         .groupBy(F.col("specimen_id3").alias("specimen_id2"), "otu_id")
         .agg(F.sum("read_count").alias("read_count"))
     )
-    return merged_samples, merged_counts
+
+
+def merge_duplicates(
+    samples: DataFrame, counts: DataFrame, keys: Sequence[str] = REPEAT_KEYS
+) -> tuple[DataFrame, DataFrame]:
+    """Sum the counts of repeated specimens; the first specimen's metadata is kept."""
+    flagged = flag_duplicates(samples, keys)
+    return merged_samples(flagged), merged_counts(counts, flagged)
 
 
 def samples_with_exposure(

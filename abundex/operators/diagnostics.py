@@ -15,7 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abundex.functions.ordered import block_slice, lag_in_slices, row_number_in_slices
-from abundex.functions.quantiles import GROUP_ROWS, group_quantiles, value_at_rank, value_ranks
+from abundex.functions.quantiles import (
+    GROUP_ROWS,
+    group_quantiles,
+    oversized_groups,
+    value_at_rank,
+    value_ranks,
+)
 from abundex.session import cut_lineage
 
 # Thresholds of the checks, and the warning behind each bit of the code.
@@ -269,7 +275,7 @@ def check_n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataF
 
 
 def khat(
-    df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_ROWS
+    df: DataFrame, keys: Sequence[str], value: str, limit: int | None = GROUP_ROWS
 ) -> DataFrame:
     """Tail index of a generalised Pareto fit to the positive values of each group.
 
@@ -323,6 +329,8 @@ def khat(
 
 def tail_khats(draws: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     """Tail index left and right of the median, per parameter; (0, 0) when the median is an extreme."""
+    if oversized_groups(draws, ["parameter"], limit).isEmpty():
+        limit = None
     middle = group_quantiles(draws, ["parameter"], ["value"], [0.5], limit).select(
         "parameter", F.col("value")[0].alias("_median")
     )

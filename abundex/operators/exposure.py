@@ -118,11 +118,14 @@ def episode_rekey(
     ).select(*df.columns)
 
 
-def coformulation_map(
-    names: Column, combined: Mapping[str, str] = COFORMULATIONS
-) -> Column:
-    """Replace the components that stand for a combined product (array of names)."""
-    return F.array_distinct(F.transform(names, lambda name: recoded(name, combined)))
+def coformulation_map(name: Column, combined: Mapping[str, str] = COFORMULATIONS) -> Column:
+    """The combined product a component stands for, or the name itself."""
+    return recoded(name, combined)
+
+
+def always_dropped(name: Column, dropped: Sequence[str] = ALWAYS_DROPPED) -> Column:
+    """True for the listed names; NULL is not one of them."""
+    return F.coalesce(name.isin(list(dropped)), F.lit(False))
 
 
 def suppress_components(
@@ -132,15 +135,12 @@ def suppress_components(
     if not suppressed_by:
         return names
     combination = F.create_map(*(F.lit(x) for pair in suppressed_by.items() for x in pair))
-    hidden = lambda name: F.coalesce(
-        F.array_contains(names, F.try_element_at(combination, name)), F.lit(False)
+    return F.filter(
+        names,
+        lambda name: ~F.coalesce(
+            F.array_contains(names, F.try_element_at(combination, name)), F.lit(False)
+        ),
     )
-    return F.filter(names, lambda name: ~hidden(name))
-
-
-def drop_always(names: Column, dropped: Sequence[str] = ALWAYS_DROPPED) -> Column:
-    """Drop the listed names; NULL entries stay."""
-    return F.filter(names, lambda name: ~F.coalesce(name.isin(list(dropped)), F.lit(False)))
 
 
 def exposure_days(
@@ -152,26 +152,32 @@ def exposure_days(
 ) -> DataFrame:
     """One row per key with the array ``abx`` of its cleaned exposure names.
 
-    Cells are split, and a day's names collected as a set, so the array is never
-    longer than the list of known exposures. A NULL entry stands for a record
-    without exposure. Days whose names are all dropped vanish.
+    Cells are split, names mapped and dropped row by row, and the rest collected as
+    a set before and after the shuffle, so the array is never longer than the list
+    of known exposures. A NULL entry stands for a record without exposure. Days
+    whose names are all dropped vanish. A dropped name that still has to suppress
+    another one is taken out last.
     """
     tokens = F.when(F.col("abx_b").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
         names_in_cell(F.col("abx_b"))
     )
+    needed = set(suppressed_by.values())
+    early = [name for name in dropped if name not in needed]
+    late = [name for name in dropped if name in needed]
+    name = F.col("_name")
     sets = (
         exposures.select(*keys, F.explode(tokens).alias("_name"))
+        .withColumn("_name", coformulation_map(name, combined))
+        .filter(~always_dropped(name, early))
         .groupBy(*keys)
         .agg(F.collect_set(F.struct("_name")).alias("_set"))
-        .select(*keys, F.col("_set._name").alias("abx"))
+        .select(*keys, suppress_components(F.col("_set._name"), suppressed_by).alias("abx"))
     )
-    for step in (
-        coformulation_map(F.col("abx"), combined),
-        suppress_components(F.col("abx"), suppressed_by),
-        drop_always(F.col("abx"), dropped),
-    ):
-        sets = sets.withColumn("abx", step)
-    return sets.filter(F.size("abx") > 0).withColumn("abx", F.sort_array("abx"))
+    if late:
+        sets = sets.withColumn("abx", F.filter("abx", lambda n: ~always_dropped(n, late))).filter(
+            F.size("abx") > 0
+        )
+    return sets.withColumn("abx", F.sort_array("abx"))
 
 
 def indicator(df: DataFrame, col: str = "abx_b") -> DataFrame:
@@ -299,8 +305,15 @@ def exposure_runs_per_day(days: DataFrame, max_lag: int) -> DataFrame:
 
 
 def attach_counts(history: DataFrame, agg: DataFrame) -> DataFrame:
-    """Exposure history with the melted counts of the same subject and day."""
-    return history.join(agg, list(DAY_KEYS), "left")
+    """Exposure history with the melted counts of the same subject and day.
+
+    The days without counts are added separately: an inner join can be split where
+    one day holds much of the counts, an outer join that keeps the history cannot.
+    """
+    keys = list(DAY_KEYS)
+    counted = history.join(agg, keys)
+    rest = history.join(agg.select(*keys).distinct(), keys, "left_anti")
+    return counted.unionByName(rest, allowMissingColumns=True)
 
 
 def history_rows(record: DataFrame) -> DataFrame:

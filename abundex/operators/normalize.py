@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abundex.functions.expressions import bisect
 from abundex.functions.ordered import hash_order, hash_slice
 from abundex.functions.quantiles import median_of_counts
 from abundex.operators.clean import drop_low_feature_samples, sample_sums
@@ -12,11 +13,19 @@ from abundex.operators.clean import drop_low_feature_samples, sample_sums
 FEATURES_PER_SLICE = 100_000
 
 
-def read_position(specimen: Column, draw: Column, total: Column, seed: int) -> Column:
-    """A read number in ``0 … total-1`` that depends only on specimen, draw and seed."""
+def read_position(
+    specimen: Column, draw: Column, total: Column, seed: int, whole: bool = True
+) -> Column:
+    """A place in ``[0, total)`` that depends only on specimen, draw and seed.
+
+    For whole counts, exactly: ``floor(h * total / 2^32)`` with a 32-bit hash ``h``.
+    """
     text = F.concat_ws("|", specimen.cast("string"), draw.cast("string"), F.lit(str(seed)))
-    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("decimal(20,0)")
-    return F.floor(word * total / F.lit(2**32).cast("decimal(20,0)")).cast("long")
+    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10)
+    if not whole:
+        return word.cast("double") / F.lit(2.0**32) * total
+    scaled = word.cast("decimal(20,0)") * total / F.lit(2**32).cast("decimal(20,0)")
+    return F.floor(scaled).cast("long")
 
 
 def rarefy(
@@ -27,86 +36,64 @@ def rarefy(
 ) -> DataFrame:
     """Draw ``depth`` reads with replacement from each specimen that has as many.
 
-    A specimen's reads are laid end to end, feature after feature in hash order;
-    each draw picks a position. Positions and feature starts are sorted together
-    and every draw takes the last start before it, so no draw meets a feature it
-    did not hit. Specimens with many features are cut into hash slices first.
+    A specimen's reads are laid end to end, feature after feature in hash order; a
+    feature gets as many reads as drawn places fall between its start and its end.
+    The places of a specimen are one sorted array of ``depth`` numbers, looked up by
+    bisection, so neither draws nor pairs of draw and feature become rows.
+    Specimens with many features are cut into hash slices, each with the places
+    that fall into it.
     """
-    filled = counts.filter(F.col("read_count") > 0)
-    sizes = filled.groupBy("specimen_id2").agg(
-        F.sum("read_count").alias("total"), F.count(F.lit(1)).alias("_features")
-    )
-    deep = sizes.filter(F.col("total") >= depth)
-    sliced = (
-        filled.join(deep, "specimen_id2")
-        .withColumn("_order", hash_order(F.col("otu_id")))
-        .withColumn(
-            "_slice",
-            F.when(
-                F.col("_features") > features_per_slice, hash_slice(F.col("otu_id"))
-            ).otherwise(""),
-        )
+    whole = counts.schema["read_count"].dataType.typeName() not in ("double", "float")
+    filled = counts.filter((F.col("read_count") > 0) & F.col("specimen_id2").isNotNull())
+    deep = (
+        filled.groupBy("specimen_id2")
+        .agg(F.sum("read_count").alias("_total"), F.count(F.lit(1)).alias("_features"))
+        .filter(F.col("_total") >= depth)
     )
+    many = F.col("_features") > features_per_slice
     key = ["specimen_id2", "_slice"]
-    reads = sliced.groupBy(*key).agg(F.sum("read_count").alias("_reads"))
-    ends = reads.withColumn(
-        "_end",
-        F.sum("_reads").over(Window.partitionBy("specimen_id2").orderBy("_slice")),
+    inside = Window.partitionBy(*key).orderBy("_order").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    starts = ends.select(*key, (F.col("_end") - F.col("_reads")).alias("_start"), "_reads")
-    inside = Window.partitionBy(*key).orderBy("_order").rowsBetween(Window.unboundedPreceding, -1)
-    features = sliced.select(
-        *key,
-        "otu_id",
-        F.coalesce(F.sum("read_count").over(inside), F.lit(0)).alias("_at"),
+    features = (
+        filled.join(deep.select("specimen_id2", "_features"), "specimen_id2")
+        .select(
+            "specimen_id2",
+            F.when(many, hash_slice(F.col("otu_id"))).otherwise("").alias("_slice"),
+            hash_order(F.col("otu_id")).alias("_order"),
+            "otu_id",
+            "read_count",
+        )
+        .withColumn("_end", F.sum("read_count").over(inside))
     )
-    drawn = deep.select(
-        "specimen_id2", "total", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))).alias("_draw")
-    ).select(
-        "specimen_id2",
-        read_position(F.col("specimen_id2"), F.col("_draw"), F.col("total"), seed).alias("_at"),
+    along = Window.partitionBy("specimen_id2")
+    total, last = F.sum("_reads").over(along), F.sum("_reads").over(along.orderBy("_slice"))
+    slices = (
+        features.groupBy(*key)
+        .agg(F.max("_end").alias("_reads"))
+        .withColumns({"_total": total, "_last": last})
+        .withColumn("_first", F.col("_last") - F.col("_reads"))
     )
-    placed = _draws_in_slices(drawn, starts)
-    both = features.withColumn("_is_draw", F.lit(0)).unionByName(
-        placed.withColumns({"otu_id": F.lit(None).cast(counts.schema["otu_id"].dataType), "_is_draw": F.lit(1)})
+    places = F.transform(
+        F.sequence(F.lit(0), F.lit(depth - 1)),
+        lambda draw: read_position(F.col("specimen_id2"), draw, F.col("_total"), seed, whole),
     )
-    so_far = (
-        Window.partitionBy(*key)
-        .orderBy("_at", "_is_draw")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    mine = F.filter(
+        "_all", lambda place: (place >= F.col("_first")) & (place < F.col("_last"))
     )
-    return (
-        both.withColumn("_hit", F.last("otu_id", ignorenulls=True).over(so_far))
-        .filter(F.col("_is_draw") == 1)
-        .groupBy("specimen_id2", F.col("_hit").alias("otu_id"))
-        .agg(F.count(F.lit(1)).alias("read_count"))
+    drawn = slices.withColumn("_all", places).select(
+        *key, F.sort_array(F.transform(mine, lambda place: place - F.col("_first"))).alias("_drawn")
     )
 
+    def below(end: Column) -> Column:
+        return bisect(F.col("_drawn"), lambda place: place < end, depth)
 
-def _draws_in_slices(drawn: DataFrame, starts: DataFrame) -> DataFrame:
-    """Give each draw its slice and its position in it; a specimen has at most 4,096 slices."""
-    ordered = Window.partitionBy("specimen_id2").orderBy("_at", "_is_draw").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    both = starts.select(
-        "specimen_id2", F.col("_start").alias("_at"), F.lit(0).alias("_is_draw"), "_slice"
-    ).unionByName(
-        drawn.select("specimen_id2", "_at", F.lit(1).alias("_is_draw"), F.lit(None).cast("string").alias("_slice"))
-    )
-    start = F.when(F.col("_is_draw") == 0, F.col("_at"))
+    hits = below(F.col("_end")) - below(F.col("_end") - F.col("read_count"))
     return (
-        both.withColumns(
-            {
-                "_in": F.last("_slice", ignorenulls=True).over(ordered),
-                "_from": F.last(start, ignorenulls=True).over(ordered),
-            }
-        )
-        .filter(F.col("_is_draw") == 1)
-        .select(
-            "specimen_id2",
-            F.col("_in").alias("_slice"),
-            (F.col("_at") - F.col("_from")).alias("_at"),
-        )
+        features.join(drawn, key)
+        .select("specimen_id2", "otu_id", hits.cast("long").alias("_hits"))
+        .filter(F.col("_hits") > 0)
+        .withColumnRenamed("_hits", "read_count")
     )
 
 

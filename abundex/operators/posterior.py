@@ -123,10 +123,22 @@ def median_qi(
     return found.select(*keys, *columns)
 
 
-def scale_summary(draws: DataFrame, width: float = 0.5, spec: str = "s_abx2[j]") -> DataFrame:
+def interval_limit(draws: DataFrame, scalar: str = "a", limit: int = GROUP_ROWS) -> int | None:
+    """The ``limit`` for ``median_qi`` over indexed parameters of these draws.
+
+    A parameter has one value per draw, so the draws of one scalar parameter, a
+    pushed-down filter and a count, bound the groups of all others.
+    """
+    few = draws.filter(F.col("parameter") == scalar).count() <= limit
+    return None if few else limit
+
+
+def scale_summary(
+    draws: DataFrame, width: float = 0.5, spec: str = "s_abx2[j]", limit: int | None = GROUP_ROWS
+) -> DataFrame:
     """Interval of an indexed scale parameter."""
     name, index = _parse(spec)
-    return median_qi(spread_draws(draws, spec), index, [name], width)
+    return median_qi(spread_draws(draws, spec), index, [name], width, limit)
 
 
 def cumulative_effect(
@@ -199,7 +211,11 @@ def effect_table(
     """Effect ratio per subject, exposure and k, for the observed combinations."""
     spread = spread_draws(draws, "a", "b_lag", "a_subj[i]", "b_abx2[i,j,k]")
     effects = median_qi(
-        effect_contrast(spread, reference_lag=reference_lag), ["i", "j", "k"], ["difference"], width
+        effect_contrast(spread, reference_lag=reference_lag),
+        ["i", "j", "k"],
+        ["difference"],
+        width,
+        interval_limit(draws),
     )
     named = labelled(labelled(effects, subject_index, "i", "subjects"), exposure_index, "j", "abx_lag")
     result = observed_combos(named, observed_distinct(rows))

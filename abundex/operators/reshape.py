@@ -121,7 +121,9 @@ def complete(df: DataFrame, columns: Sequence[str], fill: Mapping[str, object])
         grid = grid.select("*", F.explode(seen.scalar()).alias("_value")).select(
             *grid.columns, F.col(f"_value.{label}").alias(label)
         )
-    filled = join_null_safe(grid, df, columns)
-    return filled.withColumns(
+    missing = join_null_safe(grid, df.select(*columns).distinct(), columns, "left_anti")
+    filled = missing.withColumns({name: F.lit(value) for name, value in fill.items()})
+    present = df.withColumns(
         {name: F.coalesce(F.col(name), F.lit(value)) for name, value in fill.items()}
     )
+    return present.unionByName(filled, allowMissingColumns=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from abundex.operators import clean, exposure, normalize
 from abundex.operators.exposure import EpisodeRule
@@ -20,29 +21,29 @@ def clean_samples(
     seed: int = 1988,
     pattern: str = "Culture",
 ) -> AbundanceSet:
-    """Reconcile, select, merge repeats, keep exposed samples, then scale or rarefy.
+    """Select samples, merge repeats, keep exposed ones, then scale and/or rarefy.
 
-    Scaling and rarefying exclude each other here: draws are made from counts.
+    All selection happens on the sample table. The counts are read once for the
+    specimens that have any, and joined once, with the samples that are left.
     """
-    if scale_counts and rarefy_depth > 0:
-        raise ValueError("rarefaction draws whole reads; set rarefy_depth=0 to scale counts")
-    data = clean.reconcile_keys(data)
     samples = clean.drop_null_subject(data.samples)
     samples = clean.drop_by_pattern(samples, pattern)
     samples = clean.drop_empty_samples(samples, data.counts)
-    samples, counts = clean.merge_duplicates(samples, data.counts)
-    samples = clean.samples_with_exposure(samples, exposures)
-    counts = counts.join(samples.select("specimen_id2"), "specimen_id2", "left_semi")
+    flagged = clean.flag_duplicates(samples)
+    samples = clean.samples_with_exposure(clean.merged_samples(flagged), exposures)
+    left = samples.select(F.col("specimen_id2").alias("specimen_id3"))
+    counts = clean.merged_counts(data.counts, flagged.join(left, "specimen_id3", "left_semi"))
     if scale_counts:
-        scaled = normalize.css_samples(samples, counts)
-        counts = scaled.withColumnRenamed("norm_count", "read_count")
+        counts = normalize.css_samples(samples, counts).withColumnRenamed(
+            "norm_count", "read_count"
+        )
         samples = clean.drop_empty_samples(samples, counts)
     if rarefy_depth > 0:
         # Sizes, slices and starts all read the counts: write the merged table once.
-        counts, samples = cut_lineage(counts), cut_lineage(samples)
-        counts = normalize.rarefy(counts, rarefy_depth, seed)
+        counts = normalize.rarefy(cut_lineage(counts), rarefy_depth, seed)
         samples = clean.drop_empty_samples(samples, counts)
-    return clean.reconcile_keys(AbundanceSet(counts, samples, data.taxonomy))
+    taxonomy = data.taxonomy.join(counts.select("otu_id").distinct(), "otu_id", "left_semi")
+    return AbundanceSet(counts, samples, taxonomy)
 
 
 def exposure_history(

@@ -101,9 +101,13 @@ def _flat(df: DataFrame, column: str = "abx") -> DataFrame:
     return df.select("subject_id", "collection_date", F.explode(column).alias("abx_b"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    return reshape.separate_exposures(r.event_exposures(spark, d))
+
+
 def x1_coformulation_map(spark: SparkSession, d: str) -> DataFrame:
-    mapped = exposure.coformulation_map(F.col("abx"), r.COMBINED)
-    return _flat(_sets(spark, d).withColumn("abx", mapped))
+    mapped = exposure.coformulation_map(F.col("abx_b"), r.COMBINED)
+    return _names(spark, d).withColumn("abx_b", mapped).distinct()
 
 
 def x2_suppress_components(spark: SparkSession, d: str) -> DataFrame:
@@ -112,8 +116,7 @@ def x2_suppress_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def x3_always_drop(spark: SparkSession, d: str) -> DataFrame:
-    kept = exposure.drop_always(F.col("abx"), r.DROPPED)
-    return _flat(_sets(spark, d).withColumn("abx", kept))
+    return _names(spark, d).filter(~exposure.always_dropped(F.col("abx_b"), r.DROPPED))
 
 
 def x4_indicator(spark: SparkSession, d: str) -> DataFrame:

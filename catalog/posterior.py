@@ -72,7 +72,8 @@ def b1_cumulative(spark: SparkSession, d: str) -> DataFrame:
 
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     contrast = posterior.effect_contrast(_spread(spark, d))
-    return posterior.median_qi(contrast, ["i", "j", "k"], ["b_abx2", "difference"], WIDTH)
+    limit = posterior.interval_limit(r.draws(spark, d))
+    return posterior.median_qi(contrast, ["i", "j", "k"], ["b_abx2", "difference"], WIDTH, limit)
 
 
 def b2_median_qi(spark: SparkSession, d: str) -> DataFrame:
