@@ -213,7 +213,10 @@ def _ess_from_sums(sums: DataFrame, chains: DataFrame) -> DataFrame:
     pairs = (
         by_lag.withColumn("_rho", rho)
         .groupBy("parameter", "_total", "_length", F.floor(F.col("lag") / 2).alias("_pair"))
-        .agg(F.sum("_rho").alias("_sum"), F.count(F.lit(1)).alias("_size"))
+        .agg(
+            F.when(F.count("_rho") == 2, F.sum("_rho")).alias("_sum"),
+            F.count(F.lit(1)).alias("_size"),
+        )
         .filter(F.col("_size") == 2)
     )
     upto = Window.partitionBy("parameter").orderBy("_pair")
@@ -261,7 +264,7 @@ def n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataFrame:
         )
         if going_on.isEmpty():
             break
-        left = centred.join(going_on.select("parameter"), "parameter", "left_semi")
+        left = cut_lineage(left.join(going_on.select("parameter"), "parameter", "left_semi"))
     if sums is None:
         raise ValueError("no draws")
     return _ess_from_sums(sums, chains).select("parameter", "n_eff", F.col("_total").alias("n_draws"))
