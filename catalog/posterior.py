@@ -258,9 +258,13 @@ def b10_gram_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def b11_conditional_fit(spark: SparkSession, d: str) -> DataFrame:
+    """One fit for the subjects with even and one for those with odd numbers."""
     built = e._continuous(spark, d)
+    even = F.substring("subjects", -1, 1).isin("0", "2", "4", "6", "8")
     gram = model.gram_statistics(
-        built.obs.withColumn("model", F.lit(e.TYPE)), built.design, ["model", "subjects"]
+        built.obs.withColumn("model", F.when(even, "even").otherwise("odd")),
+        built.design,
+        ["model", "subjects"],
     )
     found = model.conditional_map_fit(gram, VARIANTS["3.5"], Scales(0.4, 0.5, 0.5))
     return rounded(found, "value")
