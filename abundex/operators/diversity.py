@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from abundex.functions.expressions import join_null_safe
 from abundex.functions.ordered import lag_in_slices
 from abundex.operators.reshape import complete
+from abundex.session import cut_lineage
 
 GROUP = ("subject_id", "specimen_type")
 SAMPLE_COLUMNS = ("specimen_id2", "subject_id", "specimen_type", "study_day")
@@ -36,15 +37,24 @@ def specimen_diversity(samples: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def baseline_rows(
-    df: DataFrame, keys: Sequence[str] = GROUP, day: str = "study_day"
+    df: DataFrame,
+    keys: Sequence[str] = GROUP,
+    day: str = "study_day",
+    measured: str | None = None,
 ) -> DataFrame:
-    """Rows at the group's smallest day; ties are all kept."""
-    first = df.groupBy(*keys).agg(F.min(day).alias(day))
+    """Rows at the group's smallest day; ties are all kept.
+
+    ``measured`` names a column that has to be there for a day to count. Naming the
+    computed column also makes both uses of ``df`` need the same aggregate, which
+    Spark then shuffles once.
+    """
+    counted = F.col(day) if measured is None else F.when(F.col(measured).isNotNull(), F.col(day))
+    first = df.groupBy(*keys).agg(F.min(counted).alias(day))
     return join_null_safe(df, first, [*keys, day], "left_semi")
 
 
 def baseline_diversity(samples: DataFrame, counts: DataFrame) -> DataFrame:
-    return baseline_rows(specimen_diversity(samples, counts)).select(
+    return baseline_rows(specimen_diversity(samples, counts), measured="D1").select(
         *GROUP, F.col("D1").alias("D1_start")
     )
 
@@ -113,20 +123,26 @@ def taxon_proportion(counts: DataFrame, taxonomy: DataFrame, genus: str) -> Data
 def starting_stain_proportions(
     samples: DataFrame, counts: DataFrame, taxonomy: DataFrame, stains: DataFrame
 ) -> DataFrame:
-    """Stain shares at baseline, with 0 for the combinations that do not occur."""
+    """Stain shares at baseline, with 0 for the combinations that do not occur.
+
+    The few baseline rows are written before they are completed, which reads them
+    several times.
+    """
     shares = stain_proportions(genus_proportions(counts, taxonomy), stains)
-    start = baseline_rows(shares.join(samples.select(*SAMPLE_COLUMNS), "specimen_id2"))
+    dated = shares.join(samples.select(*SAMPLE_COLUMNS), "specimen_id2")
+    start = baseline_rows(dated, measured="stain_prop")
     columns = start.select(
         F.col("subject_id").alias("subjects"), "specimen_type", "stain", "stain_prop", "study_day"
     )
-    return complete(columns, ["subjects", "specimen_type", "stain"], {"stain_prop": 0.0})
+    return complete(cut_lineage(columns), ["subjects", "specimen_type", "stain"], {"stain_prop": 0.0})
 
 
 def starting_taxon_proportion(
     samples: DataFrame, counts: DataFrame, taxonomy: DataFrame, genus: str
 ) -> DataFrame:
     shares = taxon_proportion(counts, taxonomy, genus)
-    start = baseline_rows(shares.join(samples.select(*SAMPLE_COLUMNS), "specimen_id2"))
+    dated = shares.join(samples.select(*SAMPLE_COLUMNS), "specimen_id2")
+    start = baseline_rows(dated, measured="taxon_prop")
     return start.select(
         F.col("subject_id").alias("subjects"), "specimen_type", "study_day", "taxon_prop"
     )
@@ -135,7 +151,8 @@ def starting_taxon_proportion(
 def dominant_taxon(samples: DataFrame, counts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """The largest genus, and its share, at each subject's baseline."""
     shares = genus_proportions(counts, taxonomy).filter(F.col("Genus").isNotNull())
-    start = baseline_rows(shares.join(samples.select(*SAMPLE_COLUMNS), "specimen_id2"))
+    dated = shares.join(samples.select(*SAMPLE_COLUMNS), "specimen_id2")
+    start = baseline_rows(dated, measured="genus_prop")
     best = F.min(F.struct((-F.col("genus_prop")).alias("_rest"), F.col("Genus")))
     return (
         start.groupBy(*GROUP)

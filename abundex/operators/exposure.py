@@ -47,9 +47,13 @@ class EpisodeRule:
 
 
 def subject_span(samples: DataFrame) -> DataFrame:
-    """Enrolment and exit date per subject."""
-    last = samples.groupBy("subject_id").agg(F.max("collection_date").alias("exit_date"))
-    return samples.select("subject_id", "enroll_date").distinct().join(last, "subject_id")
+    """Enrolment and exit date per subject.
+
+    The window sees one row per subject and enrolment date.
+    """
+    ends = samples.groupBy("subject_id", "enroll_date").agg(F.max("collection_date").alias("_end"))
+    last = F.max("_end").over(Window.partitionBy("subject_id"))
+    return ends.select("subject_id", "enroll_date", last.alias("exit_date"))
 
 
 def exposure_right_join(spans: DataFrame, exposures: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from abundex.functions.expressions import bisect
 from abundex.functions.ordered import hash_order, hash_slice
 from abundex.functions.quantiles import median_of_counts
-from abundex.operators.clean import drop_low_feature_samples, sample_sums
 
 FEATURES_PER_SLICE = 100_000
 
@@ -97,32 +96,35 @@ def rarefy(
     )
 
 
-def css_normalize(counts: DataFrame, p: float = 0.5, sl: float = 1000.0) -> DataFrame:
+def css_normalize(
+    counts: DataFrame, p: float = 0.5, sl: float = 1000.0, min_features: int = 1
+) -> DataFrame:
     """Divide each count by its specimen's sum of counts up to the ``p`` quantile, times ``sl``.
 
     Quantile and sum come from how often each count occurs, which is a short list
-    even for a specimen with many features.
+    even for a specimen with many features. Specimens with fewer than
+    ``min_features`` features drop.
     """
-    filled = counts.filter(F.col("read_count") > 0)
+    filled = counts.filter((F.col("read_count") > 0) & F.col("specimen_id2").isNotNull())
     occurs = filled.groupBy("specimen_id2", "read_count").agg(F.count(F.lit(1)).alias("_freq"))
-    limits = occurs.groupBy("specimen_id2").agg(
-        median_of_counts("read_count", "_freq", p).alias("_limit")
+    upto = F.filter("_occurs", lambda o: o["read_count"] <= F.col("_limit"))
+    scale = F.aggregate(
+        upto,
+        F.lit(0).cast("long"),
+        lambda done, o: done + o["read_count"] * o["_freq"],
     )
-    sums = (
-        occurs.join(limits, "specimen_id2")
-        .filter(F.col("read_count") <= F.col("_limit"))
-        .groupBy("specimen_id2")
-        .agg(F.sum(F.col("read_count") * F.col("_freq")).alias("_scale"))
+    scales = (
+        occurs.groupBy("specimen_id2")
+        .agg(
+            median_of_counts("read_count", "_freq", p).alias("_limit"),
+            F.collect_list(F.struct("read_count", "_freq")).alias("_occurs"),
+            F.sum("_freq").alias("_features"),
+        )
+        .filter(F.col("_features") >= min_features)
+        .select("specimen_id2", scale.alias("_scale"))
     )
-    return filled.join(sums, "specimen_id2").select(
+    return filled.join(scales, "specimen_id2").select(
         "specimen_id2",
         "otu_id",
         (F.col("read_count") / F.col("_scale") * F.lit(float(sl))).alias("norm_count"),
     )
-
-
-def css_samples(samples: DataFrame, counts: DataFrame, p: float = 0.5, sl: float = 1000.0) -> DataFrame:
-    """Scaled counts of the specimens that have at least two features."""
-    kept = drop_low_feature_samples(sample_sums(counts), counts).select("specimen_id2")
-    kept = kept.join(samples.select("specimen_id2"), "specimen_id2", "left_semi")
-    return css_normalize(counts.join(kept, "specimen_id2", "left_semi"), p, sl)

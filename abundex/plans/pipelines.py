@@ -34,7 +34,7 @@ def clean_samples(
     left = samples.select(F.col("specimen_id2").alias("specimen_id3"))
     counts = clean.merged_counts(data.counts, flagged.join(left, "specimen_id3", "left_semi"))
     if scale_counts:
-        counts = normalize.css_samples(samples, counts).withColumnRenamed(
+        counts = normalize.css_normalize(counts, min_features=2).withColumnRenamed(
             "norm_count", "read_count"
         )
         samples = clean.drop_empty_samples(samples, counts)

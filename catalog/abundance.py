@@ -336,7 +336,7 @@ def r1_rarefy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def r2_css_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(normalize.css_samples(r.samples(spark, d), r.counts(spark, d)), "norm_count")
+    return rounded(normalize.css_normalize(r.counts(spark, d), min_features=2), "norm_count")
 
 
 def _clean_set(spark: SparkSession, d: str, depth: int) -> AbundanceSet:

@@ -9,6 +9,7 @@ from abundex.functions.expressions import days_between, recoded, truncated
 from abundex.operators import diversity, exposure, frame, posterior, reshape, summaries
 from abundex.plans.pipelines import exposure_history
 from abundex.schemas import ModelFrame
+from abundex.session import cut_lineage
 from catalog import roles as r
 from catalog.roles import r6, rounded, sql_r6, with_ctes
 
@@ -192,10 +193,11 @@ def _diversity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _frame(spark: SparkSession, d: str, build, **options) -> ModelFrame:
+    """The history is written first, as one does for frames of several types."""
     return build(
         r.rekeyed_event_samples(spark, d),
         _diversity(spark, d),
-        _history(spark, d),
+        cut_lineage(_history(spark, d)),
         TYPE,
         min_subjects=MIN_SUBJECTS,
         min_median=MIN_MEDIAN,
