@@ -74,3 +74,15 @@ def join_null_safe(
     )
     joined = left.join(renamed, condition, how)
     return joined if how in ("left_semi", "left_anti") else joined.drop(*(f"_right_{c}" for c in on))
+
+
+def join_groups(
+    rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner"
+) -> DataFrame:
+    """Join rows with a table of one row per group, where a group may hold most rows.
+
+    Spark can split a hot key at run time only between two shuffles, and a grouped
+    table needs none for its own keys. Comparing NULL-safe makes both sides shuffle
+    (the grouped one is small), so the hot side is split.
+    """
+    return join_null_safe(rows, groups, keys, how)

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import bisect
+from abundex.functions.expressions import bisect, join_groups
 from abundex.functions.ordered import running_sum
 
 GROUP_ROWS = 2_000_000
@@ -38,7 +38,7 @@ def slice_by_value(
     width = F.greatest(F.lit(limit), F.ceil(F.col("_rows") / MAX_SLICES))
     every = F.greatest(F.lit(1), F.floor(width / SAMPLES_PER_SLICE))
     cuts = (
-        values.join(big, list(keys))
+        join_groups(values, big, keys)
         .filter(F.pmod(F.xxhash64(value), every) == 0)
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(value)).alias("_sample"))
@@ -50,7 +50,7 @@ def slice_by_value(
         )
     )
     return (
-        values.join(cuts, list(keys), "left")
+        join_groups(values, cuts, keys, "left")
         .withColumn(
             "_slice",
             F.when(F.col("_cuts").isNull(), 0).otherwise(
@@ -114,7 +114,7 @@ def _ranked_quantiles(
     for i, h in enumerate(at):
         picks.append(value_at_rank(value, F.floor(h) + 1).alias(f"_low{i}"))
         picks.append(value_at_rank(value, F.ceil(h) + 1).alias(f"_high{i}"))
-    found = ranks.join(sizes, list(keys)).groupBy(*keys, "_n").agg(*picks)
+    found = join_groups(ranks, sizes, keys).groupBy(*keys, "_n").agg(*picks)
     quantiles = [
         F.col(f"_low{i}") + (h - F.floor(h)) * (F.col(f"_high{i}") - F.col(f"_low{i}"))
         for i, h in enumerate(at)

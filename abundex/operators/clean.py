@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import join_null_safe, matches, padded_label
+from abundex.functions.expressions import join_groups, matches, padded_label
 from abundex.functions.ordered import hash_order, hash_slice, row_number_in_slices
 from abundex.schemas import AbundanceSet
 
@@ -22,7 +22,8 @@ def key_intersection(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def reconcile_keys(data: AbundanceSet) -> AbundanceSet:
     """Keep samples with counts, counts with a sample, and features that occur."""
     sampled = data.counts.select("specimen_id2").distinct()
-    counts = data.counts.join(data.samples.select("specimen_id2"), "specimen_id2", "left_semi")
+    known = data.samples.select("specimen_id2").filter(F.col("specimen_id2").isNotNull())
+    counts = join_groups(data.counts, known, ["specimen_id2"], "left_semi")
     samples = data.samples.join(sampled, "specimen_id2", "left_semi")
     taxonomy = data.taxonomy.join(counts.select("otu_id").distinct(), "otu_id", "left_semi")
     return AbundanceSet(counts, samples, taxonomy)
@@ -95,7 +96,7 @@ def flag_duplicates(samples: DataFrame, keys: Sequence[str] = REPEAT_KEYS) -> Da
     )
     own = F.col("specimen_id2").cast("string")
     return (
-        join_null_safe(samples, groups, keys)
+        join_groups(samples, groups, keys, "left")
         .withColumn(
             "specimen_id3", F.when(F.col("_n") > 1, F.concat("_first", F.lit("_D"))).otherwise(own)
         )
@@ -136,7 +137,9 @@ def samples_with_exposure(
     exposures: DataFrame,
     on: Sequence[str] = ("subject_id", "collection_date"),
 ) -> DataFrame:
-    return samples.join(exposures.select(*on).distinct(), list(on), "left_semi")
+    return join_groups(samples, exposures.select(*on).distinct(), on, "left_semi").filter(
+        F.col(on[0]).isNotNull()
+    )
 
 
 def surrogate_feature_keys(features: DataFrame, key: str = "seq", prefix: str = "sv") -> DataFrame:
@@ -176,4 +179,4 @@ def record_index(
 
 def with_total_reads(counts: DataFrame) -> DataFrame:
     """Add the specimen's total to each of its rows."""
-    return counts.join(sample_sums(counts), "specimen_id2")
+    return join_groups(counts, sample_sums(counts), ["specimen_id2"])

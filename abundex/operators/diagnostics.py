@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abundex.functions.expressions import join_groups
 from abundex.functions.ordered import block_slice, lag_in_slices, row_number_in_slices
 from abundex.functions.quantiles import (
     GROUP_ROWS,
@@ -247,7 +248,7 @@ def n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataFrame:
         F.avg("value").alias("_mean"),
         F.var_samp("value").alias("_var"),
     )
-    centred = placed.join(chains, ["parameter", "chain"]).select(
+    centred = join_groups(placed, chains, ["parameter", "chain"]).select(
         "parameter", "chain", "pos", (F.col("value") - F.col("_mean")).alias("x"), "_n"
     )
     longest = chains.agg(F.max("_n")).first()[0]
@@ -264,7 +265,9 @@ def n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataFrame:
         )
         if going_on.isEmpty():
             break
-        left = cut_lineage(left.join(going_on.select("parameter"), "parameter", "left_semi"))
+        left = cut_lineage(
+            join_groups(left, going_on.select("parameter"), ["parameter"], "left_semi")
+        )
     if sums is None:
         raise ValueError("no draws")
     return _ess_from_sums(sums, chains).select("parameter", "n_eff", F.col("_total").alias("n_draws"))
@@ -293,7 +296,7 @@ def khat(
     )
     quarter = F.greatest(F.lit(1), F.floor(F.lit(0.25) * F.col("_n") + F.lit(0.5)))
     stats = (
-        ranks.join(sizes, keys)
+        join_groups(ranks, sizes, keys)
         .groupBy(*keys, "_n", "_min", "_max")
         .agg(value_at_rank(value, quarter).alias("_q"))
     )
@@ -302,7 +305,7 @@ def khat(
     candidate = F.lit(1.0) / F.col("_max") + (
         F.lit(1.0) - F.sqrt(count / (m - F.lit(0.5)))
     ) / (F.lit(3.0) * F.col("_q"))
-    positive = ranks.join(stats.filter(F.col("_min") > 0), keys)
+    positive = join_groups(ranks, stats.filter(F.col("_min") > 0), keys)
     tried = (
         positive.select("*", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("_m"))
         .withColumn("_b", candidate)
@@ -319,7 +322,7 @@ def khat(
         .agg((F.sum(F.col("_b") * weight) / F.sum(weight)).alias("_best"))
     )
     fitted = (
-        ranks.join(best, keys)
+        join_groups(ranks, best, keys)
         .groupBy(*keys)
         .agg(
             F.sum(F.col("_freq") * F.ln(F.lit(1.0) - F.col("_best") * F.col(value))).alias("_s")
@@ -343,7 +346,7 @@ def tail_khats(draws: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     stats = middle.join(ends, "parameter").withColumn(
         "_flat", (F.col("_median") == F.col("_min")) | (F.col("_median") == F.col("_max"))
     )
-    sides = draws.join(stats.filter(~F.col("_flat")), "parameter").select(
+    sides = join_groups(draws, stats.filter(~F.col("_flat")), ["parameter"]).select(
         "parameter",
         F.when(F.col("value") <= F.col("_median"), "left").otherwise("right").alias("side"),
         F.abs(F.col("value") - F.col("_median")).alias("_distance"),

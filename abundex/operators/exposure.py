@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import days_between, recoded
+from abundex.functions.expressions import days_between, join_groups, recoded
 from abundex.operators.reshape import names_in_cell, unnest
 
 # The component that stands for a combined product …
@@ -58,7 +58,7 @@ def subject_span(samples: DataFrame) -> DataFrame:
 
 def exposure_right_join(spans: DataFrame, exposures: DataFrame) -> DataFrame:
     """Every exposure row, with its subject's span and its study day."""
-    joined = spans.join(exposures, "subject_id", "right")
+    joined = join_groups(exposures, spans, ["subject_id"], "left")
     return joined.withColumn(
         "study_day", days_between(F.col("collection_date"), F.col("enroll_date"))
     )
@@ -71,7 +71,7 @@ def exit_day(df: DataFrame) -> DataFrame:
         .groupBy("subject_id")
         .agg(F.max("study_day").alias("exit_day"))
     )
-    return df.join(at_exit, "subject_id", "left")
+    return join_groups(df, at_exit, ["subject_id"], "left")
 
 
 def study_window_filter(df: DataFrame, after: int = FIRST_STUDY_DAY) -> DataFrame:

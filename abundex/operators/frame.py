@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import null_or_not_equal, truncated
+from abundex.functions.expressions import join_groups, null_or_not_equal, truncated
 from abundex.functions.ordered import running_sum
 from abundex.functions.quantiles import (
     GROUP_ROWS,
@@ -87,7 +87,7 @@ def exposure_keep_rule(
 def keep_subjects(rows: DataFrame, kept: DataFrame) -> DataFrame:
     """Rows of the subjects that have any kept exposure."""
     exposed = rows.join(kept.select("abx_lag"), "abx_lag", "left_semi")
-    return rows.join(exposed.select("subjects").distinct(), "subjects", "left_semi")
+    return join_groups(rows, exposed.select("subjects").distinct(), ["subjects"], "left_semi")
 
 
 def design_tensor(rows: DataFrame, kept: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def cohort(samples: DataFrame, dominant: DataFrame, genus: str, high: bool) -> D
     A subject without a dominant genus belongs to the low cohort.
     """
     keys = ["subject_id", "specimen_type"]
-    joined = samples.join(dominant.select(*keys, "dominant_genus"), keys, "left")
+    joined = join_groups(samples, dominant.select(*keys, "dominant_genus"), keys, "left")
     is_high = F.col("dominant_genus") == genus
     rule = is_high if high else null_or_not_equal(F.col("dominant_genus"), genus)
     return joined.filter(rule).drop("dominant_genus")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import bisect
+from abundex.functions.expressions import bisect, join_groups
 from abundex.functions.ordered import hash_order, hash_slice
 from abundex.functions.quantiles import median_of_counts
 
@@ -55,7 +55,7 @@ def rarefy(
         Window.unboundedPreceding, Window.currentRow
     )
     features = (
-        filled.join(deep.select("specimen_id2", "_features"), "specimen_id2")
+        join_groups(filled, deep.select("specimen_id2", "_features"), ["specimen_id2"])
         .select(
             "specimen_id2",
             F.when(many, hash_slice(F.col("otu_id"))).otherwise("").alias("_slice"),
@@ -123,7 +123,7 @@ def css_normalize(
         .filter(F.col("_features") >= min_features)
         .select("specimen_id2", scale.alias("_scale"))
     )
-    return filled.join(scales, "specimen_id2").select(
+    return join_groups(filled, scales, ["specimen_id2"]).select(
         "specimen_id2",
         "otu_id",
         (F.col("read_count") / F.col("_scale") * F.lit(float(sl))).alias("norm_count"),

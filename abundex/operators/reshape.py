@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from abundex.functions.expressions import join_null_safe
+from abundex.functions.expressions import join_groups, join_null_safe
 from abundex.schemas import AbundanceSet
 
 # Fixed value: characters that separate the names in a multi-value cell.
@@ -16,7 +16,8 @@ CELL_SEPARATOR = r"[^\p{Alnum}.]+"
 
 def melt_join_dims(counts: DataFrame, samples: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Counts with the columns of their sample and their feature."""
-    return counts.join(samples, "specimen_id2", "left").join(taxonomy, "otu_id", "left")
+    sampled = join_groups(counts, samples, ["specimen_id2"], "left")
+    return join_groups(sampled, taxonomy, ["otu_id"], "left")
 
 
 def phyloseq_to_agglomerated(

@@ -30,13 +30,12 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spanned(spark: SparkSession, d: str) -> DataFrame:
-    """Exposures with spans that end ten days early for every fifth subject."""
-    early = F.col("subject_id").cast("int") % 5 == 0
-    spans = _spans(spark, d).withColumn(
-        "exit_date", F.when(early, F.date_sub("exit_date", 10)).otherwise(F.col("exit_date"))
+    """Exposures with the spans of two specimen types, sampled in the first twenty days."""
+    sampled = r.event_samples(spark, d).filter(
+        F.col("specimen_type").isin("0", "1") & (F.col("study_day") < 20)
     )
     return exposure.exposure_right_join(
-        spans.filter(F.col("subject_id") != "11"), r.event_exposures(spark, d)
+        exposure.subject_span(sampled), r.event_exposures(spark, d)
     )
 
 
@@ -419,14 +418,13 @@ QUERIES = {
 # --- the same in SQL -----------------------------------------------------------------------
 
 _EARLY = """spans2 AS (
-  SELECT subject_id, enroll_date,
-    CASE WHEN CAST(subject_id AS INT) % 5 = 0 THEN exit_date - INTERVAL 10 DAY ELSE exit_date END::DATE AS exit_date
-  FROM spans WHERE subject_id <> '11'),
+  SELECT subject_id, min(enroll_date) AS enroll_date, max(collection_date) AS exit_date
+  FROM esamples WHERE specimen_type IN ('0', '1') AND study_day < 20 GROUP BY 1),
 spanned2 AS (
   SELECT m.subject_id, s.enroll_date, s.exit_date, m.collection_date, m.abx_b,
     date_diff('day', s.enroll_date, m.collection_date) AS study_day
   FROM meds m LEFT JOIN spans2 s ON s.subject_id = m.subject_id)"""
-_SPAN_BASE = (r.EVENT_EXPOSURES, r.EVENT_SAMPLES, r.SPANS, _EARLY)
+_SPAN_BASE = (r.EVENT_EXPOSURES, r.EVENT_SAMPLES, _EARLY)
 _NAMES = """names AS (
   SELECT DISTINCT subject_id, collection_date,
     unnest(CASE WHEN abx_b IS NULL THEN [NULL] ELSE string_split(abx_b, ',') END) AS abx_b FROM meds)"""

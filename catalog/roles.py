@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from abundex.functions.expressions import join_groups
 from abundex.operators.exposure import EpisodeRule, episode_rekey
 from abundex.schemas import AbundanceSet
 
@@ -56,7 +57,7 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dated(df: DataFrame) -> DataFrame:
     enrolled = df.groupBy("subject_id").agg(F.min("collection_date").alias("enroll_date"))
-    return df.join(enrolled, "subject_id").withColumn(
+    return join_groups(df, enrolled, ["subject_id"]).withColumn(
         "study_day", F.datediff("collection_date", "enroll_date")
     )
 
@@ -72,16 +73,15 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples before cleaning: some without subject, some cultures, some without type."""
+    """Samples before cleaning; the priority says which lack a subject or a type, or are cultures."""
     customer, priority = F.col("o_custkey"), F.col("o_orderpriority")
     orders = table(spark, sf_dir, "orders")
     enrolled = orders.groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("enroll_date"))
-    return orders.join(enrolled, "o_custkey").select(
+    return join_groups(orders, enrolled, ["o_custkey"]).select(
         F.col("o_orderkey").alias("specimen_id2"),
-        F.when(customer % 17 != 0, customer).alias("subject_id"),
+        F.when(priority != "4-NOT SPECIFIED", customer).alias("subject_id"),
         F.when(priority == "1-URGENT", F.concat(F.lit("Culture "), "o_orderstatus"))
-        .when((priority == "5-LOW") & (F.col("o_orderkey") % 5 == 0), F.lit(None).cast("string"))
-        .otherwise(F.col("o_orderstatus"))
+        .when(priority != "5-LOW", F.col("o_orderstatus"))
         .alias("specimen_type"),
         F.to_date("o_orderdate").alias("collection_date"),
         "enroll_date",
@@ -93,7 +93,7 @@ def taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("otu_id"),
         F.col("p_type").alias("Kingdom"),
-        F.when(F.col("p_partkey") % 40 != 0, F.col("p_brand")).alias("Genus"),
+        F.when(F.col("p_type") != "ECONOMY", F.col("p_brand")).alias("Genus"),
     )
 
 
@@ -140,10 +140,9 @@ SAMPLES = """samples AS (
     FROM orders))"""
 RAW_SAMPLES = """raw AS (
   SELECT o_orderkey AS specimen_id2,
-    CASE WHEN o_custkey % 17 <> 0 THEN o_custkey END AS subject_id,
+    CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_custkey END AS subject_id,
     CASE WHEN o_orderpriority = '1-URGENT' THEN 'Culture ' || o_orderstatus
-         WHEN o_orderpriority = '5-LOW' AND o_orderkey % 5 = 0 THEN NULL
-         ELSE o_orderstatus END AS specimen_type,
+         WHEN o_orderpriority <> '5-LOW' THEN o_orderstatus END AS specimen_type,
     CAST(o_orderdate AS DATE) AS collection_date,
     min(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey) AS enroll_date,
     date_diff('day', min(CAST(o_orderdate AS DATE)) OVER (PARTITION BY o_custkey),
@@ -151,7 +150,7 @@ RAW_SAMPLES = """raw AS (
   FROM orders)"""
 TAXONOMY = """taxonomy AS (
   SELECT p_partkey AS otu_id, p_type AS "Kingdom",
-    CASE WHEN p_partkey % 40 <> 0 THEN p_brand END AS "Genus" FROM part)"""
+    CASE WHEN p_type <> 'ECONOMY' THEN p_brand END AS "Genus" FROM part)"""
 STAINS = """stains AS (
   SELECT DISTINCT p_brand AS "Genus",
     CASE WHEN CAST(split_part(p_brand, '#', 2) AS INT) % 2 = 0 THEN 'GN' ELSE 'GP' END AS stain

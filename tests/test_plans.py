@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from abundex.operators import diversity, exposure, frame, posterior
+from abundex.operators import clean, diversity, exposure, frame, posterior
 from catalog import roles
 from tests.oracle import DATA
 
@@ -54,6 +54,31 @@ def test_runs_share_the_exchange_on_the_subject(spark):
     assert exchanges(exposure.exposure_record(days, 3)) == 1
 
 
+def test_hot_specimen_is_split_in_the_join(spark):
+    """With a third of the rows in one specimen, the join splits its partition."""
+    rows = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("specimen_id2"),
+        F.col("id").alias("otu_id"),
+        (F.col("id") % 9 + 1).alias("read_count"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = clean.with_total_reads(rows.repartition(16))
+        assert len(df.collect()) == 300_000
+        assert "SortMergeJoin(skew=true)" in plan_of(df)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
 def test_baseline_combines_before_the_shuffle(spark):
     df = diversity.baseline_rows(roles.samples(spark, SMALL))
     assert "partial_min(study_day" in plan_of(df)
