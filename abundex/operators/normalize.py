@@ -20,11 +20,13 @@ def read_position(
     For whole counts, exactly: ``floor(h * total / 2^32)`` with a 32-bit hash ``h``.
     """
     text = F.concat_ws("|", specimen.cast("string"), draw.cast("string"), F.lit(str(seed)))
-    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10)
+    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
     if not whole:
-        return word.cast("double") / F.lit(2.0**32) * total
-    scaled = word.cast("decimal(20,0)") * total / F.lit(2**32).cast("decimal(20,0)")
-    return F.floor(scaled).cast("long")
+        return word / F.lit(2.0**32) * total
+    wide = word.cast("decimal(20,0)") * total / F.lit(2**32).cast("decimal(20,0)")
+    return F.when(total < 2**31, F.shiftright(word * total, 32)).otherwise(
+        F.floor(wide).cast("long")
+    )
 
 
 def rarefy(
@@ -80,7 +82,10 @@ def rarefy(
     mine = F.filter(
         "_all", lambda place: (place >= F.col("_first")) & (place < F.col("_last"))
     )
-    drawn = slices.withColumn("_all", places).select(
+    # One small row becomes ``depth`` hashes: a fixed number of partitions, the one the
+    # features have too, keeps Spark from merging these rows into a few tasks.
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = slices.repartition(tasks, *key).withColumn("_all", places).select(
         *key, F.sort_array(F.transform(mine, lambda place: place - F.col("_first"))).alias("_drawn")
     )
 
