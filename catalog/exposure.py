@@ -279,11 +279,10 @@ def g4_compose(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cohort_frame(spark: SparkSession, d: str, high: bool) -> ModelFrame:
-    taxonomy = r.event_counts(spark, d).select("otu_id").distinct().withColumn(
-        "Genus", F.concat(F.lit("g"), (F.col("otu_id") % 3).cast("string"))
-    )
     samples = r.rekeyed_event_samples(spark, d)
-    dominant = diversity.dominant_taxon(samples, r.event_counts(spark, d), taxonomy)
+    dominant = diversity.dominant_taxon(
+        samples, r.event_counts(spark, d), r.event_taxonomy(spark, d)
+    )
     return frame.gen_continuous(
         frame.cohort(samples, dominant, "g0", high),
         _diversity(spark, d),

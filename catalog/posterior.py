@@ -140,6 +140,28 @@ def b4_effect_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, "difference", "difference_lower", "difference_upper", "D1_start")
 
 
+def b4_effects_by_stain(spark: SparkSession, d: str) -> DataFrame:
+    """The effects next to the share of one stain at the subject's baseline."""
+    built = e._continuous(spark, d)
+    start = diversity.starting_stain_proportions(
+        r.rekeyed_event_samples(spark, d),
+        r.event_counts(spark, d),
+        r.event_taxonomy(spark, d),
+        r.event_stains(spark, d),
+    )
+    found = posterior.effect_table(
+        r.draws(spark, d),
+        built.rows,
+        frame.label_index(built.obs, "subjects"),
+        frame.label_index(built.kept, "abx_lag"),
+        covariate=start.filter(F.col("specimen_type") == e.TYPE),
+        covariate_columns=["stain", "stain_prop"],
+        labels=LABELS,
+        width=WIDTH,
+    ).filter(F.col("stain") == "GN")
+    return rounded(found, "difference", "difference_lower", "difference_upper", "stain_prop")
+
+
 def o3_sample_groups(spark: SparkSession, d: str) -> DataFrame:
     return posterior.sample_groups(r.draws(spark, d), 150)
 
@@ -366,6 +388,7 @@ QUERIES = {
     "J9_flag_observed": j9_flag_observed,
     "J10_subject_covariate": j10_subject_covariate,
     "B4_effect_table": b4_effect_table,
+    "B4_effects_by_stain": b4_effects_by_stain,
     "O3_sample_groups": o3_sample_groups,
     "W13_draw_group_index": w13_draw_group_index,
     "B5_pp_rollout": b5_pp_rollout,
@@ -419,6 +442,23 @@ _START = f"""start AS (
   WHERE pos = 1 AND specimen_type = '{e.TYPE}'),
 covered AS (
   SELECT DISTINCT d5.subjects, start.d1_start FROM start RIGHT JOIN d5 ON d5.subjects = start.subjects)"""
+_STAINS = f"""sgenus AS (
+  SELECT c.specimen_id2, CASE c.otu_id % 3 WHEN 0 THEN 'GN' WHEN 1 THEN 'GP' END AS stain,
+    sum(c.read_count) / any_value(t.total)::DOUBLE AS stain_prop
+  FROM counts c JOIN (SELECT specimen_id2, sum(read_count) AS total FROM counts GROUP BY 1) t USING (specimen_id2)
+  GROUP BY 1, 2),
+sranked AS (
+  SELECT s.subject_id AS subjects, s.specimen_type, g.stain, g.stain_prop,
+    rank() OVER (PARTITION BY s.subject_id, s.specimen_type ORDER BY s.study_day) AS pos
+  FROM sgenus g JOIN rsamples s USING (specimen_id2)),
+sgrid AS (
+  SELECT * FROM (SELECT DISTINCT subjects FROM sranked) CROSS JOIN (SELECT DISTINCT specimen_type FROM sranked)
+  CROSS JOIN (SELECT DISTINCT stain FROM sranked WHERE pos = 1)),
+sstart AS (
+  SELECT DISTINCT g.subjects, g.stain, coalesce(r.stain_prop, 0) AS stain_prop
+  FROM sgrid g LEFT JOIN (SELECT * FROM sranked WHERE pos = 1) r
+    ON r.subjects = g.subjects AND r.specimen_type = g.specimen_type AND r.stain IS NOT DISTINCT FROM g.stain
+  WHERE g.specimen_type = '{e.TYPE}')"""
 _NAMED_BASE = (*e.CONTINUOUS, r.EFFECTS, _QI, _LABELS, _NAMED)
 _MU = """iobs AS (
   SELECT DISTINCT d5.specimens, s.i, d5."D1", d5."D1_lag" FROM d5 JOIN sidx s ON s.subjects = d5.subjects),
@@ -642,6 +682,15 @@ FROM covered c RIGHT JOIN named n ON n.subjects = c.subjects""",
   {sql_r6("m.difference_upper")} AS difference_upper, {sql_r6("c.d1_start")} AS "D1_start"
 FROM covered c RIGHT JOIN marked m ON m.subjects = c.subjects
 WHERE m.observed AND m.abx_lag IN ('click.purchase', 'signup')""",
+    ),
+    "B4_effects_by_stain": with_ctes(
+        *_NAMED_BASE,
+        _STAINS,
+        f"""SELECT m.subjects,
+  CASE m.abx_lag WHEN 'click.purchase' THEN 'Click/Purchase' WHEN 'signup' THEN 'Signup' ELSE m.abx_lag END AS abx_lag,
+  m.k, {sql_r6("m.difference")} AS difference, {sql_r6("m.difference_lower")} AS difference_lower,
+  {sql_r6("m.difference_upper")} AS difference_upper, s.stain, {sql_r6("s.stain_prop")} AS stain_prop
+FROM marked m JOIN sstart s ON s.subjects = m.subjects WHERE m.observed AND s.stain = 'GN'""",
     ),
     "O3_sample_groups": with_ctes(r.DRAWS, _PICKED.format(n=150), "SELECT draw FROM picked"),
     "W13_draw_group_index": """SELECT i, vec_id AS draw, row_number() OVER (PARTITION BY i ORDER BY vec_id) AS "group"

@@ -220,6 +220,19 @@ def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three genera over the features of set B."""
+    genus = F.concat(F.lit("g"), (F.col("otu_id") % 3).cast("string"))
+    return event_counts(spark, sf_dir).select("otu_id").distinct().withColumn("Genus", genus)
+
+
+def event_stains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stains of two of the three genera."""
+    stain = F.when(F.col("Genus") == "g0", "GN").when(F.col("Genus") == "g1", "GP")
+    genera = event_taxonomy(spark, sf_dir).select("Genus").distinct()
+    return genera.withColumn("stain", stain).filter(F.col("stain").isNotNull())
+
+
 def rekeyed_event_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episode_rekey(event_samples(spark, sf_dir), RULES)
 
