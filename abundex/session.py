@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,10 @@ ADAPTIVE_SETTINGS = {
 }
 
 
+# Contexts that have the code.
+_SHIPPED: list = []
+
+
 def build_session(name: str = "abundex", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the adaptive settings; ``settings`` override them."""
     builder = SparkSession.builder.appName(name)
@@ -25,21 +31,46 @@ def build_session(name: str = "abundex", master: str | None = None, **settings:
         builder = builder.master(master)
     for key, value in {**ADAPTIVE_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the adaptive settings to a session someone else created."""
+    """Apply the adaptive settings to a session someone else created, and ship the package to it.
+
+    The session keeps these settings: time zone, adaptive execution and split of skewed joins.
+    """
     for key, value in ADAPTIVE_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the workers the code, once per context: they need not see the folder it lies in."""
+    context = spark.sparkContext
+    if context in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    archive = os.path.join(tempfile.mkdtemp(prefix="abundex-code-"), "abundex_code.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for package in ("abundex", "catalog"):
+            for folder, _, names in os.walk(os.path.join(root, package)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED.append(context)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary one only in local mode, where it may be unset."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if folder is None:
+        if not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="abundex-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
