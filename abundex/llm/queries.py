@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import exact, mixing, rules
+from abundex.llm import exact, mixing, rules, simhash
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,12 @@ def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and near-copy component of every document."""
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3)
+    return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdicts of the base and the strict policy."""
     entries = rules.ledger(table(spark, sf_dir, "documents"))
@@ -44,6 +50,7 @@ def op9_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_curriculum_mix": op3_curriculum_mix,
+    "op4_byte_index": op4_byte_index,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_exact_index": op9_exact_index,
 }
