@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import exact, mixing, rules, simhash
+from abundex.llm import bpe, exact, mixing, rules, simhash
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,9 +48,26 @@ def op9_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def token_digests(docs: DataFrame) -> DataFrame:
+    """Number of tokens, and digests of ids and decoded text, of every row."""
+    decoded = bpe.decode(bpe.encode(docs))
+    return decoded.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, there and back, as digests."""
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_index": op4_byte_index,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_exact_index": op9_exact_index,
+    "op10_word_table_bpe": op10_word_table_bpe,
 }
