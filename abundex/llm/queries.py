@@ -7,12 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import bpe, exact, mixing, rules, simhash
+from abundex.llm import bpe, exact, html_main, mixing, rules, simhash, spans
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without sentences of repeated passages."""
+    return spans.dedup(table(spark, sf_dir, "documents"))
+
+
+def op2_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_main.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op3_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words each document gives to the mix, and its first training position."""
     planned = mixing.plan(table(spark, sf_dir, "documents"))
@@ -65,6 +75,8 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_sentence_spans": op1_sentence_spans,
+    "op2_best_region": op2_best_region,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_index": op4_byte_index,
     "op8_rule_ledger": op8_rule_ledger,
