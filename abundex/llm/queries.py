@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import bpe, exact, html_main, mixing, rules, simhash, spans
+from abundex.llm import bpe, exact, html_main, language, mixing, rules, simhash, spans
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,20 @@ def op4_byte_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def held_out(modulus: int, remainder: int) -> Column:
+    """Whether crc32 of the id as text leaves ``remainder``; a null id counts as an empty text."""
+    crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return F.pmod(crc, F.lit(modulus)) == remainder
+
+
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs.filter(~held_out(4, 2)))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdicts of the base and the strict policy."""
     entries = rules.ledger(table(spark, sf_dir, "documents"))
@@ -79,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op2_best_region": op2_best_region,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_index": op4_byte_index,
+    "op6_kneser_ney": op6_kneser_ney,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_exact_index": op9_exact_index,
     "op10_word_table_bpe": op10_word_table_bpe,
