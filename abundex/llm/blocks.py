@@ -13,7 +13,6 @@ cut differently in between, the job stops with an error and never mixes blocks.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,41 +26,53 @@ PACK_WORDS = 1 << 18
 Split = Callable[[], Callable[[str], list[str]]]
 
 
+class _Numbers(dict):
+    """Numbers words in the order they are first looked up."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
 def _blocks(
-    batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], block_chars: int, sequences: bool
-) -> Iterator[tuple[int, list[str], list[int], list[int | None], list[np.ndarray]]]:
-    """(block id, words, their counts, document ids, sequences) from rows (id, text)."""
+    batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], block_chars: int
+) -> Iterator[tuple[int, list[str], np.ndarray, list[int | None], list[np.ndarray]]]:
+    """(block id, words, their counts, document ids, sequences) from rows (id, text).
+
+    A text is turned into numbers as it comes; a block holds those and its distinct words.
+    """
     import xxhash
     from pyspark import TaskContext
 
     context = TaskContext.get()
     place = context.partitionId() if context else 0
-    number, texts, ids, size = 0, [], [], 0
+    number, size = 0, 0
+    numbers, ids, sequences, seen = _Numbers(), [], [], xxhash.xxh64(f"{place}/0")
 
     def close() -> tuple:
-        seen = xxhash.xxh64(f"{place}/{number}")
-        counts: Counter[str] = Counter()
-        split_texts = []
-        for i, text in zip(ids, texts, strict=True):
-            seen.update(f"\0{i}\0".encode())
-            seen.update(text.encode("utf-8", "surrogatepass"))
-            words = split(text)
-            counts.update(words)
-            if sequences:
-                split_texts.append(words)
-        words = sorted(counts, key=lambda w: (-counts[w], w))
-        at = {w: i for i, w in enumerate(words)}.__getitem__
-        found = [np.fromiter(map(at, t), dtype=np.uint32, count=len(t)) for t in split_texts]
-        return seen.intdigest() - (1 << 63), words, [counts[w] for w in words], list(ids), found
+        first_seen = list(numbers)
+        counts = np.zeros(len(first_seen), np.int64)
+        for sequence in sequences:
+            np.add.at(counts, sequence, 1)
+        order = sorted(range(len(first_seen)), key=lambda i: (-counts[i], first_seen[i]))
+        rank = np.empty(len(order), np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        words = [first_seen[i] for i in order]
+        return seen.intdigest() - (1 << 63), words, counts[order], ids, [rank[x] for x in sequences]
 
     for batch in batches:
-        for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i, text in zip(*batch.columns, strict=True):
+            i, text = i.as_py(), text.as_py()
+            words = split(text)
             ids.append(i)
-            texts.append(text)
+            sequences.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
+            seen.update(f"\0{i}\0".encode())
+            seen.update(text.encode("utf-8", "surrogatepass"))
             size += len(text) + 64
             if size >= block_chars:
                 yield close()
-                number, texts, ids, size = number + 1, [], [], 0
+                number, size = number + 1, 0
+                numbers, ids, sequences, seen = _Numbers(), [], [], xxhash.xxh64(f"{place}/{number}")
     if ids:
         yield close()
 
@@ -70,7 +81,7 @@ def block_words(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS) -
     """(block, number, word, n) for each distinct word of a block; ``docs`` has (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, counts, _, _ in _blocks(batches, split(), block_chars, False):
+        for block, words, counts, _, _ in _blocks(batches, split(), block_chars):
             for start in range(0, len(words), 16_384):
                 part = words[start : start + 16_384]
                 yield pa.RecordBatch.from_arrays(
@@ -78,7 +89,7 @@ def block_words(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS) -
                         pa.array(np.full(len(part), block, np.int64)),
                         pa.array(np.arange(start, start + len(part), dtype=np.int32)),
                         pa.array(part, pa.string()),
-                        pa.array(np.array(counts[start : start + 16_384], np.int64)),
+                        pa.array(counts[start : start + 16_384]),
                     ],
                     names=["block", "number", "word", "n"],
                 )
@@ -111,7 +122,7 @@ def block_sequences(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHAR
                 names=["block", "n_words", "doc_ids", "lengths", "packed"],
             )
 
-        for block, words, _, ids, sequences in _blocks(batches, split(), block_chars, True):
+        for block, words, _, ids, sequences in _blocks(batches, split(), block_chars):
             some_ids, some, size = [], [], 0
             for i, sequence in zip(ids, sequences, strict=True):
                 some_ids.append(i)
