@@ -77,8 +77,14 @@ def _blocks(
         yield close()
 
 
-def block_words(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(block, number, word, n) for each distinct word of a block; ``docs`` has (doc_id, text)."""
+def block_words(
+    docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS, word_type: str = "string"
+) -> DataFrame:
+    """(block, number, word, n) for each distinct word of a block; ``docs`` has (doc_id, text).
+
+    ``split`` may also give numbers in place of words, with ``word_type`` long.
+    """
+    kind = pa.int64() if word_type == "long" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, words, counts, _, _ in _blocks(batches, split(), block_chars):
@@ -88,20 +94,23 @@ def block_words(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS) -
                     [
                         pa.array(np.full(len(part), block, np.int64)),
                         pa.array(np.arange(start, start + len(part), dtype=np.int32)),
-                        pa.array(part, pa.string()),
+                        pa.array(part, kind),
                         pa.array(counts[start : start + 16_384]),
                     ],
                     names=["block", "number", "word", "n"],
                 )
 
-    return docs.mapInArrow(run, "block long, number int, word string, n long")
+    return docs.mapInArrow(run, f"block long, number int, word {word_type}, n long")
 
 
-def block_sequences(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def block_sequences(
+    docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS, id_type: str = "long"
+) -> DataFrame:
     """(block, n_words, doc_ids, lengths, packed): the documents of a block as word numbers.
 
     A row holds several documents; the numbers are stored byte plane by byte plane and compressed.
     """
+    kind = pa.string() if id_type == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -115,7 +124,7 @@ def block_sequences(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHAR
                 [
                     pa.array([block], pa.int64()),
                     pa.array([n_words], pa.int32()),
-                    pa.array([ids], pa.list_(pa.int64())),
+                    pa.array([ids], pa.list_(kind)),
                     pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
                     pa.array([squeeze.compress(planes.tobytes())], pa.binary()),
                 ],
@@ -134,7 +143,7 @@ def block_sequences(docs: DataFrame, split: Split, block_chars: int = BLOCK_CHAR
             if some_ids:
                 yield pack(block, len(words), some_ids, some)
 
-    return docs.mapInArrow(run, "block long, n_words int, doc_ids array<long>, lengths array<int>, packed binary")
+    return docs.mapInArrow(run, f"block long, n_words int, doc_ids array<{id_type}>, lengths array<int>, packed binary")
 
 
 def unpack(packed: bytes) -> np.ndarray:

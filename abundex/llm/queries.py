@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import bpe, exact, html_main, language, mixing, rules, simhash, spans
+from abundex.llm import bpe, exact, html_main, language, mixing, ppm, rules, simhash, spans
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,12 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.pmod(crc, F.lit(modulus)) == remainder
 
 
+def op5_byte_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log10 probability of every document, learned from nine tenths of them."""
+    scored = ppm.score(table(spark, sf_dir, "documents"), ~held_out(10, 0))
+    return scored.select("*", held_out(10, 0).alias("held_out"))
+
+
 def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
@@ -93,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op2_best_region": op2_best_region,
     "op3_curriculum_mix": op3_curriculum_mix,
     "op4_byte_index": op4_byte_index,
+    "op5_byte_ppm": op5_byte_ppm,
     "op6_kneser_ney": op6_kneser_ney,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_exact_index": op9_exact_index,
