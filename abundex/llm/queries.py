@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import bpe, exact, html_main, language, mixing, ppm, rules, simhash, spans
+from abundex.llm import bpe, exact, html_main, language, licences, mixing, ppm, rules, simhash, spans
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op7_patience_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence text in every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failure bits and the verdicts of the base and the strict policy."""
     entries = rules.ledger(table(spark, sf_dir, "documents"))
@@ -101,6 +106,7 @@ QUERIES: dict[str, Query] = {
     "op4_byte_index": op4_byte_index,
     "op5_byte_ppm": op5_byte_ppm,
     "op6_kneser_ney": op6_kneser_ney,
+    "op7_patience_scan": op7_patience_scan,
     "op8_rule_ledger": op8_rule_ledger,
     "op9_exact_index": op9_exact_index,
     "op10_word_table_bpe": op10_word_table_bpe,
