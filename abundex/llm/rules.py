@@ -184,4 +184,7 @@ def apply_policy(docs: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The rows of ``docs`` that pass, with exactly their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     carried = docs.select(row, F.col("text"))
-    return measure(carried, ["_row"]).filter(passes(failures(), policy)).select("_row.*")
+    judged = measure(carried, ["_row"]).select("_row", failures().alias("_failures"))
+    # A filter would be pushed below the steps of ``measure`` with all of them copied into it.
+    kept = F.when(passes(F.col("_failures"), policy), F.array("_row"))
+    return judged.select(F.explode(kept).alias("_row")).select("_row.*")
