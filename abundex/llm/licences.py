@@ -10,8 +10,8 @@ template would have there. Only starts with votes from enough of the template's
 the coverage asked for, and each of them is one window, so a text that holds a licence twice is
 reported twice. Short notices and the opening paragraphs of longer licences are templates.
 
-Defined results: a null, empty or licence-free text has no rows; of overlapping matches the best
-covered stays, then the one of more words, then the first; repeated rows are scanned each; null ids pass
+Defined results: a null, empty or licence-free text has no rows; of overlapping matches the
+one of more words stays, then the better covered, then the first; repeated rows are scanned each; null ids pass
 through; other columns do not matter; an empty table gives an empty result.
 """
 
@@ -175,9 +175,9 @@ class Scanner:
 
     @staticmethod
     def _best(matches: list[tuple[int, tuple[str, float, int, int]]]) -> list[tuple[str, float, int, int]]:
-        """Matches that do not overlap: the best covered first, then those of more words."""
+        """Matches that do not overlap: those of more words first, then the better covered."""
         kept: list[tuple[str, float, int, int]] = []
-        for _, match in sorted(matches, key=lambda m: (-m[1][1], -m[0], m[1][2], m[1][0])):
+        for _, match in sorted(matches, key=lambda m: (-m[0], -m[1][1], m[1][2], m[1][0])):
             if all(match[3] <= k[2] or match[2] >= k[3] for k in kept):
                 kept.append(match)
         return sorted(kept, key=lambda m: m[2])

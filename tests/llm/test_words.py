@@ -92,8 +92,7 @@ def test_no_labels_means_no_language(spark):
 def test_language_probabilities_add_up(spark):
     """Over all characters that a context may have, interpolated probabilities add up to one."""
     docs = corpus.frame(spark, [(i, corpus.prose(i, 50), "x", None, 0) for i in range(6)])
-    rows = language.kneser_ney(language.gram_counts(docs)).collect()
-    model = language.Model.of(rows, ["x"])
+    model = language.Model.of(language.kneser_ney(language.gram_counts(docs)).toArrow())
     model.floor = 0.0
     scorer = language.Scorer(model)
     characters = sorted(set("".join(corpus.prose(i, 50).lower() for i in range(6))) - set(" \n"))
