@@ -17,6 +17,8 @@ ADAPTIVE_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Rows may be whole texts: batches that a Python worker holds stay small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
