@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 16 << 20
 PACK_WORDS = 1 << 18
 
 Split = Callable[[], Callable[[str], list[str]]]

@@ -83,6 +83,8 @@ def encode(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CH
     """doc_id, n_tokens and ``ids`` (packed) of every document."""
     spec = _read(path or vocabulary_path())
     held = docs.sparkSession.sparkContext.broadcast(spec)
+    # Ids of a word travel as 16-bit numbers where the vocabulary fits.
+    width = "<u2" if len(_pieces(spec)) <= 1 << 16 else "<u4"
     rows = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
 
     def split() -> Callable[[str], list[str]]:
@@ -106,27 +108,30 @@ def encode(docs: DataFrame, path: str | None = None, block_chars: int = BLOCK_CH
             packed = []
             for w in words:
                 if w != last:
-                    last, last_ids = w, np.array(next(coded).ids, dtype="<u4").tobytes()
+                    last, last_ids = w, np.array(next(coded).ids, dtype=width).tobytes()
                 packed.append(last_ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["block", "number", "ids"]
             )
 
     def finish(answers: pa.Table) -> Callable[[list, np.ndarray, np.ndarray], pa.Table]:
-        found = answers.column("ids").to_pylist()
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
+        found = answers.column("ids").combine_chunks().cast(pa.large_binary())
+        bounds = np.frombuffer(found.buffers()[1], dtype=np.int64)[found.offset : found.offset + len(found) + 1]
+        unit = np.dtype(width).itemsize
+        flat = np.frombuffer(found.buffers()[2] or b"", dtype=width)
+        starts, sizes = bounds[:-1] // unit, np.diff(bounds) // unit
 
         def texts(ids: list, lengths: np.ndarray, numbers: np.ndarray) -> pa.Table:
             each = sizes[numbers]
             ends = np.cumsum(each)
             total = int(ends[-1]) if len(ends) else 0
-            tokens = flat[np.repeat(starts[numbers] - (ends - each), each) + np.arange(total)]
-            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-            out = [tokens[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+            tokens = flat[np.repeat(starts[numbers] - (ends - each), each) + np.arange(total)].astype("<u4")
+            cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
+            packed = pa.Array.from_buffers(
+                pa.binary(), len(ids), [None, pa.py_buffer((4 * cuts).astype(np.int32)), pa.py_buffer(tokens)]
+            )
             return pa.table(
-                [pa.array(ids, pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(out, pa.binary())],
+                [pa.array(ids, pa.int64()), pa.array(np.diff(cuts), pa.int64()), packed],
                 names=["doc_id", "n_tokens", "ids"],
             )
 
@@ -166,7 +171,8 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = held.value.__getitem__
-        for batch in batches:
+        parts = (whole.slice(start, 256) for whole in batches for start in range(0, whole.num_rows, 256))
+        for batch in parts:
             texts = [
                 b"".join(map(piece, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
                 for packed in batch.column(2).to_pylist()
