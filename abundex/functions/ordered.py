@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from abundex.functions.expressions import join_null_safe
+
 ITERATIONS_PER_SLICE = 65_536
 
 
@@ -43,7 +45,7 @@ def lag_in_slices(
     """``value`` of the previous row of the group, in order of ``slice_col, *order``."""
     inside = Window.partitionBy(*keys, slice_col).orderBy(*order)
     rows = df.withColumn("_before", F.lag(F.struct(value)).over(inside))
-    along = Window.partitionBy(*keys).orderBy(slice_col)
+    along = Window.partitionBy(*keys).orderBy(F.col(slice_col).asc_nulls_last())
     carried = (
         rows.groupBy(*keys, slice_col)
         .agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
@@ -51,7 +53,7 @@ def lag_in_slices(
         .drop("_last")
     )
     return (
-        rows.join(carried, [*keys, slice_col], "left")
+        join_null_safe(rows, carried, [*keys, slice_col])
         .withColumn(out, F.coalesce("_before", "_carried")[value])
         .drop("_before", "_carried")
     )
@@ -73,7 +75,9 @@ def running_sum(
     )
     rows = df.withColumn("_within", F.sum(value).over(inside))
     along = (
-        Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*keys)
+        .orderBy(F.col(slice_col).asc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
         rows.groupBy(*keys, slice_col)
@@ -82,7 +86,7 @@ def running_sum(
         .drop("_slice_sum")
     )
     return (
-        rows.join(offsets, [*keys, slice_col], "left")
+        join_null_safe(rows, offsets, [*keys, slice_col])
         .withColumn(out, F.col("_within") + F.col("_offset"))
         .drop("_within", "_offset")
     )

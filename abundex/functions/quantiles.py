@@ -100,7 +100,7 @@ def group_quantiles(
         return df.groupBy(*keys).agg(*(F.percentile(v, wanted).alias(v) for v in values))
     result = df.select(*keys).distinct()
     for v in values:
-        result = result.join(_ranked_quantiles(df, keys, v, probs, limit), list(keys), "left")
+        result = join_groups(result, _ranked_quantiles(df, keys, v, probs, limit), keys, "left")
     return result
 
 

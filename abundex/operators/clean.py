@@ -69,8 +69,11 @@ def observe_removed(df: DataFrame, removed: Column, observation: Observation) ->
     return df.observe(observation, F.count_if(removed).alias("removed"))
 
 
+CLEANING_STEPS = ("null_subject", "pattern", "empty", "low_feature")
+
+
 def removal_report(samples: DataFrame, counts: DataFrame, pattern: str = "Culture") -> DataFrame:
-    """Rows each cleaning step removes, in the order the steps run."""
+    """Rows each cleaning step removes, also where that is none."""
     found = (
         counts.filter(F.col("read_count") > 0)
         .groupBy("specimen_id2")
@@ -83,9 +86,8 @@ def removal_report(samples: DataFrame, counts: DataFrame, pattern: str = "Cultur
         .when(F.col("n_features") < 2, "low_feature")
         .alias("step")
     )
-    return tagged.filter(F.col("step").isNotNull()).groupBy("step").agg(
-        F.count(F.lit(1)).alias("removed")
-    )
+    sums = tagged.agg(*(F.count_if(F.col("step") == step).alias(step) for step in CLEANING_STEPS))
+    return sums.unpivot([], list(CLEANING_STEPS), "step", "removed")
 
 
 def flag_duplicates(samples: DataFrame, keys: Sequence[str] = REPEAT_KEYS) -> DataFrame:

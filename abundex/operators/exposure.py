@@ -37,11 +37,14 @@ DAY_KEYS = ("subject_id", "study_day")
 
 @dataclass(frozen=True)
 class EpisodeRule:
-    """Days ``first_day … last_day`` of a subject become ``new_subject_id``, shifted by ``offset``."""
+    """Days ``first_day … last_day`` of a subject become ``new_subject_id``, shifted by ``offset``.
+
+    An end that is ``None`` is open.
+    """
 
     subject_id: str
-    first_day: int
-    last_day: int
+    first_day: int | None
+    last_day: int | None
     new_subject_id: str
     offset: int = 0
 
@@ -107,7 +110,8 @@ def episode_rekey(
         return df
     covering = F.filter(
         "_rules",
-        lambda r: (F.col("study_day") >= r["first_day"]) & (F.col("study_day") <= r["last_day"]),
+        lambda r: F.coalesce(F.col("study_day") >= r["first_day"], r["first_day"].isNull())
+        & F.coalesce(F.col("study_day") <= r["last_day"], r["last_day"].isNull()),
     )
     joined = df.join(episode_rules(df.sparkSession, rules), "subject_id", "left").withColumn(
         "_rule", F.get(covering, 0)
@@ -158,13 +162,13 @@ def exposure_days(
 
     Cells are split, names mapped and dropped row by row, and the rest collected as
     a set before and after the shuffle, so the array is never longer than the list
-    of known exposures. A NULL entry stands for a record without exposure. Days
+    of known exposures. A NULL entry stands for a record without exposure, as
+    does a cell that holds no name. Days
     whose names are all dropped vanish. A dropped name that still has to suppress
     another one is taken out last.
     """
-    tokens = F.when(F.col("abx_b").isNull(), F.array(F.lit(None).cast("string"))).otherwise(
-        names_in_cell(F.col("abx_b"))
-    )
+    named = names_in_cell(F.col("abx_b"))
+    tokens = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit(None).cast("string")))
     needed = set(suppressed_by.values())
     early = [name for name in dropped if name not in needed]
     late = [name for name in dropped if name in needed]

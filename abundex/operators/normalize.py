@@ -17,16 +17,18 @@ def read_position(
 ) -> Column:
     """A place in ``[0, total)`` that depends only on specimen, draw and seed.
 
-    For whole counts, exactly: ``floor(h * total / 2^32)`` with a 32-bit hash ``h``.
+    For whole counts, exactly: ``floor(h * total / 2^60)`` with a 60-bit hash ``h``, where
+    products fit in two halves of ``h`` and as decimals else.
     """
     text = F.concat_ws("|", specimen.cast("string"), draw.cast("string"), F.lit(str(seed)))
-    word = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    word = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
     if not whole:
-        return word / F.lit(2.0**32) * total
-    wide = word.cast("decimal(20,0)") * total / F.lit(2**32).cast("decimal(20,0)")
-    return F.when(total < 2**31, F.shiftright(word * total, 32)).otherwise(
-        F.floor(wide).cast("long")
-    )
+        return word / F.lit(2.0**60) * total
+    high, low = F.shiftright(word, 30), word.bitwiseAND((1 << 30) - 1)
+    short = F.shiftright(high * total + F.shiftright(low * total, 30), 30)
+    wide = word.cast("decimal(19,0)") * total.cast("decimal(18,0)")
+    long = F.call_function("div", wide, F.lit(1 << 60).cast("decimal(19,0)")).cast("long")
+    return F.when(total < 1 << 32, short).otherwise(long)
 
 
 def rarefy(

@@ -123,14 +123,12 @@ def median_qi(
     return found.select(*keys, *columns)
 
 
-def interval_limit(draws: DataFrame, scalar: str = "a", limit: int = GROUP_ROWS) -> int | None:
+def interval_limit(draws: DataFrame, limit: int = GROUP_ROWS) -> int | None:
     """The ``limit`` for ``median_qi`` over indexed parameters of these draws.
 
-    A parameter has one value per draw, so the draws of one scalar parameter, a
-    pushed-down filter and a count, bound the groups of all others.
+    A parameter has one value per draw, so the number of draws bounds every group.
     """
-    few = draws.filter(F.col("parameter") == scalar).count() <= limit
-    return None if few else limit
+    return None if draws.select("draw").distinct().count() <= limit else limit
 
 
 def scale_summary(
@@ -227,7 +225,10 @@ def effect_table(
 
 
 def sample_groups(df: DataFrame, n: int, seed: int = 1988, key: str = "draw") -> DataFrame:
-    """``n`` draws picked by a seeded hash."""
+    """``n`` draws picked by a seeded hash; there must be as many."""
+    found = df.select(key).distinct().limit(n).count()
+    if found < n:
+        raise ValueError(f"{n} draws wanted, {found} found")
     picked = (
         df.select(key)
         .distinct()
@@ -321,7 +322,9 @@ def pp_rollout(
                         F.array(
                             link(
                                 specimen,
-                                F.coalesce(F.get(done, F.size(done) - 1), F.col("_previous")),
+                                F.when(F.size(done) == 0, F.col("_previous")).otherwise(
+                                    F.get(done, F.size(done) - 1)
+                                ),
                             ).cast("double")
                         ),
                     ),

@@ -24,6 +24,8 @@ ADAPTIVE_SETTINGS = {
 
 # Contexts that have the code.
 _SHIPPED: list = []
+# Paths handed out in the shared folder.
+_WRITTEN: list[str] = []
 
 
 def build_session(name: str = "abundex", master: str | None = None, **settings: str) -> SparkSession:
@@ -81,10 +83,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to reliable storage and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared folder and go on from there."""
+    path = fresh_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Remove every table written for this context so far; frames that read them are done for."""
+    context = spark.sparkContext
+    while _WRITTEN:
+        path = context._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,7 +21,7 @@ def read_table(
     """Read Parquet or CSV; ``columns`` maps a wanted name to the file's name for it."""
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("nullValue", "NA")
+        reader = reader.option("header", True).option("nullValue", "NA").option("emptyValue", "NA")
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.load(path)
@@ -98,13 +98,14 @@ def read_stains(
     return df.withColumnRenamed("dominant_genus", "Genus")
 
 
-def write_draws(draws: DataFrame, path: str, model: str, mode: str = "append") -> None:
-    """Store one model's draws under its own partition, sorted so that a filter on
-    ``parameter`` skips row groups."""
+def write_draws(draws: DataFrame, path: str, model: str, mode: str = "overwrite") -> None:
+    """Store one model's draws under its own partition, in place of those it has there, sorted
+    so that a filter on ``parameter`` skips row groups."""
     (
         draws.withColumn("model", F.lit(model))
         .sortWithinPartitions("parameter", "draw")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("model")
         .parquet(path)
     )

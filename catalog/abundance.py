@@ -467,8 +467,8 @@ spans AS (
   FROM {source} c JOIN deep USING (specimen_id2)),
 picks AS (
   SELECT specimen_id2, CAST(floor(
-    CAST(CAST('0x' || substr(md5(concat_ws('|', specimen_id2, n, '1988')), 1, 8) AS BIGINT) AS HUGEINT)
-      * total // 4294967296) AS BIGINT) AS u
+    CAST(CAST('0x' || substr(md5(concat_ws('|', specimen_id2, n, '1988')), 1, 15) AS BIGINT) AS HUGEINT)
+      * total // 1152921504606846976) AS BIGINT) AS u
   FROM deep CROSS JOIN range({DEPTH}) t(n))"""
     last = """SELECT p.specimen_id2, s.otu_id, count(*) AS read_count
 FROM picks p JOIN spans s ON s.specimen_id2 = p.specimen_id2 AND p.u >= s.hi - s.read_count AND p.u < s.hi
@@ -513,7 +513,7 @@ step4 AS (SELECT * FROM step3 WHERE n > 1)""",
   SELECT 'null_subject' AS step, (SELECT count(*) FROM raw) - (SELECT count(*) FROM step1) AS removed
   UNION ALL SELECT 'pattern', (SELECT count(*) FROM step1) - (SELECT count(*) FROM step2)
   UNION ALL SELECT 'empty', (SELECT count(*) FROM step2) - (SELECT count(*) FROM step3)
-  UNION ALL SELECT 'low_feature', (SELECT count(*) FROM step3) - (SELECT count(*) FROM step4)) WHERE removed > 0""",
+  UNION ALL SELECT 'low_feature', (SELECT count(*) FROM step3) - (SELECT count(*) FROM step4))""",
     ),
     "P7_select_rename_drop": with_ctes(
         r.SAMPLES,

@@ -16,7 +16,7 @@ from catalog.roles import r6, rounded, sql_r6, with_ctes
 
 WIDTH = 0.5
 LABELS = {"click.purchase": "Click/Purchase", "signup": "Signup"}
-SAMPLED_DRAWS = 20
+SAMPLED_DRAWS = 150
 CODE_BITS = 64
 
 

@@ -17,7 +17,7 @@ from abundex.schemas import AbundanceSet
 COMBINED = {"purchase": "click.purchase"}
 SUPPRESSED_BY = {"click": "click.purchase"}
 DROPPED = ("error",)
-RULES = (EpisodeRule("7", -10_000, 12, "7a"), EpisodeRule("7", 18, 10_000, "7b", 18))
+RULES = (EpisodeRule("7", None, 12, "7a"), EpisodeRule("7", 18, None, "7b", 18))
 CLEANING = {"combined": COMBINED, "suppressed_by": SUPPRESSED_BY, "dropped": DROPPED}
 
 

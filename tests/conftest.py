@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from abundex.session import build_session  # noqa: E402
+from abundex.session import build_session, remove_written  # noqa: E402
 
 
 def local_session():
@@ -30,4 +30,5 @@ def local_session():
 def spark():
     session = local_session()
     yield session
+    remove_written(session)
     session.stop()
