@@ -194,11 +194,20 @@ def labelled(df: DataFrame, index: DataFrame, idx_col: str, label_col: str) -> D
     return df.join(names, idx_col).drop(idx_col)
 
 
+def all_labelled(
+    effects: DataFrame, subject_index: DataFrame, exposure_index: DataFrame, k_index: DataFrame
+) -> DataFrame:
+    """Effects under the labels of subject, exposure and k."""
+    named = labelled(labelled(effects, subject_index, "i", "subjects"), exposure_index, "j", "abx_lag")
+    return labelled(named.withColumnRenamed("k", "_k"), k_index, "_k", "k")
+
+
 def effect_table(
     draws: DataFrame,
     rows: DataFrame,
     subject_index: DataFrame,
     exposure_index: DataFrame,
+    k_index: DataFrame,
     covariate: DataFrame | None = None,
     covariate_columns: Sequence[str] = (),
     exposures: Sequence[str] | None = None,
@@ -206,7 +215,10 @@ def effect_table(
     width: float = 0.5,
     reference_lag: float = REFERENCE_LAG,
 ) -> DataFrame:
-    """Effect ratio per subject, exposure and k, for the observed combinations."""
+    """Effect ratio per subject, exposure and k, for the observed combinations.
+
+    The fitted indices i, j and k are codes; each is turned back into its label.
+    """
     spread = spread_draws(draws, "a", "b_lag", "a_subj[i]", "b_abx2[i,j,k]")
     effects = median_qi(
         effect_contrast(spread, reference_lag=reference_lag),
@@ -215,7 +227,7 @@ def effect_table(
         width,
         interval_limit(draws),
     )
-    named = labelled(labelled(effects, subject_index, "i", "subjects"), exposure_index, "j", "abx_lag")
+    named = all_labelled(effects, subject_index, exposure_index, k_index)
     result = observed_combos(named, observed_distinct(rows))
     if covariate is not None:
         result = subject_covariate_join(result, covariate, rows, covariate_columns)

@@ -460,7 +460,7 @@ d5 AS (
 _CAPPED = f"CASE WHEN h.continuous > {MAX_CONTINUOUS} THEN {MAX_CONTINUOUS} ELSE h.continuous END"
 _MODEL_BASE = (*_history_base(), r.REKEYED_SAMPLES, r.EVENT_COUNTS, r.DIVERSITY)
 _RATIO = (*_MODEL_BASE, _frame_ctes("h.day_lag <= 2", "h.day_lag", MIN_SUBJECTS, MIN_MEDIAN))
-_LAG = (
+LAG = (
     *_MODEL_BASE,
     _frame_ctes(f"h.day_lag <= {MAX_LAG}", "h.day_lag", MIN_SUBJECTS, MIN_MEDIAN),
 )
@@ -603,7 +603,7 @@ FROM esamples LEFT JOIN d1 USING (specimen_id2)""",
         _frame_ctes(f"h.day_lag <= {MAX_LAG}", "h.day_lag", 2, 1),
         "SELECT * FROM kept",
     ),
-    "J11_keep_subjects": with_ctes(*_LAG, "SELECT DISTINCT subjects, specimens FROM d5"),
+    "J11_keep_subjects": with_ctes(*LAG, "SELECT DISTINCT subjects, specimens FROM d5"),
     "N7_pivot_exposures": with_ctes(
         *CONTINUOUS,
         """SELECT specimens, subjects, CAST(bool_or(abx_lag = 'click') AS INT) AS click,
@@ -616,8 +616,8 @@ FROM d5 GROUP BY 1, 2""",
         f"""SELECT DISTINCT specimens, subjects, {sql_r6('"D1_delta"')} AS "D1_delta" FROM d5""",
     ),
     "G1_ratio_design": with_ctes(*_RATIO, DESIGN, "SELECT * FROM design"),
-    "G2_lag_obs": with_ctes(*_LAG, _OBS),
-    "G2_lag_design": with_ctes(*_LAG, DESIGN, "SELECT * FROM design"),
+    "G2_lag_obs": with_ctes(*LAG, _OBS),
+    "G2_lag_design": with_ctes(*LAG, DESIGN, "SELECT * FROM design"),
     "G3_continuous_obs": with_ctes(*CONTINUOUS, _OBS),
     "G3_continuous_design": with_ctes(*CONTINUOUS, DESIGN, "SELECT * FROM design"),
     "N8_dense_design": with_ctes(

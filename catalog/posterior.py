@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from abundex.functions.expressions import any_bit
 from abundex.operators import diagnostics, diversity, exposure, frame, model, posterior
 from abundex.operators.model import VARIANTS, Scales
+from abundex.schemas import ModelFrame
 from abundex.session import fresh_path
 from abundex.sources import tables
 from catalog import exposure as e
@@ -91,8 +92,8 @@ def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     built = e._continuous(spark, d)
     subjects = frame.label_index(built.obs, "subjects")
     exposures = frame.label_index(built.kept, "abx_lag")
-    effects = posterior.labelled(_intervals(spark, d), subjects, "i", "subjects")
-    return posterior.labelled(effects, exposures, "j", "abx_lag"), built.rows
+    steps = frame.label_index(built.design, "k")
+    return posterior.all_labelled(_intervals(spark, d), subjects, exposures, steps), built.rows
 
 
 def j9_observed_combos(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +132,7 @@ def b4_effect_table(spark: SparkSession, d: str) -> DataFrame:
         built.rows,
         frame.label_index(built.obs, "subjects"),
         frame.label_index(built.kept, "abx_lag"),
+        frame.label_index(built.design, "k"),
         covariate=_start(spark, d),
         covariate_columns=["D1_start"],
         exposures=["click.purchase", "signup"],
@@ -140,6 +142,21 @@ def b4_effect_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, "difference", "difference_lower", "difference_upper", "D1_start")
 
 
+def b4_lag_table(spark: SparkSession, d: str) -> DataFrame:
+    """On the lag frame, whose k starts at 0."""
+    built = e._lag(spark, d)
+    found = posterior.effect_table(
+        r.draws(spark, d),
+        built.rows,
+        frame.label_index(built.obs, "subjects"),
+        frame.label_index(built.kept, "abx_lag"),
+        frame.label_index(built.design, "k"),
+        width=WIDTH,
+    )
+    columns = ("difference", "difference_lower", "difference_upper")
+    return rounded(found.select("subjects", "abx_lag", "k", *columns), *columns)
+
+
 def b4_effects_by_stain(spark: SparkSession, d: str) -> DataFrame:
     """The effects next to the share of one stain at the subject's baseline."""
     built = e._continuous(spark, d)
@@ -154,6 +171,7 @@ def b4_effects_by_stain(spark: SparkSession, d: str) -> DataFrame:
         built.rows,
         frame.label_index(built.obs, "subjects"),
         frame.label_index(built.kept, "abx_lag"),
+        frame.label_index(built.design, "k"),
         covariate=start.filter(F.col("specimen_type") == e.TYPE),
         covariate_columns=["stain", "stain_prop"],
         labels=LABELS,
@@ -245,19 +263,22 @@ def b6_noncentered_effects(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, "b_abx2")
 
 
-def _indexed_frame(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    built = e._continuous(spark, d)
+def _indexed_frame(built: ModelFrame) -> tuple[DataFrame, DataFrame]:
     i = frame.label_index(built.obs, "subjects").select("subjects", F.col("idx").cast("int").alias("i"))
     j = frame.label_index(built.kept, "abx_lag").select("abx_lag", F.col("idx").cast("int").alias("j"))
+    k = frame.label_index(built.design, "k").select("k", F.col("idx").cast("int").alias("_k"))
     obs = built.obs.join(i, "subjects").drop("subjects")
-    design = built.design.join(i, "subjects").join(j, "abx_lag").select("specimens", "i", "j", "k")
+    coded = built.design.join(i, "subjects").join(j, "abx_lag").join(k, "k")
+    design = coded.select("specimens", "i", "j", F.col("_k").alias("k"))
     return obs, design
 
 
-def _predictor(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    obs, design = _indexed_frame(spark, d)
+def _predictor(
+    spark: SparkSession, d: str, build=e._continuous, variant: str = "3.5"
+) -> tuple[DataFrame, DataFrame]:
+    obs, design = _indexed_frame(build(spark, d))
     effects = posterior.spread_draws(r.draws(spark, d), "b_abx2[i,j,k]")
-    return obs, model.linear_predictor(obs, design, effects, r.draws(spark, d), VARIANTS["3.5"])
+    return obs, model.linear_predictor(obs, design, effects, r.draws(spark, d), VARIANTS[variant])
 
 
 def b7_linear_predictor(spark: SparkSession, d: str) -> DataFrame:
@@ -269,6 +290,15 @@ def b8_pointwise_loglik(spark: SparkSession, d: str) -> DataFrame:
     return rounded(model.pointwise_loglik(mu, obs, r.draws(spark, d)), "log_lik")
 
 
+def b7_lag_predictor(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_predictor(spark, d, e._lag, "3.4")[1], "mu")
+
+
+def b8_lag_loglik(spark: SparkSession, d: str) -> DataFrame:
+    obs, mu = _predictor(spark, d, e._lag, "3.4")
+    return rounded(model.pointwise_loglik(mu, obs, r.draws(spark, d)), "log_lik")
+
+
 def b9_log_prior(spark: SparkSession, d: str) -> DataFrame:
     found = model.log_prior(r.raw_effect_draws(spark, d), VARIANTS["3.8"])
     return rounded(found, "log_prior")
@@ -389,6 +419,9 @@ QUERIES = {
     "J10_subject_covariate": j10_subject_covariate,
     "B4_effect_table": b4_effect_table,
     "B4_effects_by_stain": b4_effects_by_stain,
+    "B4_lag_table": b4_lag_table,
+    "B7_lag_predictor": b7_lag_predictor,
+    "B8_lag_loglik": b8_lag_loglik,
     "O3_sample_groups": o3_sample_groups,
     "W13_draw_group_index": w13_draw_group_index,
     "B5_pp_rollout": b5_pp_rollout,
@@ -427,9 +460,11 @@ _QI = """qi AS (
   FROM (SELECT *, exp(a + a_subj + b_abx2 + b_lag * 3) / exp(a + a_subj + b_lag * 3) AS difference FROM effects)
   GROUP BY 1, 2, 3)"""
 _LABELS = """sidx AS (SELECT subjects, dense_rank() OVER (ORDER BY subjects) AS i FROM (SELECT DISTINCT subjects FROM d5)),
-aidx AS (SELECT abx_lag, dense_rank() OVER (ORDER BY abx_lag) AS j FROM kept)"""
+aidx AS (SELECT abx_lag, dense_rank() OVER (ORDER BY abx_lag) AS j FROM kept),
+kidx AS (SELECT k, dense_rank() OVER (ORDER BY k) AS code FROM (SELECT DISTINCT k FROM design))"""
 _NAMED = """named AS (
-  SELECT s.subjects, a.abx_lag, q.* EXCLUDE (i, j) FROM qi q JOIN sidx s USING (i) JOIN aidx a USING (j)),
+  SELECT s.subjects, a.abx_lag, x.k, q.* EXCLUDE (i, j, k)
+  FROM qi q JOIN sidx s USING (i) JOIN aidx a USING (j) JOIN kidx x ON x.code = q.k),
 marked AS (
   SELECT n.*, coalesce(o.seen, false) AS observed
   FROM (SELECT DISTINCT subjects, abx_lag, k, true AS seen FROM d5) o RIGHT JOIN named n
@@ -459,11 +494,12 @@ sstart AS (
   FROM sgrid g LEFT JOIN (SELECT * FROM sranked WHERE pos = 1) r
     ON r.subjects = g.subjects AND r.specimen_type = g.specimen_type AND r.stain IS NOT DISTINCT FROM g.stain
   WHERE g.specimen_type = '{e.TYPE}')"""
-_NAMED_BASE = (*e.CONTINUOUS, r.EFFECTS, _QI, _LABELS, _NAMED)
+_NAMED_BASE = (*e.CONTINUOUS, e.DESIGN, r.EFFECTS, _QI, _LABELS, _NAMED)
 _MU = """iobs AS (
   SELECT DISTINCT d5.specimens, s.i, d5."D1", d5."D1_lag" FROM d5 JOIN sidx s ON s.subjects = d5.subjects),
 ides AS (
-  SELECT d.specimens, s.i, a.j, d.k FROM design d JOIN sidx s USING (subjects) JOIN aidx a USING (abx_lag)),
+  SELECT d.specimens, s.i, a.j, x.code AS k
+  FROM design d JOIN sidx s USING (subjects) JOIN aidx a USING (abx_lag) JOIN kidx x ON x.k = d.k),
 dense AS (
   SELECT e.draw, o.specimens, o."D1", e.sigma, e.a + e.a_subj + e.b_lag * o."D1_lag" AS base,
     e.b_abx2 * CAST(x.specimens IS NOT NULL AS INT) AS term
@@ -471,6 +507,7 @@ dense AS (
   LEFT JOIN ides x ON x.specimens = o.specimens AND x.j = e.j AND x.k = e.k),
 mus AS (SELECT draw, specimens, "D1", sigma, base + sum(term) AS mu FROM dense GROUP BY draw, specimens, "D1", sigma, base)"""
 _MU_BASE = (*e.CONTINUOUS, e.DESIGN, r.EFFECTS, _LABELS, _MU)
+_LAG_MU_BASE = (*e.LAG, e.DESIGN, r.EFFECTS, _LABELS, _MU)
 _PICKED = f"""picked AS (
   SELECT draw FROM (SELECT DISTINCT draw FROM draws) ORDER BY md5(concat_ws('|', draw, '1988')), draw LIMIT {{n}})"""
 _ROLLOUT = f"""
@@ -709,6 +746,25 @@ FROM effects e JOIN embeddings m ON m.vec_id = e.draw""",
     "B8_pointwise_loglik": with_ctes(
         *_MU_BASE,
         f"""SELECT draw, specimens,
+  {sql_r6('-ln("D1") - ln(sigma) - 0.5 * ln(2 * pi()) - ((ln("D1") - mu) / sigma) ** 2 / 2')} AS log_lik FROM mus""",
+    ),
+    "B4_lag_table": with_ctes(
+        *e.LAG,
+        e.DESIGN,
+        r.EFFECTS,
+        _QI,
+        _LABELS,
+        _NAMED,
+        f"""SELECT subjects, abx_lag, k, {sql_r6("difference")} AS difference,
+  {sql_r6("difference_lower")} AS difference_lower, {sql_r6("difference_upper")} AS difference_upper
+FROM marked WHERE observed""",
+    ),
+    "B7_lag_predictor": with_ctes(
+        *_LAG_MU_BASE, f"SELECT draw, specimens, {sql_r6('mu')} AS mu FROM mus"
+    ),
+    "B8_lag_loglik": with_ctes(
+        *_LAG_MU_BASE,
+        f"""SELECT draw, specimens,
   {sql_r6('-ln("D1") - ln(sigma) - 0.5 * ln(2 * pi()) - ((ln("D1") - mu) / sigma) ** 2 / 2')} AS log_lik FROM mus""",
     ),
     "B9_log_prior": with_ctes(

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from abundex.operators import diagnostics, model
+from abundex.operators import diagnostics, frame, model
 from abundex.operators.model import VARIANTS, Scales
 
 
@@ -110,9 +110,11 @@ def normal(x, mean, sd):
 
 def test_predictor_with_all_terms(spark, draws):
     variant = VARIANTS["3.0"]
-    obs = spark.createDataFrame([("1", 1), ("2", 1), ("3", 2)], "specimens string, i int")
+    obs = spark.createDataFrame([("s17", 1), ("s42", 1), ("x", 2)], "specimens string, i int")
+    codes = frame.label_index(obs, "specimens").withColumnRenamed("idx", "specimen")
+    obs = obs.join(codes, "specimens")
     design = spark.createDataFrame(
-        [("1", 1, 1, 1), ("1", 1, 2, 2), ("3", 2, 1, 2)], "specimens string, i int, j int, k int"
+        [("s17", 1, 1, 1), ("s17", 1, 2, 2), ("x", 2, 1, 2)], "specimens string, i int, j int, k int"
     )
     effects = model.noncentered_effects(draws, variant)
     mu = model.linear_predictor(obs, design, effects, draws, variant, model.population_effects(draws))
@@ -126,9 +128,9 @@ def test_predictor_with_all_terms(spark, draws):
             return own + v[f"za_abx1[{k}]"] + v[f"zb_abx1[{j},{k}]"] * v[f"s_abx1[{k}]"]
 
         base = {n: v["a"] + v[f"a_spec[{n}]"] + v[f"a_subj[{i}]"] for n, i in ((1, 1), (2, 1), (3, 2))}
-        assert found[draw, "1"] == pytest.approx(base[1] + b(1, 1, 1) + b(1, 2, 2))
-        assert found[draw, "2"] == pytest.approx(base[2])
-        assert found[draw, "3"] == pytest.approx(base[3] + b(2, 1, 2))
+        assert found[draw, "s17"] == pytest.approx(base[1] + b(1, 1, 1) + b(1, 2, 2))
+        assert found[draw, "s42"] == pytest.approx(base[2])
+        assert found[draw, "x"] == pytest.approx(base[3] + b(2, 1, 2))
 
 
 @pytest.mark.parametrize("name", ["3.0", "3.2", "3.5", "3.7", "3.9b"])
