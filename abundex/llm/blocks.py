@@ -37,9 +37,10 @@ class _Numbers(dict):
 def _blocks(
     batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], block_chars: int
 ) -> Iterator[tuple[int, list[str], np.ndarray, list[int | None], list[np.ndarray]]]:
-    """(block id, words, their counts, document ids, sequences) from rows (id, text).
+    """(block id, words, their counts, document ids, sequences) from rows (id, text[, counted]).
 
     A text is turned into numbers as it comes; a block holds those and its distinct words.
+    Words of texts that are not ``counted`` get a number, but no count.
     """
     import xxhash
     from pyspark import TaskContext
@@ -47,22 +48,26 @@ def _blocks(
     context = TaskContext.get()
     place = context.partitionId() if context else 0
     number, size = 0, 0
-    numbers, ids, sequences, seen = _Numbers(), [], [], xxhash.xxh64(f"{place}/0")
+    numbers, ids, sequences, counted, seen = _Numbers(), [], [], [], xxhash.xxh64(f"{place}/0")
 
     def close() -> tuple:
         first_seen = list(numbers)
         counts = np.zeros(len(first_seen), np.int64)
-        for sequence in sequences:
+        learned = np.zeros(len(first_seen), np.int64)
+        for sequence, learn in zip(sequences, counted, strict=True):
             np.add.at(counts, sequence, 1)
+            if learn:
+                np.add.at(learned, sequence, 1)
         order = sorted(range(len(first_seen)), key=lambda i: (-counts[i], first_seen[i]))
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         words = [first_seen[i] for i in order]
-        return seen.intdigest() - (1 << 63), words, counts[order], ids, [rank[x] for x in sequences]
+        return seen.intdigest() - (1 << 63), words, learned[order], ids, [rank[x] for x in sequences]
 
     for batch in batches:
-        for i, text in zip(*batch.columns, strict=True):
+        for i, text, *learn in zip(*batch.columns, strict=True):
             i, text = i.as_py(), text.as_py()
+            counted.append(learn[0].as_py() if learn else True)
             words = split(text)
             ids.append(i)
             sequences.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
@@ -72,7 +77,8 @@ def _blocks(
             if size >= block_chars:
                 yield close()
                 number, size = number + 1, 0
-                numbers, ids, sequences, seen = _Numbers(), [], [], xxhash.xxh64(f"{place}/{number}")
+                numbers, ids, sequences, counted = _Numbers(), [], [], []
+                seen = xxhash.xxh64(f"{place}/{number}")
     if ids:
         yield close()
 
@@ -80,7 +86,7 @@ def _blocks(
 def block_words(
     docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS, word_type: str = "string"
 ) -> DataFrame:
-    """(block, number, word, n) for each distinct word of a block; ``docs`` has (doc_id, text).
+    """(block, number, word, n) for each distinct word of a block; ``docs`` has (doc_id, text[, counted]).
 
     ``split`` may also give numbers in place of words, with ``word_type`` long.
     """
