@@ -125,13 +125,7 @@ def p11_non_empty_assert(spark: SparkSession, d: str) -> DataFrame:
 
 def j1_reconcile_keys(spark: SparkSession, d: str) -> DataFrame:
     """Row counts of the reconciled tables; samples without orders lines are left out."""
-    whole = r.abundance_set(spark, d)
-    part = AbundanceSet(
-        whole.counts,
-        whole.samples.filter(F.col("specimen_type") != "P"),
-        whole.taxonomy.filter(F.col("Genus").isNotNull()),
-    )
-    kept = clean.reconcile_keys(part)
+    kept = clean.reconcile_keys(r.abundance_set(spark, d))
     sizes = [
         df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("part"), "n")
         for name, df in (
@@ -534,10 +528,10 @@ WHERE o_orderstatus = 'O' GROUP BY 1""",
         r.COUNTS,
         r.SAMPLES,
         r.TAXONOMY,
-        """kept AS (SELECT c.* FROM counts c JOIN samples s USING (specimen_id2) WHERE s.specimen_type <> 'P')""",
+        "kept AS (SELECT c.* FROM counts c JOIN samples s USING (specimen_id2))",
         """SELECT 'counts' AS part, count(*) AS n FROM kept
 UNION ALL SELECT 'samples', count(DISTINCT specimen_id2) FROM kept
-UNION ALL SELECT 'taxonomy', count(DISTINCT otu_id) FROM kept JOIN taxonomy t USING (otu_id) WHERE t."Genus" IS NOT NULL""",
+UNION ALL SELECT 'taxonomy', count(DISTINCT otu_id) FROM kept JOIN taxonomy t USING (otu_id)""",
     ),
     "U1_key_intersection": """SELECT l_orderkey AS specimen_id2 FROM lineitem INTERSECT SELECT o_orderkey FROM orders""",
     "J2_melt_join_dims": with_ctes(

@@ -30,18 +30,12 @@ def _spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _spanned(spark: SparkSession, d: str) -> DataFrame:
-    """Exposures with the spans of two specimen types, sampled in the first twenty days."""
-    sampled = r.event_samples(spark, d).filter(
-        F.col("specimen_type").isin("0", "1") & (F.col("study_day") < 20)
-    )
-    return exposure.exposure_right_join(
-        exposure.subject_span(sampled), r.event_exposures(spark, d)
-    )
+    """Exposures with the spans of their subjects."""
+    return exposure.exposure_right_join(_spans(spark, d), r.event_exposures(spark, d))
 
 
 def _rekeyed(spark: SparkSession, d: str) -> DataFrame:
-    spanned = exposure.exposure_right_join(_spans(spark, d), r.event_exposures(spark, d))
-    return exposure.episode_rekey(exposure.study_window_filter(spanned), r.RULES)
+    return exposure.episode_rekey(exposure.study_window_filter(_spanned(spark, d)), r.RULES)
 
 
 def _days(spark: SparkSession, d: str) -> DataFrame:
@@ -418,7 +412,7 @@ QUERIES = {
 
 _EARLY = """spans2 AS (
   SELECT subject_id, min(enroll_date) AS enroll_date, max(collection_date) AS exit_date
-  FROM esamples WHERE specimen_type IN ('0', '1') AND study_day < 20 GROUP BY 1),
+  FROM esamples GROUP BY 1),
 spanned2 AS (
   SELECT m.subject_id, s.enroll_date, s.exit_date, m.collection_date, m.abx_b,
     date_diff('day', s.enroll_date, m.collection_date) AS study_day

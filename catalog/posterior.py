@@ -351,10 +351,8 @@ def k5_check_rhat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def k6_khat(spark: SparkSession, d: str) -> DataFrame:
-    """Of the parameters that are positive by construction."""
-    name = F.col("parameter")
-    scales = r.draws(spark, d).filter(name.startswith("s"))
-    return rounded(diagnostics.khat(scales, ["parameter"], "value"), "khat")
+    """Of every parameter; those with values that are not positive have 0."""
+    return rounded(diagnostics.khat(r.draws(spark, d), ["parameter"], "value"), "khat")
 
 
 def k7_tail_khats(spark: SparkSession, d: str) -> DataFrame:
@@ -796,7 +794,7 @@ FROM entries a JOIN entries b ON b.specimens = a.specimens AND b.name >= a.name
     ),
     "K6_khat": with_ctes(
         r.DRAWS,
-        "scales AS (SELECT parameter AS g, value AS x FROM draws WHERE parameter LIKE 's%')",
+        "scales AS (SELECT parameter AS g, value AS x FROM draws)",
         _khats("scales"),
         f"SELECT g AS parameter, {sql_r6('khat')} AS khat FROM khats",
     ),
