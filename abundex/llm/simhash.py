@@ -11,6 +11,13 @@ that is still long is not paired off: any two members within the limit agree in
 parts of the bits that vary in the list, so it is cut by each part in turn until the pieces are
 short. Only enough links to connect a piece leave the task.
 
+The near-copy stage of the pipeline compares sets of five-word shingles by Jaccard similarity, 0.8
+or more, and finds all such pairs: two such sets share a member among the first fifth (and one) of
+each in any common order of shingles. The order puts those last that are frequent in a sample, which
+changes the cost and not the result. Every candidate is verified on the sets. A long list is first
+compared with one member after another, members connected to it leave, and what is still in
+different components is compared pair by pair, in strips that are dealt out to many tasks.
+
 Defined results: a null or empty text has fingerprint zero and is linked like any other; repeated
 rows share a fingerprint; null ids count last as smallest id; an empty table gives an empty
 result; other columns do not matter.
@@ -18,7 +25,7 @@ result; other columns do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -196,130 +203,253 @@ def _named(fps: DataFrame, nodes: DataFrame, id_: str, roots: DataFrame) -> Data
     return join_groups(fps, named, [id_])
 
 
-WIDE_WORDS = 4
-WIDE_BITS = 64 * WIDE_WORDS
-WIDE_BYTES = 8 * WIDE_WORDS
-# Differing bits out of WIDE_BITS: a Jaccard similarity of 0.8 is a cosine of 8/9 and 38.7 bits in
-# the mean, scattered by 5.7 bits; the limit lets nine of ten pairs at 0.8 pass.
-WIDE_LIMIT = 46
-# Each key takes three byte positions: a start and two steps.
-STEPS = ((1, 3), (4, 9), (6, 17), (7, 19))
-ROWS = 64
+SLOTS = 1 << 22
+ORDER_DOCS = 20_000
+COMMON = 8
+LIST = 128
+STRIP = 1_024
+ROUNDS = 4
 
 
-def wide_fingerprint(text: str, shingle: int) -> list[int]:
-    """Four SimHash words over the set of a text's word shingles."""
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """Hashes of a text's different word shingles, in order."""
     import xxhash
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return [0] * WIDE_WORDS
-    runs = range(max(1, len(words) - shingle + 1))
-    found = {xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in runs}
-    hashes = np.fromiter(found, dtype=np.uint64, count=len(found))
-    columns = [hashes]
-    for n in range(1, WIDE_WORDS):
-        mixed = (hashes + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
-        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        columns.append(mixed ^ (mixed >> np.uint64(27)))
-    votes = np.zeros(WIDE_BITS, np.int64)
-    for start in range(0, len(hashes), 16_384):
-        rows = np.stack([c[start : start + 16_384] for c in columns], axis=1).view(np.uint8)
-        votes += np.unpackbits(rows, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view(np.int64).tolist()
-
-
-def connect_wide(fps: np.ndarray, limit: int = WIDE_LIMIT) -> list[tuple[int, int]]:
-    """Links (row, row) that connect all rows of a list within ``limit`` bits, not every pair.
-
-    Rows are compared in strips, so memory grows with the list and not with its square.
-    """
-    labels = np.arange(len(fps))
-    links: list[tuple[int, int]] = []
-    for start in range(0, len(fps) - 1, ROWS):
-        strip, rest = fps[start : start + ROWS], fps[start:]
-        differ = np.zeros((len(strip), len(rest)), np.uint16)
-        shared = np.zeros((len(strip), len(rest)), np.uint8)
-        for w in range(fps.shape[1]):
-            x = strip[:, None, w] ^ rest[None, :, w]
-            differ += np.bitwise_count(x)
-            shared += (x.view(np.uint8).reshape(*x.shape, 8) == 0).sum(axis=2, dtype=np.uint8)
-        near = (shared >= 3) & (differ <= limit)
-        for i in range(len(strip)):
-            mine = start + i
-            partners = start + i + 1 + np.flatnonzero(near[i, i + 1 :])
-            partners = partners[labels[partners] != labels[mine]]
-            if len(partners):
-                _, first = np.unique(labels[partners], return_index=True)
-                links += [(mine, int(j)) for j in partners[first]]
-                joined = np.isin(labels, labels[partners])
-                labels[joined] = labels[mine]
-    return links
-
-
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) of node ids between fingerprints (id, w0..w3) that are likely similar enough.
-
-    The tally of shared byte positions starts at the three of a key.
-    """
-    words = [f"w{n}" for n in range(WIDE_WORDS)]
-    bytes_ = [
-        F.shiftrightunsigned(w, 8 * b).bitwiseAND(F.lit(255).cast("long")) for w in words for b in range(8)
-    ]
-    keys = []
-    for a in range(WIDE_BYTES):
-        for number, (b, c) in enumerate(STEPS):
-            key = F.lit(a * len(STEPS) + number).cast("long")
-            for place in (a, a + b, a + c):
-                key = F.shiftleft(key, 8).bitwiseOR(bytes_[place % WIDE_BYTES])
-            keys.append(key)
-    index = nodes.select(F.explode(F.array(*keys)).alias("key"), "id", *words)
-    schema = "u long, v long"
+        return np.empty(0, np.uint64)
+    joined, width = b" ".join(words), min(shingle, len(words))
+    ends = list(accumulate(len(w) + 1 for w in words))
+    hashed, starts = xxhash.xxh64_intdigest, [0, *ends[:-1]]
+    found = {hashed(joined[a : b - 1], SEED) for a, b in zip(starts, ends[width - 1 :], strict=False)}
+    return np.sort(np.fromiter(found, dtype=np.uint64, count=len(found)))
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sets of hashes have a Jaccard similarity of 0.8 or more."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 5 * common >= 4 * (len(x) + len(y) - common)
+
+
+def _slots_of(rows: DataFrame, slots: Callable[[pa.RecordBatch], np.ndarray], least: int) -> np.ndarray:
+    """How often each of ``SLOTS`` slots occurs, 0 below ``least``; its size does not depend on the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty((0, 2 + WIDE_WORDS), np.int64)
+        for batch in batches:
+            found, n = np.unique(slots(batch), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+
+    total = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = total.filter(F.col("n") >= least).toArrow()
+    out = np.zeros(SLOTS, np.int32)
+    out[counted.column("slot").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 31) - 1)
+    return out
+
+
+def _top(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def _common(sets: DataFrame) -> np.ndarray:
+    """Slots of shingles that many of a bounded number of sets have; only the order of shingles depends on it."""
+    share = min(1.0, ORDER_DOCS / max(sets.count(), 1))
+    chosen = sets.filter(F.pmod("id", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("hashes")
+    return _slots_of(chosen, lambda b: _top(np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint64)), COMMON)
+
+
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have a similarity of 0.8."""
+    return 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+
+
+def _pairs(rows: np.ndarray, later: np.ndarray, triangle: bool) -> np.ndarray:
+    """(u, v) with u < v of rows (id, size, root) that fit and are not connected yet."""
+    near = _fits(rows[:, 1][:, None], later[:, 1][None, :]) & (rows[:, 2][:, None] != later[:, 2][None, :])
+    i, j = np.nonzero(np.triu(near, 1) if triangle else near)
+    a, b = rows[i, 0], later[j, 0]
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
 
-        def flush(rows: np.ndarray) -> pa.RecordBatch:
+
+def prefix_lists(sets: DataFrame, longest: int = LIST) -> DataFrame:
+    """(key, at, u, v): pairs of lists of up to ``longest`` with a null key, and members of longer lists.
+
+    A member has its place as ``at``, its id as ``u`` and its size as ``v``. Of a list no more than
+    ``longest`` members are held.
+    """
+    held = sets.sparkSession.sparkContext.broadcast(_common(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = held.value
+        for batch in batches:
+            keys, ids, sizes = [], [], []
+            for id_, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                hashes = np.frombuffer(data, np.uint64)
+                if len(hashes):
+                    order = np.argsort(count[_top(hashes)], kind="stable")[: len(hashes) // 5 + 1]
+                    keys.append(hashes[order].view(np.int64))
+                    ids.append(np.full(len(order), id_, np.int64))
+                    sizes.append(np.full(len(order), len(hashes), np.int64))
+            if keys:
+                columns = [pa.array(np.concatenate(c)) for c in (keys, ids, sizes)]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "id", "size"])
+
+    def batch_of(rows: np.ndarray, pairs: bool) -> pa.RecordBatch:
+        columns = [pa.array(c) for c in np.ascontiguousarray(rows.T)]
+        if pairs:
+            columns = [pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.int64()), *columns]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "at", "u", "v"])
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, sent = np.empty((0, 3), np.int64), 0  # the list that may go on; how many of it have left
+
+        def members(rows: np.ndarray, at: int) -> pa.RecordBatch:
+            return batch_of(np.column_stack([rows[:, 0], at + np.arange(len(rows)), rows[:, 1], rows[:, 2]]), False)
+
+        for batch in _and_end(batches):
+            if batch is None:
+                rows, open_ = rest, len(rest)
+            else:
+                fresh = np.column_stack([c.to_numpy() for c in batch.columns])
+                rows = np.concatenate([rest, fresh])
+                again = np.zeros(len(rows), bool)
+                again[1:] = (rows[1:, :2] == rows[:-1, :2]).all(axis=1)  # sets that several rows have
+                rows = rows[~again]
+                open_ = int(np.searchsorted(rows[:, 0], rows[-1, 0])) if len(rows) else 0
             bounds = np.concatenate([[0], np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1, [len(rows)]])
-            out: set[tuple[int, int]] = set()
-            for i in np.flatnonzero(np.diff(bounds) > 1):
-                part = rows[bounds[i] : bounds[i + 1]]
-                ids = part[:, 1]
-                links = connect_wide(np.ascontiguousarray(part[:, 2:]).view(np.uint64))
-                out |= {(int(max(ids[a], ids[b])), int(min(ids[a], ids[b]))) for a, b in links}
-            pairs = np.array(sorted(out), dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+            out: list[np.ndarray] = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                last = a == open_ and batch is not None
+                if b - a + sent > longest:
+                    # the newest member stays, so that the next batch can see whether it repeats
+                    end = b - 1 if last else b
+                    yield members(rows[a:end], sent)
+                    sent = sent + end - a if last else 0
+                    if last:
+                        open_ = end
+                elif not last:
+                    if b - a > 1:
+                        part = np.column_stack([rows[a:b, 1], rows[a:b, 2], rows[a:b, 1]])
+                        out.append(_pairs(part, part, True))
+                    sent = 0
+            rest = rows[open_:]
+            if out:
+                yield batch_of(np.unique(np.concatenate(out), axis=0), True)
+
+    index = sets.select("id", "hashes").mapInArrow(prefixes, "key long, id long, size long")
+    sorted_ = index.repartition("key").sortWithinPartitions("key", "size", "id")
+    return sorted_.mapInArrow(lists, "key long, at long, u long, v long")
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough, as a table."""
+    pairs = written(pairs.distinct(), "near-pairs")
+
+    def slots(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([c.to_numpy() for c in batch.columns]) & (SLOTS - 1)
+
+    held = sets.sparkSession.sparkContext.broadcast(_slots_of(pairs, slots, 1) > 0)
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held.value[batch.column(0).to_numpy() & (SLOTS - 1)]))
+
+    found = sets.select("id", "hashes").mapInArrow(wanted, "id long, hashes binary").dropDuplicates(["id"])
+    found = written(found, "near-sets")
+    both = join_groups(pairs, found.select(F.col("id").alias("u"), F.col("hashes").alias("a")), ["u"])
+    both = join_groups(both, found.select(F.col("id").alias("v"), F.col("hashes").alias("b")), ["v"])
 
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = np.concatenate([held, np.stack([c.to_numpy() for c in batch.columns], axis=1)])
-            done = int(np.searchsorted(held[:, 0], held[-1, 0])) if len(held) else 0
-            if done:
-                yield flush(held[:done])
-                held = held[done:]
-        if len(held):
-            yield flush(held)
+            good = [similar(a, b) for a, b in zip(*(batch.column(n).to_pylist() for n in (2, 3)), strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    return written(both.select("u", "v", "a", "b").mapInArrow(check, "u long, v long"), "near-links")
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members (key, at, id, size, root) of the lists that lie in two components or more."""
+    named = join_groups(members, roots.select(F.col("node").alias("id"), "root"), ["id"], "left")
+    named = written(named.withColumn("root", F.coalesce("root", "id")), "near-members")
+    parts = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return join_groups(named, parts.filter("low < high").select("key"), ["key"])
 
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(run, schema)
+
+def leader_pairs(members: DataFrame, round_: int) -> DataFrame:
+    """Pairs (u, v) of one member of each list with those that are not connected to it."""
+    chosen = F.min_by(F.struct("id", "size", "root"), F.struct(F.xxhash64("id", F.lit(round_)), "id"))
+    led = join_groups(members, members.groupBy("key").agg(chosen.alias("leader")), ["key"])
+    fit = 5 * F.least("size", "leader.size") >= 4 * F.greatest("size", "leader.size")
+    return led.filter((F.col("root") != F.col("leader.root")) & fit).select(
+        F.least("id", "leader.id").alias("u"), F.greatest("id", "leader.id").alias("v")
+    )
+
+
+def strip_pairs(members: DataFrame, strip: int = STRIP) -> DataFrame:
+    """All pairs (u, v) in a list that are not connected, two strips of the list in a task's hands at a time."""
+    last = members.groupBy("key").agg(F.floor(F.max("at") / strip).alias("last"))
+    mine = F.floor(F.col("at") / strip)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
+    met = join_groups(members, last, ["key"]).select("key", "id", "size", "root", mine.alias("mine"), other.alias("other"))
+    met = met.select(
+        "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "id", "size", "root"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = np.empty((0, 7), np.int64)
+        for batch in _and_end(batches):
+            if batch is not None:
+                rest = np.concatenate([rest, np.column_stack([c.to_numpy() for c in batch.columns])])
+            bounds = np.flatnonzero((rest[1:, :3] != rest[:-1, :3]).any(axis=1)) + 1
+            bounds = [0, *bounds.tolist(), *([len(rest)] if batch is None else [])]
+            for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+                rows = rest[start:end]
+                if len(rows):
+                    left, right = rows[rows[:, 3] == rows[0, 1]][:, 4:], rows[rows[:, 3] == rows[0, 2]][:, 4:]
+                    pairs = _pairs(left, right, rows[0, 1] == rows[0, 2])
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["u", "v"])
+            rest = rest[bounds[-1] :]
+
+    return met.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long")
+
+
+def similar_roots(sets: DataFrame, longest: int = LIST, rounds: int = ROUNDS, strip: int = STRIP) -> DataFrame:
+    """(node, root) over links between all sets (id, hashes) with a Jaccard similarity of 0.8 or more."""
+    lists = written(prefix_lists(sets, longest), "near-lists")
+    links = verified(lists.filter("key IS NULL").select("u", "v"), sets)
+    members = lists.filter("key IS NOT NULL").select("key", "at", F.col("u").alias("id"), F.col("v").alias("size"))
+    for round_ in range(rounds + 1):
+        roots = components(links)
+        members = written(open_members(members.select("key", "at", "id", "size"), roots), "near-open")
+        if members.isEmpty():
+            return roots
+        pairs = strip_pairs(members, strip) if round_ == rounds else leader_pairs(members, round_)
+        links = links.union(verified(pairs, sets))
+    return components(links)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, digest and component_id by similarity of word shingles, about 0.8 or more.
+    """doc_id, digest and component_id over pairs whose sets of word shingles have a Jaccard similarity of 0.8 or more."""
+    import xxhash
 
-    Three bits of 64 stand for a similarity of 0.98; for 0.8 the fingerprint has 256 bits, and
-    the position sets of the index are a fixed family that finds a pair at 0.8 with a
-    probability of about nine tenths, at 0.85 almost surely.
-    """
     digest = F.sha2(F.regexp_replace(text_of(), SPACE + "+", ""), 256)
-    words = [f"w{n}" for n in range(WIDE_WORDS)]
 
     def make():
-        return lambda doc_id, digest, text: [(doc_id, digest, *wide_fingerprint(text, shingle))]
+        def sets(doc_id, digest, text):
+            data = shingle_set(text, shingle).tobytes()
+            return [(doc_id, digest, int(np.uint64(xxhash.xxh3_64_intdigest(data)).view(np.int64)), data)]
+
+        return sets
 
     rows = docs.select(F.col("doc_id").cast("long"), digest, text_of())
-    schema = "doc_id long, digest string, " + ", ".join(f"{w} long" for w in words)
-    fps = written(map_rows(rows, make, schema).withColumn("id", F.xxhash64(*words)), "fingerprints")
-    nodes = fps.groupBy("id").agg(*[F.first(w).alias(w) for w in words], F.min("doc_id").alias("first"))
-    return _named(fps, nodes, "id", components(wide_links(nodes)))
+    fps = written(map_rows(rows, make, "doc_id long, digest string, id long, hashes binary", batch_rows=512), "shingle-sets")
+    nodes = fps.groupBy("id").agg(F.min("doc_id").alias("first"))
+    return _named(fps.drop("hashes"), nodes, "id", similar_roots(fps.select("id", "hashes")))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:

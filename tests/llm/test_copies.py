@@ -130,6 +130,57 @@ def test_near_copy_stage_keeps_one_of_each_group(spark):
     assert simhash.drop_near_copies(corpus.empty(spark)).count() == 0
 
 
+def similar_components(sets):
+    """Components over all pairs with a Jaccard similarity of 0.8 or more."""
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(sets))]
+
+
+def shingled(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_by_brute_force_around_the_limit(spark):
+    rng, texts = random.Random(5), []
+    for i in range(60):  # tails of new words: similarities of 0.7 to 0.92
+        words = corpus.prose(i, 90 + i, vocabulary=3_000).split()
+        n = rng.randint(4, len(words) // 5)
+        texts += [" ".join(words), " ".join(words[: len(words) - n] + [f"new{i}x{k}" for k in range(n)])]
+    near = [len(a & b) / len(a | b) for a, b in zip(map(shingled, texts[::2]), map(shingled, texts[1::2]), strict=True)]
+    assert sum(0.8 <= s < 0.86 for s in near) >= 5 and sum(0.7 <= s < 0.8 for s in near) >= 5
+    texts += ["", "few words", "FEW words"]
+    docs = corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)])
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == similar_components([shingled(t) if t else {""} for t in texts])
+
+
+def test_long_lists_of_near_copies_are_compared_in_full(spark):
+    rng, base = random.Random(6), list(range(100))
+    sets = [{0, 1}]
+    for n in range(90):  # one text with some shingles changed, so that many pairs are below the limit
+        changed = set(rng.sample(base, rng.randint(0, 14)))
+        sets.append({x for x in base if x not in changed} | {1_000 * n + 1_000 + x for x in changed})
+    hashed = [np.array(sorted(x * 0x9E3779B97F4A7C15 % 2**64 for x in s), np.uint64).tobytes() for s in sets]
+    rows = [(i, bytearray(h)) for i, h in enumerate(hashed)] + [(3, bytearray(hashed[3]))] * 30
+    frame = spark.createDataFrame(rows, "id long, hashes binary")
+    want = similar_components(sets)
+    assert len(set(want)) > 3
+    for rounds in (0, 2):
+        found = {r["node"]: r["root"] for r in simhash.similar_roots(frame, longest=8, rounds=rounds, strip=16).collect()}
+        assert [found.get(i, i) for i in range(len(sets))] == want
+
+
 def test_repeated_passages_by_brute_force(spark):
     passage = corpus.prose(99, 60)
     texts = [corpus.prose(i, 80) for i in range(12)]
