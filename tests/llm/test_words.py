@@ -105,6 +105,16 @@ def test_language_probabilities_add_up(spark):
     assert abs(total - 1) < 1e-3
 
 
+def test_ngrams_do_not_share_entries(spark):
+    """With 2^20 entries about a dozen of 5,000 n-grams met another one."""
+    grams = [chr(0x4E00 + i % 71) + chr(0x5E00 + i // 71) for i in range(5_000)]
+    assert len({language._slot(g) for g in grams}) == 5_000
+    rows = [("zh", g, 1 + i % 3) for i, g in enumerate(language.EDGE + g for g in grams)]
+    model = language.kneser_ney(spark.createDataFrame(rows, "lang string, gram string, n long"))
+    for order in (2, 3):
+        assert model.filter(f"order = {order} AND is_gram").select("slot").distinct().count() == 5_000
+
+
 def test_scores_by_brute_force(spark):
     rows = [(i, corpus.prose(i % 17, 60) + (" again and again" * (i % 3)), None, None, 0) for i in range(60)] + corpus.ODD[:6]
     docs = corpus.frame(spark, rows, clashes=True)
