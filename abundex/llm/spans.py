@@ -1,9 +1,10 @@
 """Substring dedup over runs of consecutive sentences.
 
-From every sentence of every document starts one span: the shortest run of consecutive
-sentences that has at least two of them and 20 words, or one sentence of 40 words. A span
-depends on its sentences alone, so a passage that two documents share has the same spans in
-both, wherever it stands. All spans are joined by a 128-bit hash; a sentence is removed if a
+At every sentence of every document one span starts and one ends: the shortest run of consecutive
+sentences that has at least two of them and 20 words, or 40 words. A span depends on its sentences
+alone, so a passage that two documents share has the same spans in both, wherever it stands, and
+spans cover all of it if it is long enough itself: where the span that starts at a sentence runs
+out of the passage, the sentence lies in the span that ends with the passage. All spans are joined by a 128-bit hash; a sentence is removed if a
 repeated span covers it that is not the span's first occurrence, the first being in the smallest
 doc_id and there at the smallest position.
 
@@ -48,25 +49,29 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def spans(text: str, bounds: list[tuple[int, int]]) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, last sentence, digest) of the span of each sentence that has one."""
+    """(first sentence, last sentence, digest) of the shortest spans from and to each sentence, in order."""
     import xxhash
 
     words = [text[a:b].split() for a, b in bounds]
     plain = [" ".join(w) for w in words]
-    for i in range(len(bounds)):
-        j, n = i, len(words[i])
-        while n < WORDS or (j - i + 1 < SENTENCES and n < LONG_SENTENCE):
-            j += 1
-            if j == len(bounds):
-                break
-            n += len(words[j])
-        else:
-            run = "\n".join(plain[i : j + 1])
-            yield i, j, xxhash.xxh3_128_digest(run.encode("utf-8", "surrogatepass"))
+    found: set[tuple[int, int]] = set()
+    for step in (1, -1):
+        for i in range(len(bounds)):
+            j, n = i, len(words[i])
+            while n < WORDS or (i == j and n < LONG_SENTENCE):
+                j += step
+                if not 0 <= j < len(bounds):
+                    break
+                n += len(words[j])
+            else:
+                found.add((min(i, j), max(i, j)))
+    for i, j in sorted(found):
+        run = "\n".join(plain[i : j + 1])
+        yield i, j, xxhash.xxh3_128_digest(run.encode("utf-8", "surrogatepass"))
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(h1, h2, doc, tag, at): every span's hash, document, hash of its text, and first sentence."""
+    """(h1, h2, doc, tag, at): every span's hash, document, hash of its text, and number."""
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(text_of()), text_of()
     )
@@ -84,11 +89,11 @@ def span_rows(docs: DataFrame) -> DataFrame:
                 )
 
             for doc, tag, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for i, _, digest in spans(text, sentences(text)):
+                for number, (_, _, digest) in enumerate(spans(text, sentences(text))):
                     digests.append(digest)
                     docs.append(doc)
                     tags.append(tag)
-                    places.append(i)
+                    places.append(number)
                 if len(digests) >= 65_536:
                     yield full()
                     digests, docs, tags, places = [], [], [], []
@@ -126,9 +131,9 @@ def dedup(docs: DataFrame) -> DataFrame:
             covered = [False] * len(bounds)
             first = {hit["at"]: hit["first"] for hit in hits or ()}
             seen: set[bytes] = set()
-            for i, j, digest in spans(text, bounds) if hits else ():
-                if i in first:
-                    if first[i] != doc or digest in seen:
+            for number, (i, j, digest) in enumerate(spans(text, bounds) if hits else ()):
+                if number in first:
+                    if first[number] != doc or digest in seen:
                         covered[i : j + 1] = [True] * (j - i + 1)
                     seen.add(digest)
             removed = merged(bounds, covered)

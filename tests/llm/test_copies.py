@@ -214,3 +214,25 @@ def test_repeated_passages_by_brute_force(spark):
 def test_single_short_sentences_are_left(spark):
     rows = [(i, "Les. Es. " + corpus.prose(i, 40), None, None, 0) for i in range(6)]
     assert all(r["n_removed"] == 0 for r in spans.dedup(corpus.frame(spark, rows)).collect())
+
+
+def test_no_sentence_of_a_repeated_passage_is_left(spark):
+    rng = random.Random(8)
+    shapes = [[12, 12, 12, 12, 7], [45, 30], [39, 1], [40], [3] * 9, [41, 5, 5]]
+    shapes += [[rng.randint(1, 45) for _ in range(rng.randint(2, 6))] for _ in range(30)]
+    shapes = [s for s in shapes if sum(s) >= spans.WORDS and (len(s) > 1 or sum(s) >= spans.LONG_SENTENCE)]
+
+    def passage(name, sizes):
+        return [" ".join(f"{name}s{k}w{i}" for i in range(n)) + "." for k, n in enumerate(sizes)]
+
+    rows, planted = [], {}
+    for p, shape in enumerate(shapes):
+        for copy in range(2):
+            doc = 2 * p + copy
+            around = [passage(f"d{doc}{side}", [rng.randint(1, 30) for _ in range(3)]) for side in "ab"]
+            rows.append((doc, " ".join(around[0] + passage(f"p{p}", shape) + around[1]), None, None, 0))
+            planted[doc] = (len(shape), " ".join(passage(f"p{p}", shape)))
+    got = {r["doc_id"]: r for r in spans.dedup(corpus.frame(spark, rows)).collect()}
+    for doc, (n, text) in planted.items():
+        assert got[doc]["n_removed"] == (n if doc % 2 else 0)
+        assert (text in got[doc]["text"]) == (doc % 2 == 0)
