@@ -49,13 +49,19 @@ def _ranges(test: Callable[[str], object]) -> str:
     return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(starts, ends, strict=True))
 
 
+def settled_classes() -> tuple[str, str, str]:
+    """Character classes of the settled letters, numbers and white space."""
+    import regex
+
+    return tuple(_ranges(regex.compile(p).fullmatch) for p in ("\\p{L}", "\\p{N}", "\\s"))
+
+
 def splitter(spec: str) -> Callable[[str], list[str]]:
     """The words of a text; texts with newer code points are split by the tokenizer itself."""
-    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(spec)
-    letter, number, space = (_ranges(regex.compile(p).fullmatch) for p in ("\\p{L}", "\\p{N}", "\\s"))
+    letter, number, space = settled_classes()
     words = re.compile(
         f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+"
     ).findall
@@ -150,12 +156,17 @@ def pieces(spark: SparkSession, path: str | None = None) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def _pieces(spec: str) -> list[bytes | None]:
-    """Bytes by id. Byte-level vocabularies write each byte as a visible character: itself where
-    it is printable in Latin-1, else the next code point from 256 on."""
+def byte_characters() -> dict[int, int]:
+    """Bytes by code point. Byte-level vocabularies write each byte as a visible character: itself
+    where it is printable in Latin-1, else the next code point from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in shown]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {b: b for b in shown} | {256 + i: b for i, b in enumerate(hidden)}
+
+
+def _pieces(spec: str) -> list[bytes | None]:
+    """Bytes by id."""
+    byte_of = {chr(c): b for c, b in byte_characters().items()}
     model = json.loads(spec)
     table = {i: bytes(byte_of[c] for c in piece) for piece, i in model["model"]["vocab"].items()}
     table |= {a["id"]: a["content"].encode() for a in model["added_tokens"]}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from abundex.llm import bpe, exact, html_main, language, licences, mixing, ppm, rules, simhash, spans
+from abundex.llm import bpe, exact, html_main, language, lexical, licences, merkle, mixing, packing, ppm, rules, simhash, spans
 from abundex.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,45 @@ def op10_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_bag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and check of every document; a third of them is tampered with before the check."""
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    tampered = F.when(chosen, F.translate("text", upper, lower))
+    proofs = merkle.manifest(docs, "doc_id", "lang", ["doc_id", "source", "lang", "n_chars", "text"], {"text": tampered})
+    folded = proofs.withColumn("folded_root", merkle.fold(F.coalesce("found_leaf", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def op13_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in its training sequence."""
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "start",
+        F.expr("octet_length(ids) div 4").alias("length"),
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+        "window",
+        "step",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_sentence_spans": op1_sentence_spans,
     "op2_best_region": op2_best_region,
@@ -110,4 +149,7 @@ QUERIES: dict[str, Query] = {
     "op8_rule_ledger": op8_rule_ledger,
     "op9_exact_index": op9_exact_index,
     "op10_word_table_bpe": op10_word_table_bpe,
+    "op11_bag_search": op11_bag_search,
+    "op12_nested_rollup": op12_nested_rollup,
+    "op13_tier_packing": op13_tier_packing,
 }

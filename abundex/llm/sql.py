@@ -107,4 +107,97 @@ SELECT d.doc_id, s.keep_id, f.group_size,
 FROM d JOIN first f USING (norm) JOIN stays s USING (norm)
 """
 
-SQL = {"op3_curriculum_mix": MIX, "op8_rule_ledger": LEDGER, "op9_exact_index": EXACT}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+SEARCH = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') AS words
+  FROM documents
+), totals AS (
+  SELECT count(*) AS n_docs, sum(len(words))::BIGINT AS n_terms FROM docs WHERE len(words) > 0
+), wanted AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS t
+  FROM benchmark
+), tfs AS (
+  SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(words) AS t FROM docs)
+  WHERE t IN (SELECT t FROM wanted) GROUP BY r, t
+), weights AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT t, count(*) AS df FROM tfs GROUP BY t), totals
+), lengths AS (
+  SELECT r, doc_id, 100 - 50 + (50 * len(words) * n_docs) // n_terms AS m FROM docs, totals WHERE len(words) > 0
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM wanted JOIN tfs USING (t) JOIN weights USING (t) JOIN lengths USING (r)
+  GROUP BY item_id, r, doc_id
+), placed AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT * FROM placed WHERE rank <= 50
+"""
+
+
+def _field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR) || ':' || {column}::VARCHAR, '-')"
+
+
+def _levels(name: str, leaves: str) -> str:
+    """All nodes (tree, level, i, h) over ``leaves`` (tree, i, h): runs of eight until a tree has one node."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, i, h FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1 GROUP BY tree, level, i // 8
+), {name}_tops AS (
+  SELECT tree, arg_max(h, level) AS root, max(level) AS height FROM {name} GROUP BY tree
+), {name}_steps AS (
+  SELECT r.tree, r.i, n.level,
+         coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i < r.i >> (3 * n.level)), '') || '|' ||
+         coalesce(string_agg(n.h, '' ORDER BY n.i) FILTER (n.i > r.i >> (3 * n.level)), '') AS step
+  FROM {leaves} r JOIN {name}_tops t ON t.tree IS NOT DISTINCT FROM r.tree
+  JOIN {name} n ON n.tree IS NOT DISTINCT FROM r.tree AND n.level < t.height AND n.i >> 3 = r.i >> (3 * n.level + 3)
+  GROUP BY r.tree, r.i, n.level
+), {name}_paths AS (
+  SELECT tree, i, list(step ORDER BY level) AS path FROM {name}_steps GROUP BY tree, i
+)"""
+
+
+_FIELDS = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+           lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+MERKLE = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang AS tree, sha256({_FIELDS} || {_field("text")}) AS h,
+         sha256({_FIELDS} || {_field(f"translate(text, '{_UPPER}', '{_LOWER}')")}) AS changed,
+         xor({_CRC}, 4294967295) % 3 = 0 AS chosen
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d
+), {_levels("nodes", "leaves")}, groups AS (
+  SELECT 0 AS tree, tree AS lang, root AS h, row_number() OVER (ORDER BY tree NULLS FIRST) - 1 AS i FROM nodes_tops
+), {_levels("upper", "groups")}, proofs AS (
+  SELECT l.doc_id, l.h AS leaf, g.h AS subroot, u.root, CASE WHEN chosen THEN changed ELSE l.h END AS start,
+         list_concat(coalesce(np.path, []), coalesce(up.path, [])) AS path
+  FROM leaves l JOIN groups g ON g.lang IS NOT DISTINCT FROM l.tree CROSS JOIN upper_tops u
+  LEFT JOIN nodes_paths np ON np.tree IS NOT DISTINCT FROM l.tree AND np.i = l.i
+  LEFT JOIN upper_paths up ON up.i = g.i
+), folded AS (
+  SELECT *, list_reduce(list_prepend(start, path),
+                        lambda a, s: sha256(split_part(s, '|', 1) || a || split_part(s, '|', 2))) AS folded_root
+  FROM proofs
+)
+SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM folded
+"""
+
+SQL = {
+    "op3_curriculum_mix": MIX,
+    "op8_rule_ledger": LEDGER,
+    "op9_exact_index": EXACT,
+    "op11_bag_search": SEARCH,
+    "op12_nested_rollup": MERKLE,
+}
