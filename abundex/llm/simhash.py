@@ -9,9 +9,11 @@ the rest are verified bit by bit.
 The index holds each different fingerprint once, so exact copies add nothing to it. A list
 that is still long is not paired off: any two members within the limit agree in one of four
 parts of the bits that vary in the list, so it is cut by each part in turn until the pieces are
-short. Only enough links to connect a piece leave the task.
+short. Only enough links to connect a piece leave the task. A list too long for one task is cut
+the same way before it is held, and its parts go through a further shuffle. The pipeline's near-copy
+stage keeps one document of each component of fingerprints.
 
-The near-copy stage of the pipeline compares sets of five-word shingles by Jaccard similarity, 0.8
+``similar_groups`` compares sets of five-word shingles by Jaccard similarity instead, 0.8
 or more, and finds all such pairs: two such sets share a member among the first fifth (and one) of
 each in any common order of shingles. The order puts those last that are frequent in a sample, which
 changes the cost and not the result. Every candidate is verified on the sets. A long list is first
@@ -42,6 +44,7 @@ BYTES = 8
 MAX_BITS = 3
 SHARED = BYTES - MAX_BITS
 SHORT_LIST = 256
+LONG_LIST = 1 << 18
 SEED = 42
 
 
@@ -144,46 +147,91 @@ def connect(fps: np.ndarray, max_bits: int = MAX_BITS, short: int = SHORT_LIST)
     return out
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links from rows (key, fp) in key order."""
-    keys, fps = np.empty(0, np.int64), np.empty(0, np.uint64)
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            values = (values ^ values >> np.uint64(shift)) * np.uint64(factor)
+    return values ^ values >> np.uint64(31)
 
-    def flush(keys: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
-        edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        bounds = np.concatenate([[0], edges, [len(keys)]])
-        links: list[tuple[int, int]] = []
-        for i in np.flatnonzero(np.diff(bounds) > 1):
-            links += connect(fps[bounds[i] : bounds[i + 1]])
-        return links
+
+def _shorter(key: int, free: int, fps: np.ndarray, max_bits: int) -> pa.RecordBatch:
+    """Members of a list as rows of lists with further bits in the key: two near ones meet in one of them."""
+    bits = [b for b in range(64) if free >> b & 1]
+    keys, rest = [], []
+    for cut in range(max_bits + 1):
+        mask = sum(1 << b for b in bits[cut :: max_bits + 1])
+        start = _mixed(np.array([(key + cut) % 2**64], np.uint64))
+        keys.append(_mixed((fps & np.uint64(mask)) ^ start).view(np.int64))
+        rest.append(np.full(len(fps), free & ~mask, np.uint64).view(np.int64))
+    columns = [np.concatenate(keys), np.concatenate(rest), np.tile(fps.view(np.int64), max_bits + 1)]
+    columns = [*map(pa.array, columns), pa.nulls(len(columns[0]), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["key", "free", "u", "v"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch], longest: int = LONG_LIST) -> Iterator[pa.RecordBatch]:
+    """Links of lists from rows (key, free, fp) in key order, with a null key.
+
+    Of a list no more than ``longest`` members and a batch are held; the members of a longer one
+    leave as rows of shorter lists.
+    """
+    held: list[np.ndarray] = []
+    now, free, size, long = None, 0, 0, False
 
     def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
         pairs = np.array(sorted(set(links)), dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+        columns = [pa.nulls(len(pairs), pa.int64())] * 2 + [pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())]
+        return pa.RecordBatch.from_arrays(columns, names=["key", "free", "u", "v"])
 
     for batch in batches:
-        keys = np.concatenate([keys, batch.column(0).to_numpy()])
-        fps = np.concatenate([fps, batch.column(1).to_numpy().view(np.uint64)])
-        if not len(keys):
-            continue
-        done = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
-        yield batch_of(flush(keys[:done], fps[:done]))
-        keys, fps = keys[done:], fps[done:]
-    yield batch_of(flush(keys, fps)) if len(keys) else batch_of([])
-
-
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (u, v) that connect all different fingerprints ``fp`` within three bits of each other."""
+        keys, rests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        fps = batch.column(2).to_numpy().view(np.uint64)
+        bounds = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]).tolist()
+        links: list[tuple[int, int]] = []
+        for start, end in zip(bounds[:-1], bounds[1:], strict=True):
+            if start == end:
+                continue
+            if keys[start] != now:
+                if size > 1 and not long:
+                    links += connect(np.concatenate(held))
+                now, free, held, size, long = keys[start], int(rests.view(np.uint64)[start]), [], 0, False
+            held.append(fps[start:end])
+            size += end - start
+            if size > longest and free.bit_count() > MAX_BITS:
+                long = True
+            if long:
+                yield _shorter(int(now), free, np.concatenate(held), MAX_BITS)
+                held = []
+        yield batch_of(links)
+    yield batch_of(connect(np.concatenate(held)) if size > 1 and not long else [])
+
+
+def links(nodes: DataFrame, longest: int = LONG_LIST) -> DataFrame:
+    """Links (u, v) that connect all different fingerprints ``fp`` within three bits of each other.
+
+    A list with more than ``longest`` members is cut by a further shuffle, by a quarter of the bits
+    its key leaves free at a time. With 18 bits free no list is longer than the default.
+    """
     fp = F.col("fp")
-    keys = []
+    lists = []
     for number, positions in enumerate(position_sets()):
         key = F.lit(number).cast("long")
         for p in positions:
             byte = F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255).cast("long"))
             key = F.shiftleft(key, 8).bitwiseOR(byte)
-        keys.append(key)
-    index = nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
-    lists = index.repartition("key").sortWithinPartitions("key")
-    return lists.mapInArrow(_linked, "u long, v long")
+        free = sum(255 << 8 * p for p in range(BYTES) if p not in positions)
+        lists.append(F.struct(key.alias("key"), F.lit(int(np.uint64(free).view(np.int64))).cast("long").alias("free")))
+    rows = nodes.select(F.explode(F.array(*lists)).alias("at"), "fp").select("at.*", "fp")
+    found = None
+    while True:
+        dealt = rows.repartition("key").sortWithinPartitions("key")
+        out = dealt.mapInArrow(lambda batches: _linked(batches, longest), "key long, free long, u long, v long")
+        out = written(out, "byte-lists")
+        linked = out.filter("key IS NULL").select("u", "v")
+        found = linked if found is None else found.union(linked)
+        rows = out.filter("key IS NOT NULL").select("key", "free", F.col("u").alias("fp"))
+        if rows.isEmpty():
+            return found
 
 
 def near_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
@@ -452,12 +500,20 @@ def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     return _named(fps.drop("hashes"), nodes, "id", similar_roots(fps.select("id", "hashes")))
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """One row of each group of near copies, with exactly the columns of ``docs``.
+def drop_near_copies(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One row of each component of fingerprints within three bits, with exactly the columns of ``docs``.
 
     The smallest id stays. Of rows that repeat an id, the smallest digest stays.
     """
-    groups = similar_groups(docs, shingle)
+    return _stay(docs, near_groups(docs, shingle))
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """One row of each group of ``similar_groups``, as ``drop_near_copies`` does."""
+    return _stay(docs, similar_groups(docs, shingle))
+
+
+def _stay(docs: DataFrame, groups: DataFrame) -> DataFrame:
     key = row_key("doc_id", F.col("digest"))
     stays = groups.groupBy("component_id").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", key.alias("key"))).alias("first")

@@ -120,16 +120,58 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in range(100, 151)} == {100}
 
 
+def fingerprint_components(texts):
+    """The least place reachable over fingerprints that differ in three bits or fewer."""
+    return linked([simhash.fingerprint(t, 3) % 2**64 for t in texts])
+
+
+def test_long_lists_are_cut_by_a_further_shuffle(spark):
+    rng = random.Random(9)
+    base = rng.getrandbits(64)
+    # A third of a table as variants of one text: few bits of half the fingerprint change.
+    values = {base ^ sum(1 << rng.randrange(0, 34) for _ in range(rng.randint(0, 7))) for _ in range(500)}
+    values = sorted(values | {rng.getrandbits(64) for _ in range(200)})
+    nodes = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fp long")
+    want = linked(values)
+    for longest in (20, 200, simhash.LONG_LIST):
+        found = simhash.links(nodes.repartition(3), longest).collect()
+        place = {v: i for i, v in enumerate(values)}
+        root = list(range(len(values)))
+
+        def top(i, root=root):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for u, v in found:
+            a, b = top(place[u % 2**64]), top(place[v % 2**64])
+            root[max(a, b)] = min(a, b)
+        assert [top(i) for i in range(len(values))] == want
+
+
 def test_near_copy_stage_keeps_one_of_each_group(spark):
     texts = [corpus.prose(i, 200, vocabulary=3_000) for i in range(12)]
     copies = [" ".join(w if k != 50 + n else "changed" for k, w in enumerate(t.split())) for n, t in enumerate(texts[:4])]
-    docs = corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts + copies)], clashes=True)
+    hot = [texts[5] + " " * n + "tail" * (n % 3) for n in range(30)]
+    texts += copies + hot + ["", "few words", "FEW words"]
+    docs = corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts)], clashes=True)
     kept = simhash.drop_near_copies(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
+    want = fingerprint_components(texts)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
     assert simhash.drop_near_copies(corpus.empty(spark)).count() == 0
 
 
+def test_similar_groups_keep_one_row_each(spark):
+    texts = [corpus.prose(i, 200, vocabulary=3_000) for i in range(12)]
+    copies = [" ".join(w if k != 50 + n else "changed" for k, w in enumerate(t.split())) for n, t in enumerate(texts[:4])]
+    docs = corpus.frame(spark, [(i, t, None, None, 0) for i, t in enumerate(texts + copies)], clashes=True)
+    kept = simhash.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(12))
+    assert simhash.drop_similar(corpus.empty(spark)).count() == 0
+
+
 def similar_components(sets):
     """Components over all pairs with a Jaccard similarity of 0.8 or more."""
     parent = list(range(len(sets)))
