@@ -23,9 +23,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, on shingles of five words."""
+    """One document of each group of near copies: fingerprints of three-word shingles within three bits."""
     tune(spark)
-    return simhash.drop_near_copies(docs, shingle=5)
+    return simhash.drop_near_copies(docs, shingle=3)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
