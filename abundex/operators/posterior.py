@@ -49,7 +49,7 @@ def _spread_one_index_set(
             "draw",
             base_name(parameter).alias("parameter"),
             "value",
-            *(parts[n].cast("int").alias(i) for n, i in enumerate(index)),
+            *(F.get(parts, F.lit(n)).cast("int").alias(i) for n, i in enumerate(index)),
         )
     if len(names) == 1:
         return rows.select("draw", *index, F.col("value").alias(names[0]))
@@ -91,18 +91,26 @@ def effect_contrast(
     ``kind``: ``ratio`` or ``difference`` of the responses, or ``log`` for the
     difference of the linear predictors.
     """
-    without = F.col("a") + F.col("a_subj")
-    if lag_term is not None:
-        without = without + F.col(lag_term) * F.lit(reference_lag)
-    with_effect = without + F.col(effect)
-    if kind != "log":
-        without, with_effect = F.exp(without), F.exp(with_effect)
-    difference = with_effect / without if kind == "ratio" else with_effect - without
+    lag = F.col(lag_term) if lag_term is not None else None
+    with_effect, without, difference = contrast(F.col("a"), F.col("a_subj"), lag, F.col(effect), reference_lag, kind)
     return df.withColumns(
         {"with_abx": with_effect, "without_abx": without, "difference": difference}
     )
 
 
+def contrast(
+    a: Column, a_subj: Column, lag: Column | None, effect: Column, reference_lag: float = REFERENCE_LAG, kind: str = "ratio"
+) -> tuple[Column, Column, Column]:
+    """The response with and without the effect, and their difference of this ``kind``."""
+    without = a + a_subj
+    if lag is not None:
+        without = without + lag * F.lit(reference_lag)
+    with_effect = without + effect
+    if kind != "log":
+        without, with_effect = F.exp(without), F.exp(with_effect)
+    return with_effect, without, with_effect / without if kind == "ratio" else with_effect - without
+
+
 def median_qi(
     df: DataFrame,
     keys: Sequence[str],
@@ -202,8 +210,22 @@ def all_labelled(
     return labelled(named.withColumnRenamed("k", "_k"), k_index, "_k", "k")
 
 
+def block_effects(
+    blocks: DataFrame, values: Sequence[str], width: float = 0.5, reference_lag: float = REFERENCE_LAG
+) -> DataFrame:
+    """Intervals of ``b_abx2`` or of the ``difference`` it makes, per i, j and k, from draws in blocks."""
+    from abundex.operators.drawblocks import block_intervals, count_draws, spread_blocks
+
+    def ratio(d: Column) -> Column:
+        return contrast(d["a"], d["a_subj"], d["b_lag"], d["b_abx2"], reference_lag)[2]
+
+    spread = spread_blocks(blocks, "a", "b_lag", "a_subj[i]", "b_abx2[i,j,k]")
+    rows = spread.withColumn("difference", F.transform(F.arrays_zip("a", "a_subj", "b_lag", "b_abx2"), ratio))
+    return block_intervals(rows, ["i", "j", "k"], values, count_draws(blocks), width)
+
+
 def effect_table(
-    draws: DataFrame,
+    blocks: DataFrame,
     rows: DataFrame,
     subject_index: DataFrame,
     exposure_index: DataFrame,
@@ -217,16 +239,10 @@ def effect_table(
 ) -> DataFrame:
     """Effect ratio per subject, exposure and k, for the observed combinations.
 
-    The fitted indices i, j and k are codes; each is turned back into its label.
+    ``blocks`` are the draws of ``draw_blocks``. The fitted indices i, j and k are codes; each is
+    turned back into its label.
     """
-    spread = spread_draws(draws, "a", "b_lag", "a_subj[i]", "b_abx2[i,j,k]")
-    effects = median_qi(
-        effect_contrast(spread, reference_lag=reference_lag),
-        ["i", "j", "k"],
-        ["difference"],
-        width,
-        interval_limit(draws),
-    )
+    effects = block_effects(blocks, ["difference"], width, reference_lag)
     named = all_labelled(effects, subject_index, exposure_index, k_index)
     result = observed_combos(named, observed_distinct(rows))
     if covariate is not None:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from abundex.functions.expressions import any_bit
 from abundex.operators import diagnostics, diversity, exposure, frame, model, posterior
+from abundex.operators.drawblocks import exploded, spread_blocks, undrawn
 from abundex.operators.model import VARIANTS, Scales
 from abundex.schemas import ModelFrame
 from abundex.session import fresh_path
@@ -88,12 +89,13 @@ def b3_scale_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Effect intervals under their labels, and the frame rows they belong to."""
+    """Effect intervals of all subjects under their labels, and the frame rows they belong to."""
     built = e._continuous(spark, d)
     subjects = frame.label_index(built.obs, "subjects")
     exposures = frame.label_index(built.kept, "abx_lag")
     steps = frame.label_index(built.design, "k")
-    return posterior.all_labelled(_intervals(spark, d), subjects, exposures, steps), built.rows
+    effects = posterior.block_effects(r.subject_blocks(spark, d, subjects), ["b_abx2", "difference"], WIDTH)
+    return posterior.all_labelled(effects, subjects, exposures, steps), built.rows
 
 
 def j9_observed_combos(spark: SparkSession, d: str) -> DataFrame:
@@ -127,10 +129,11 @@ def j10_subject_covariate(spark: SparkSession, d: str) -> DataFrame:
 
 def b4_effect_table(spark: SparkSession, d: str) -> DataFrame:
     built = e._continuous(spark, d)
+    subjects = frame.label_index(built.obs, "subjects")
     found = posterior.effect_table(
-        r.draws(spark, d),
+        r.subject_blocks(spark, d, subjects),
         built.rows,
-        frame.label_index(built.obs, "subjects"),
+        subjects,
         frame.label_index(built.kept, "abx_lag"),
         frame.label_index(built.design, "k"),
         covariate=_start(spark, d),
@@ -145,10 +148,11 @@ def b4_effect_table(spark: SparkSession, d: str) -> DataFrame:
 def b4_lag_table(spark: SparkSession, d: str) -> DataFrame:
     """On the lag frame, whose k starts at 0."""
     built = e._lag(spark, d)
+    subjects = frame.label_index(built.obs, "subjects")
     found = posterior.effect_table(
-        r.draws(spark, d),
+        r.subject_blocks(spark, d, subjects),
         built.rows,
-        frame.label_index(built.obs, "subjects"),
+        subjects,
         frame.label_index(built.kept, "abx_lag"),
         frame.label_index(built.design, "k"),
         width=WIDTH,
@@ -166,10 +170,11 @@ def b4_effects_by_stain(spark: SparkSession, d: str) -> DataFrame:
         r.event_taxonomy(spark, d),
         r.event_stains(spark, d),
     )
+    subjects = frame.label_index(built.obs, "subjects")
     found = posterior.effect_table(
-        r.draws(spark, d),
+        r.subject_blocks(spark, d, subjects),
         built.rows,
-        frame.label_index(built.obs, "subjects"),
+        subjects,
         frame.label_index(built.kept, "abx_lag"),
         frame.label_index(built.design, "k"),
         covariate=start.filter(F.col("specimen_type") == e.TYPE),
@@ -217,11 +222,13 @@ def _series(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _rollout_draws(spark: SparkSession, d: str) -> DataFrame:
+    """Sampled draws of every subject, each reading one of the four subjects' positions."""
     draws = r.draws(spark, d)
     subjects = frame.label_index(r.event_samples(spark, d), "subject_id")
     levels = posterior.spread_draws(draws, "a", "b_lag", "a_subj[i]")
     chosen = levels.join(posterior.sample_groups(draws, SAMPLED_DRAWS), "draw", "left_semi")
-    return posterior.labelled(chosen, subjects, "i", "subject_id")
+    codes = subjects.select("subject_id", (F.pmod(F.col("idx") - 1, F.lit(4)) + 1).cast("int").alias("i"))
+    return chosen.join(codes, "i").drop("i")
 
 
 def _link(specimen: Column, previous: Column) -> Column:
@@ -263,40 +270,45 @@ def b6_noncentered_effects(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, "b_abx2")
 
 
-def _indexed_frame(built: ModelFrame) -> tuple[DataFrame, DataFrame]:
-    i = frame.label_index(built.obs, "subjects").select("subjects", F.col("idx").cast("int").alias("i"))
+def _indexed_frame(built: ModelFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    subjects = frame.label_index(built.obs, "subjects")
+    i = subjects.select("subjects", F.col("idx").cast("int").alias("i"))
     j = frame.label_index(built.kept, "abx_lag").select("abx_lag", F.col("idx").cast("int").alias("j"))
     k = frame.label_index(built.design, "k").select("k", F.col("idx").cast("int").alias("_k"))
     obs = built.obs.join(i, "subjects").drop("subjects")
     coded = built.design.join(i, "subjects").join(j, "abx_lag").join(k, "k")
     design = coded.select("specimens", "i", "j", F.col("_k").alias("k"))
-    return obs, design
+    return obs, design, subjects
 
 
-def _predictor(
-    spark: SparkSession, d: str, build=e._continuous, variant: str = "3.5"
-) -> tuple[DataFrame, DataFrame]:
-    obs, design = _indexed_frame(build(spark, d))
-    effects = posterior.spread_draws(r.draws(spark, d), "b_abx2[i,j,k]")
-    return obs, model.linear_predictor(obs, design, effects, r.draws(spark, d), VARIANTS[variant])
+def _predictor(spark: SparkSession, d: str, build=e._continuous, variant: str = "3.5") -> DataFrame:
+    """The predictor of every specimen of a frame, in blocks of draws."""
+    obs, design, subjects = _indexed_frame(build(spark, d))
+    blocks = r.subject_blocks(spark, d, subjects)
+    effects = spread_blocks(blocks, "b_abx2[i,j,k]")
+    return model.predictor_blocks(obs, design, effects, blocks, VARIANTS[variant])
 
 
 def b7_linear_predictor(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_predictor(spark, d)[1], "mu")
+    return rounded(exploded(_predictor(spark, d), ["specimens"], ["mu"]), "mu")
 
 
 def b8_pointwise_loglik(spark: SparkSession, d: str) -> DataFrame:
-    obs, mu = _predictor(spark, d)
-    return rounded(model.pointwise_loglik(mu, obs, r.draws(spark, d)), "log_lik")
+    return rounded(model.pointwise_loglik(_predictor(spark, d)), "log_lik")
 
 
 def b7_lag_predictor(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(_predictor(spark, d, e._lag, "3.4")[1], "mu")
+    return rounded(exploded(_predictor(spark, d, e._lag, "3.4"), ["specimens"], ["mu"]), "mu")
 
 
 def b8_lag_loglik(spark: SparkSession, d: str) -> DataFrame:
-    obs, mu = _predictor(spark, d, e._lag, "3.4")
-    return rounded(model.pointwise_loglik(mu, obs, r.draws(spark, d)), "log_lik")
+    return rounded(model.pointwise_loglik(_predictor(spark, d, e._lag, "3.4")), "log_lik")
+
+
+def b7_undrawn_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """The subjects of a frame for which a fit of four subjects has no draws."""
+    built = e._continuous(spark, d)
+    return undrawn(built.obs, frame.label_index(built.obs, "subjects"), r.draws(spark, d))
 
 
 def b9_log_prior(spark: SparkSession, d: str) -> DataFrame:
@@ -419,6 +431,7 @@ QUERIES = {
     "B4_effects_by_stain": b4_effects_by_stain,
     "B4_lag_table": b4_lag_table,
     "B7_lag_predictor": b7_lag_predictor,
+    "B7_undrawn_subjects": b7_undrawn_subjects,
     "B8_lag_loglik": b8_lag_loglik,
     "O3_sample_groups": o3_sample_groups,
     "W13_draw_group_index": w13_draw_group_index,
@@ -492,7 +505,7 @@ sstart AS (
   FROM sgrid g LEFT JOIN (SELECT * FROM sranked WHERE pos = 1) r
     ON r.subjects = g.subjects AND r.specimen_type = g.specimen_type AND r.stain IS NOT DISTINCT FROM g.stain
   WHERE g.specimen_type = '{e.TYPE}')"""
-_NAMED_BASE = (*e.CONTINUOUS, e.DESIGN, r.EFFECTS, _QI, _LABELS, _NAMED)
+_NAMED_BASE = (*e.CONTINUOUS, e.DESIGN, _LABELS, r.all_effects("sidx"), _QI, _NAMED)
 _MU = """iobs AS (
   SELECT DISTINCT d5.specimens, s.i, d5."D1", d5."D1_lag" FROM d5 JOIN sidx s ON s.subjects = d5.subjects),
 ides AS (
@@ -504,8 +517,8 @@ dense AS (
   FROM iobs o JOIN effects e ON e.i = o.i
   LEFT JOIN ides x ON x.specimens = o.specimens AND x.j = e.j AND x.k = e.k),
 mus AS (SELECT draw, specimens, "D1", sigma, base + sum(term) AS mu FROM dense GROUP BY draw, specimens, "D1", sigma, base)"""
-_MU_BASE = (*e.CONTINUOUS, e.DESIGN, r.EFFECTS, _LABELS, _MU)
-_LAG_MU_BASE = (*e.LAG, e.DESIGN, r.EFFECTS, _LABELS, _MU)
+_MU_BASE = (*e.CONTINUOUS, e.DESIGN, _LABELS, r.all_effects("sidx"), _MU)
+_LAG_MU_BASE = (*e.LAG, e.DESIGN, _LABELS, r.all_effects("sidx"), _MU)
 _PICKED = f"""picked AS (
   SELECT draw FROM (SELECT DISTINCT draw FROM draws) ORDER BY md5(concat_ws('|', draw, '1988')), draw LIMIT {{n}})"""
 _ROLLOUT = f"""
@@ -523,7 +536,7 @@ series AS (
     JOIN on_off o ON o.subject_id = s.subject_id AND o.study_day = s.study_day) WHERE before IS NOT NULL),
 sidx AS (SELECT subject_id, dense_rank() OVER (ORDER BY subject_id) AS i FROM (SELECT DISTINCT subject_id FROM esamples)),
 params AS (
-  SELECT DISTINCT e.draw, s.subject_id, e.a, e.b_lag, e.a_subj FROM effects e JOIN sidx s ON s.i = e.i
+  SELECT DISTINCT e.draw, s.subject_id, e.a, e.b_lag, e.a_subj FROM effects e JOIN sidx s ON (s.i - 1) % 4 + 1 = e.i
   WHERE e.draw IN (SELECT draw FROM picked)),
 walk AS (
   SELECT p.*, s.n, s.specimen_id2, s.share,
@@ -749,9 +762,9 @@ FROM effects e JOIN embeddings m ON m.vec_id = e.draw""",
     "B4_lag_table": with_ctes(
         *e.LAG,
         e.DESIGN,
-        r.EFFECTS,
-        _QI,
         _LABELS,
+        r.all_effects("sidx"),
+        _QI,
         _NAMED,
         f"""SELECT subjects, abx_lag, k, {sql_r6("difference")} AS difference,
   {sql_r6("difference_lower")} AS difference_lower, {sql_r6("difference_upper")} AS difference_upper
@@ -760,6 +773,13 @@ FROM marked WHERE observed""",
     "B7_lag_predictor": with_ctes(
         *_LAG_MU_BASE, f"SELECT draw, specimens, {sql_r6('mu')} AS mu FROM mus"
     ),
+    "B7_undrawn_subjects": with_ctes(
+        *e.CONTINUOUS,
+        e.DESIGN,
+        _LABELS,
+        """SELECT d5.subjects, count(DISTINCT d5.specimens) AS n_specimens
+FROM d5 JOIN sidx s ON s.subjects = d5.subjects WHERE s.i > 4 GROUP BY 1""",
+    ),
     "B8_lag_loglik": with_ctes(
         *_LAG_MU_BASE,
         f"""SELECT draw, specimens,

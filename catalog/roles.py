@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from abundex.functions.expressions import join_groups
+from abundex.operators.drawblocks import draw_blocks
 from abundex.operators.exposure import EpisodeRule, episode_rekey
 from abundex.schemas import AbundanceSet
 
@@ -370,6 +371,18 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def subject_blocks(spark: SparkSession, sf_dir: str, subjects: DataFrame) -> DataFrame:
+    """Blocks of draws for every code ``idx`` of ``subjects``: each reads one of the four subjects' positions."""
+    blocks = draw_blocks(draws(spark, sf_dir))
+    i = F.regexp_extract("parameter", r"^(?:a_subj|b_abx2)\[(\d+)", 1)
+    blocks = blocks.withColumn("_i", F.when(i != "", i.cast("long")))
+    codes = subjects.select("idx", (F.pmod(F.col("idx") - 1, F.lit(4)) + 1).alias("_i"))
+    mine = blocks.filter("_i IS NOT NULL").join(codes, "_i")
+    named = F.regexp_replace("parameter", F.lit(r"\[\d+"), F.concat(F.lit("["), F.col("idx").cast("string")))
+    shared = blocks.filter("_i IS NULL").drop("_i")
+    return shared.unionByName(mine.withColumn("parameter", named).drop("_i", "idx"))
+
+
 def raw_effect_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The draws with the b_abx2 positions read as the raw effects zb_abx2."""
     return draws(spark, sf_dir).withColumn(
@@ -409,3 +422,13 @@ EFFECTS = """effects AS (
     CAST(embedding[3 + i.i] AS DOUBLE) AS a_subj,
     CAST(embedding[8 + (i.i - 1) * 12 + (j.j - 1) * 4 + (k.k - 1)] AS DOUBLE) AS b_abx2
   FROM embeddings CROSS JOIN range(1, 5) i(i) CROSS JOIN range(1, 4) j(j) CROSS JOIN range(1, 5) k(k))"""
+
+
+def all_effects(codes: str) -> str:
+    """As ``EFFECTS``, for every code ``i`` of a CTE."""
+    return f"""effects AS (
+  SELECT vec_id AS draw, i.i AS i, j.j AS j, k.k AS k, CAST(embedding[1] AS DOUBLE) AS a,
+    CAST(embedding[2] AS DOUBLE) AS b_lag, exp(CAST(embedding[3] AS DOUBLE)) AS sigma,
+    CAST(embedding[4 + (i.i - 1) % 4] AS DOUBLE) AS a_subj,
+    CAST(embedding[8 + ((i.i - 1) % 4) * 12 + (j.j - 1) * 4 + (k.k - 1)] AS DOUBLE) AS b_abx2
+  FROM embeddings CROSS JOIN (SELECT DISTINCT i FROM {codes}) i CROSS JOIN range(1, 4) j(j) CROSS JOIN range(1, 5) k(k))"""

@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from abundex.operators import diagnostics, frame, model
+from abundex.operators.drawblocks import block_draws, block_intervals, draw_blocks, spread_blocks
 from abundex.operators.model import VARIANTS, Scales
+from abundex.operators.posterior import median_qi, spread_draws
 
 
 @pytest.fixture(scope="module")
@@ -116,8 +118,16 @@ def test_predictor_with_all_terms(spark, draws):
     design = spark.createDataFrame(
         [("s17", 1, 1, 1), ("s17", 1, 2, 2), ("x", 2, 1, 2)], "specimens string, i int, j int, k int"
     )
-    effects = model.noncentered_effects(draws, variant)
-    mu = model.linear_predictor(obs, design, effects, draws, variant, model.population_effects(draws))
+    blocks = draw_blocks(draws, 4)  # six draws in two blocks
+
+    def in_blocks(effects, name, *index):
+        parameter = F.concat(F.lit(f"{name}["), F.concat_ws(",", *index), F.lit("]"))
+        rows = effects.select("draw", parameter.alias("parameter"), F.col(name).alias("value"))
+        return spread_blocks(draw_blocks(rows, 4), f"{name}[{','.join(index)}]")
+
+    effects = in_blocks(model.noncentered_effects(draws, variant), "b_abx2", "i", "j", "k")
+    population = in_blocks(model.population_effects(draws), "b_abx1", "j", "k")
+    mu = model.linear_predictor(obs, design, effects, blocks, variant, population)
     found = {(r["draw"], r["specimens"]): r["mu"] for r in mu.collect()}
     assert len(found) == 18
     for draw in (0, 5):
@@ -133,6 +143,27 @@ def test_predictor_with_all_terms(spark, draws):
         assert found[draw, "x"] == pytest.approx(base[3] + b(2, 1, 2))
 
 
+def test_blocks_with_different_draws_stop(spark):
+    rows = [(0, "a", 1.0), (1, "a", 2.0), (0, "b", 1.0)]
+    blocks = draw_blocks(spark.createDataFrame(rows, "draw long, parameter string, value double"))
+    with pytest.raises(Exception, match="different draws"):
+        block_draws(blocks).collect()
+
+
+def test_intervals_of_blocks_are_those_of_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(d, f"b[{i}]", None if d == 3 and i == 1 else float(rng.normal())) for d in range(23) for i in (1, 2, 3)]
+    draws = spark.createDataFrame([*rows, (0, "b[4]", None)], "draw long, parameter string, value double")
+    spread = spread_blocks(draw_blocks(draws, 5), "b[i]")
+    want = median_qi(spread_draws(draws, "b[i]"), ["i"], ["b"], 0.8).collect()
+    want = {r["i"]: [r["b"], r["b_lower"], r["b_upper"]] for r in want}
+    for limit in (10, 1_000):  # taken apart, and whole
+        found = block_intervals(spread, ["i"], ["b"], 23, 0.8, limit).collect()
+        for r in found:
+            got = [r["b"], r["b_lower"], r["b_upper"]]
+            assert got == (pytest.approx(want[r["i"]]) if r["i"] < 4 else [None] * 3)
+
+
 @pytest.mark.parametrize("name", ["3.0", "3.2", "3.5", "3.7", "3.9b"])
 def test_prior_is_the_sum_of_its_terms(draws, name):
     variant = VARIANTS[name]

@@ -92,3 +92,22 @@ def test_spread_reads_only_its_parameters(spark, tmp_path):
     scalars = posterior.spread_draws(spark.read.parquet(path), "a", "b_lag", "sigma")
     assert "In(parameter, [a,b_lag,sigma])" in plan_of(scalars)
     assert plan_of(scalars).count("FileScan") == 1
+
+
+def test_predictor_shuffles_specimens_and_not_pairs(spark):
+    """Observations, design and blocks meet; no exchange holds a row per draw and specimen."""
+    from abundex.operators import drawblocks, model
+
+    names = [f"a_subj[{i}]" for i in (1, 2)] + [f"b_abx2[{i},1,1]" for i in (1, 2)] + ["a", "b_lag", "sigma"]
+    rows = [(d, n, float(d)) for d in range(50) for n in names]
+    draws = spark.createDataFrame(rows, "draw long, parameter string, value double")
+    obs = spark.createDataFrame([(s, s % 2 + 1, 1.0) for s in range(40)], "specimens int, i int, D1_lag double")
+    design = spark.createDataFrame([(s, s % 2 + 1, 1, 1) for s in range(0, 40, 3)], "specimens int, i int, j int, k int")
+    blocks = drawblocks.draw_blocks(draws, 25)
+    effects = drawblocks.spread_blocks(blocks, "b_abx2[i,j,k]")
+    mu = model.linear_predictor(obs, design, effects, blocks, model.VARIANTS["3.5"])
+    assert mu.count() == 40 * 50
+    lines = plan_of(mu).split("\n")
+    first = next(n for n, line in enumerate(lines) if "Exchange" in line)
+    assert any("Generate" in line for line in lines[:first])  # taken apart above the last exchange
+    assert sum("Generate" in line for line in lines) == 1
