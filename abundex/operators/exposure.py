@@ -198,16 +198,29 @@ def indicator(df: DataFrame, col: str = "abx_b") -> DataFrame:
     )
 
 
-def exposure_lags(days: DataFrame, max_lag: int) -> DataFrame:
+def _lagged_sets(max_lag: int, calendar: bool) -> list[Column]:
+    """The exposure sets 0 to ``max_lag`` records, or calendar days, before each record; null where there is none.
+
+    By calendar, a frame over the range of days holds the records of those days, one a day.
+    """
+    record = Window.partitionBy("subject_id").orderBy("study_day")
+    if not calendar:
+        return [F.col("abx"), *(F.lag("abx", n).over(record) for n in range(1, max_lag + 1))]
+    near = F.collect_list(F.struct("study_day", "abx")).over(record.rangeBetween(-max_lag, 0))
+
+    def on_day(n: int) -> Column:
+        return F.get(F.filter(near, lambda r: r["study_day"] == F.col("study_day") - n), F.lit(0))["abx"]
+
+    return [F.col("abx"), *(on_day(n) for n in range(1, max_lag + 1))]
+
+
+def exposure_lags(days: DataFrame, max_lag: int, calendar: bool = False) -> DataFrame:
     """Exposures of the current and the ``max_lag`` previous records of the subject.
 
-    Counts records, not calendar days. Before the first record there is one row
+    Counts records, or days with ``calendar``. Where there is no such record there is one row
     without exposure per lag.
     """
-    record = Window.partitionBy("subject_id").orderBy("study_day")
-    sets = F.array(
-        "abx", *(F.lag("abx", n).over(record) for n in range(1, max_lag + 1))
-    )
+    sets = F.array(*_lagged_sets(max_lag, calendar))
     return (
         days.select(*DAY_KEYS, sets.alias("_sets"))
         .select(*DAY_KEYS, F.posexplode("_sets").alias("day_lag", "_abx"))
@@ -215,18 +228,23 @@ def exposure_lags(days: DataFrame, max_lag: int) -> DataFrame:
     )
 
 
-def exposure_run_length(days: DataFrame, max_lag: int) -> DataFrame:
-    """Number of consecutive records up to this one with the exposure, at most ``max_lag + 1``.
+def _record_place(calendar: bool) -> Column:
+    """What counts on by one within a run: the record's number, or the day itself."""
+    record = Window.partitionBy("subject_id").orderBy("study_day")
+    return F.col("study_day") if calendar else F.row_number().over(record)
+
+
+def exposure_run_length(days: DataFrame, max_lag: int, calendar: bool = False) -> DataFrame:
+    """Number of consecutive records, or days, up to this one with the exposure, at most ``max_lag + 1``.
 
     Records of one run share the difference between the subject's record number
     and the exposure's own number. The first window's exchange on the subject
     serves the two that follow.
     """
-    record = Window.partitionBy("subject_id").orderBy("study_day")
     own = Window.partitionBy("subject_id", "abx_b").orderBy("_record")
     run = Window.partitionBy("subject_id", "abx_b", "_run").orderBy("_record")
     return (
-        days.withColumn("_record", F.row_number().over(record))
+        days.withColumn("_record", _record_place(calendar))
         .select(*DAY_KEYS, "_record", F.explode("abx").alias("abx_b"))
         .filter(F.col("abx_b").isNotNull())
         .withColumn("_run", F.col("_record") - F.row_number().over(own))
@@ -267,20 +285,20 @@ def restore_unmatched(runs: DataFrame, lags: DataFrame) -> DataFrame:
     return runs.join(lags, [*DAY_KEYS, "abx_b"], "right")
 
 
-def exposure_record(days: DataFrame, max_lag: int) -> DataFrame:
+def exposure_record(days: DataFrame, max_lag: int, calendar: bool = False) -> DataFrame:
     """Per subject and day the array ``abx_lagged`` of (abx_b, continuous, day_lag).
 
     Same content as ``exposure_lags`` with the run length of ``exposure_run_length``
     attached, but built on the day rows: after the exchange on the subject no join
     and no further exchange is needed.
     """
-    record = Window.partitionBy("subject_id").orderBy("study_day")
-    runs = exposure_runs_per_day(days, max_lag)
+    runs = exposure_runs_per_day(days, max_lag, calendar)
+    sets = _lagged_sets(max_lag, calendar)
     entry = "struct<abx_b:string,continuous:bigint,day_lag:int>"
     none = F.array(F.lit(None).cast("string"))
 
     def lagged(n: int) -> Column:
-        names = F.col("abx") if n == 0 else F.coalesce(F.lag("abx", n).over(record), none)
+        names = sets[n] if n == 0 else F.coalesce(sets[n], none)
         return F.transform(
             names,
             lambda name: F.struct(
@@ -296,14 +314,13 @@ def exposure_record(days: DataFrame, max_lag: int) -> DataFrame:
     return runs.select(*DAY_KEYS, F.flatten(lists).cast(f"array<{entry}>").alias("abx_lagged"))
 
 
-def exposure_runs_per_day(days: DataFrame, max_lag: int) -> DataFrame:
+def exposure_runs_per_day(days: DataFrame, max_lag: int, calendar: bool = False) -> DataFrame:
     """Day rows with the map ``_runs`` from exposure to run length."""
-    record = Window.partitionBy("subject_id").orderBy("study_day")
     own = Window.partitionBy("subject_id", "_name").orderBy("_record")
     run = Window.partitionBy("subject_id", "_name", "_run").orderBy("_record")
     pairs = F.filter(F.collect_list(F.struct("_name", "_length")), lambda p: p["_name"].isNotNull())
     return (
-        days.withColumn("_record", F.row_number().over(record))
+        days.withColumn("_record", _record_place(calendar))
         .select(*DAY_KEYS, "_record", "abx", F.explode("abx").alias("_name"))
         .withColumn("_run", F.col("_record") - F.row_number().over(own))
         .withColumn("_length", F.least(F.row_number().over(run), F.lit(max_lag + 1)))

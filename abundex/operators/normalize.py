@@ -36,8 +36,9 @@ def rarefy(
     depth: int,
     seed: int = 1988,
     features_per_slice: int = FEATURES_PER_SLICE,
+    replace: bool = True,
 ) -> DataFrame:
-    """Draw ``depth`` reads with replacement from each specimen that has as many.
+    """Draw ``depth`` reads, with replacement or without, from each specimen that has as many.
 
     A specimen's reads are laid end to end, feature after feature in hash order; a
     feature gets as many reads as drawn places fall between its start and its end.
@@ -45,8 +46,15 @@ def rarefy(
     bisection, so neither draws nor pairs of draw and feature become rows.
     Specimens with many features are cut into hash slices, each with the places
     that fall into it.
+
+    Without ``replace`` a place counts once, as often as it is drawn, and drawing goes on until
+    there are enough; of more than half of the reads those that are left out are drawn. Every draw
+    then finds a new place with a chance of a half or more, and four times as many draws and 64
+    are enough but for a chance below 2^-60, in which case the job stops. Counts have to be whole.
     """
     whole = counts.schema["read_count"].dataType.typeName() not in ("double", "float")
+    if not (whole or replace):
+        raise ValueError("drawing without replacement needs whole counts")
     filled = counts.filter((F.col("read_count") > 0) & F.col("specimen_id2").isNotNull())
     deep = (
         filled.groupBy("specimen_id2")
@@ -77,10 +85,18 @@ def rarefy(
         .withColumns({"_total": total, "_last": last})
         .withColumn("_first", F.col("_last") - F.col("_reads"))
     )
+    # Of most of the reads, draw those that are left out.
+    others = F.lit(False) if replace else 2 * F.lit(depth) > F.col("_total")
+    wanted = F.when(others, F.col("_total") - depth).otherwise(F.lit(depth)).cast("int")
+    draws = F.lit(depth) if replace else 4 * wanted + 64
     places = F.transform(
-        F.sequence(F.lit(0), F.lit(depth - 1)),
+        F.sequence(F.lit(0), draws - 1),
         lambda draw: read_position(F.col("specimen_id2"), draw, F.col("_total"), seed, whole),
     )
+    if not replace:
+        different = F.array_distinct(places)
+        few = F.raise_error(F.lit("too few different places were drawn")).cast("array<bigint>")
+        places = F.when(F.size(different) >= wanted, F.slice(different, F.lit(1), wanted)).otherwise(few)
     mine = F.filter(
         "_all", lambda place: (place >= F.col("_first")) & (place < F.col("_last"))
     )
@@ -88,13 +104,16 @@ def rarefy(
     # features have too, keeps Spark from merging these rows into a few tasks.
     tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     drawn = slices.repartition(tasks, *key).withColumn("_all", places).select(
-        *key, F.sort_array(F.transform(mine, lambda place: place - F.col("_first"))).alias("_drawn")
+        *key,
+        others.alias("_others"),
+        F.sort_array(F.transform(mine, lambda place: place - F.col("_first"))).alias("_drawn"),
     )
 
     def below(end: Column) -> Column:
         return bisect(F.col("_drawn"), lambda place: place < end, depth)
 
     hits = below(F.col("_end")) - below(F.col("_end") - F.col("read_count"))
+    hits = F.when(F.col("_others"), F.col("read_count") - hits).otherwise(hits)
     return (
         features.join(drawn, key)
         .select("specimen_id2", "otu_id", hits.cast("long").alias("_hits"))

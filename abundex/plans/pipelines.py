@@ -20,6 +20,7 @@ def clean_samples(
     rarefy_depth: int = 1000,
     seed: int = 1988,
     pattern: str = "Culture",
+    replace: bool = True,
 ) -> AbundanceSet:
     """Select samples, merge repeats, keep exposed ones, then scale and/or rarefy.
 
@@ -40,7 +41,7 @@ def clean_samples(
         samples = clean.drop_empty_samples(samples, counts)
     if rarefy_depth > 0:
         # Sizes, slices and starts all read the counts: write the merged table once.
-        counts = normalize.rarefy(cut_lineage(counts), rarefy_depth, seed)
+        counts = normalize.rarefy(cut_lineage(counts), rarefy_depth, seed, replace=replace)
         samples = clean.drop_empty_samples(samples, counts)
     taxonomy = data.taxonomy.join(counts.select("otu_id").distinct(), "otu_id", "left_semi")
     return AbundanceSet(counts, samples, taxonomy)
@@ -54,8 +55,9 @@ def exposure_history(
     combined: Mapping[str, str] = exposure.COFORMULATIONS,
     suppressed_by: Mapping[str, str] = exposure.SUPPRESSED_BY,
     dropped: Sequence[str] = exposure.ALWAYS_DROPPED,
+    calendar: bool = False,
 ) -> DataFrame:
-    """Per subject and study day the nested exposure history.
+    """Per subject and study day the nested exposure history; lags count records, or days with ``calendar``.
 
     Spans, study days and sub-subjects are settled per exposure row; then the rows
     shrink to one set per subject and day, which is what the ordered steps see.
@@ -66,7 +68,7 @@ def exposure_history(
     days = exposure.exposure_days(
         rekeyed, combined=combined, suppressed_by=suppressed_by, dropped=dropped
     )
-    return exposure.exposure_record(days, max_lag)
+    return exposure.exposure_record(days, max_lag, calendar)
 
 
 def rekeyed_samples(samples: DataFrame, rules: Sequence[EpisodeRule]) -> DataFrame:

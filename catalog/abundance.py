@@ -329,13 +329,18 @@ def r1_rarefy(spark: SparkSession, d: str) -> DataFrame:
     return normalize.rarefy(r.counts(spark, d), DEPTH)
 
 
+def r1_rarefy_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Every read at most once."""
+    return normalize.rarefy(r.counts(spark, d), DEPTH, replace=False)
+
+
 def r2_css_normalize(spark: SparkSession, d: str) -> DataFrame:
     return rounded(normalize.css_normalize(r.counts(spark, d), min_features=2), "norm_count")
 
 
-def _clean_set(spark: SparkSession, d: str, depth: int) -> AbundanceSet:
+def _clean_set(spark: SparkSession, d: str, depth: int, **options) -> AbundanceSet:
     data = AbundanceSet(r.counts(spark, d), r.raw_samples(spark, d), r.taxonomy(spark, d))
-    return clean_samples(data, r.order_exposures(spark, d), rarefy_depth=depth)
+    return clean_samples(data, r.order_exposures(spark, d), rarefy_depth=depth, **options)
 
 
 def r3_clean_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -350,6 +355,10 @@ def r3_clean_rarefied(spark: SparkSession, d: str) -> DataFrame:
     return _clean_set(spark, d, DEPTH).counts
 
 
+def r3_clean_scaled(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_clean_set(spark, d, 0, scale_counts=True).counts, "read_count")
+
+
 QUERIES = {
     "S1_read_counts": s1_read_counts,
     "S1_wide_counts": s1_wide_counts,
@@ -400,10 +409,12 @@ QUERIES = {
     "N2_samples": n2_samples,
     "N5_gather": n5_gather,
     "R1_rarefy": r1_rarefy,
+    "R1_rarefy_distinct": r1_rarefy_distinct,
     "R2_css_normalize": r2_css_normalize,
     "R3_clean_counts": r3_clean_counts,
     "R3_clean_samples": r3_clean_samples,
     "R3_clean_rarefied": r3_clean_rarefied,
+    "R3_clean_scaled": r3_clean_scaled,
 }
 
 
@@ -451,25 +462,58 @@ _CLEAN = (
 )
 
 
-def _rarefied(source: str) -> tuple[str, str]:
-    """Each drawn position looked up in the intervals of the features."""
-    ctes = f"""deep AS (
+_PLACE = """CAST(floor(
+    CAST(CAST('0x' || substr(md5(concat_ws('|', specimen_id2, n, '1988')), 1, 15) AS BIGINT) AS HUGEINT)
+      * total // 1152921504606846976) AS BIGINT) AS u"""
+
+
+def _laid_out(source: str) -> str:
+    """The features of deep specimens as intervals of reads."""
+    return f"""deep AS (
   SELECT specimen_id2, sum(read_count) AS total FROM {source} GROUP BY 1 HAVING sum(read_count) >= {DEPTH}),
 spans AS (
   SELECT c.specimen_id2, c.otu_id, c.read_count,
     sum(c.read_count) OVER (PARTITION BY c.specimen_id2 ORDER BY md5(CAST(c.otu_id AS VARCHAR))) AS hi
-  FROM {source} c JOIN deep USING (specimen_id2)),
-picks AS (
-  SELECT specimen_id2, CAST(floor(
-    CAST(CAST('0x' || substr(md5(concat_ws('|', specimen_id2, n, '1988')), 1, 15) AS BIGINT) AS HUGEINT)
-      * total // 1152921504606846976) AS BIGINT) AS u
-  FROM deep CROSS JOIN range({DEPTH}) t(n))"""
-    last = """SELECT p.specimen_id2, s.otu_id, count(*) AS read_count
-FROM picks p JOIN spans s ON s.specimen_id2 = p.specimen_id2 AND p.u >= s.hi - s.read_count AND p.u < s.hi
-GROUP BY 1, 2"""
+  FROM {source} c JOIN deep USING (specimen_id2))"""
+
+
+_HIT = "s.specimen_id2 = p.specimen_id2 AND p.u >= s.hi - s.read_count AND p.u < s.hi"
+
+
+def _rarefied(source: str) -> tuple[str, str]:
+    """Each drawn position looked up in the intervals of the features."""
+    ctes = f"""{_laid_out(source)},
+picks AS (SELECT specimen_id2, {_PLACE} FROM deep CROSS JOIN range({DEPTH}) t(n))"""
+    last = f"""SELECT p.specimen_id2, s.otu_id, count(*) AS read_count
+FROM picks p JOIN spans s ON {_HIT} GROUP BY 1, 2"""
     return ctes, last
 
 
+def _rarefied_distinct(source: str) -> tuple[str, str]:
+    """Different positions in the order they are first drawn; the left-out reads of small specimens."""
+    ctes = f"""{_laid_out(source)},
+wanted AS (
+  SELECT *, 2 * {DEPTH} > total AS others, CASE WHEN 2 * {DEPTH} > total THEN total - {DEPTH} ELSE {DEPTH} END AS size FROM deep),
+drawn AS (SELECT specimen_id2, n, {_PLACE} FROM wanted CROSS JOIN range({4 * DEPTH + 64}) t(n) WHERE n < 4 * size + 64),
+firsts AS (
+  SELECT specimen_id2, u, row_number() OVER (PARTITION BY specimen_id2 ORDER BY min(n)) AS pos FROM drawn GROUP BY 1, 2),
+picks AS (SELECT f.specimen_id2, f.u FROM firsts f JOIN wanted w USING (specimen_id2) WHERE f.pos <= w.size),
+hits AS (
+  SELECT s.specimen_id2, s.otu_id, s.read_count, count(p.u) AS n FROM spans s LEFT JOIN picks p ON {_HIT} GROUP BY 1, 2, 3),
+kept AS (
+  SELECT specimen_id2, otu_id, CAST(CASE WHEN others THEN read_count - n ELSE n END AS BIGINT) AS read_count
+  FROM hits JOIN wanted USING (specimen_id2))"""
+    return ctes, "SELECT * FROM kept WHERE read_count > 0"
+
+
+def _scale(source: str) -> str:
+    """Sum of each specimen's counts up to its median count."""
+    return f"""many AS (SELECT specimen_id2, quantile_cont(read_count, 0.5) AS q FROM {source}
+  WHERE read_count > 0 GROUP BY 1 HAVING count(*) > 1),
+scale AS (SELECT c.specimen_id2, sum(c.read_count) AS s FROM {source} c JOIN many m USING (specimen_id2)
+  WHERE c.read_count <= m.q GROUP BY 1)"""
+
+
 SQL = {
     "S1_read_counts": with_ctes(r.COUNTS, "SELECT * FROM counts"),
     "S1_wide_counts": """SELECT l_orderkey AS specimen_id2, l_returnflag AS otu_id,
@@ -694,14 +738,19 @@ WHERE c.read_count > 0""",
     "N5_gather": """SELECT l_orderkey, l_linenumber, 'l_discount' AS key, l_discount AS value FROM lineitem
 UNION ALL SELECT l_orderkey, l_linenumber, 'l_tax', l_tax FROM lineitem""",
     "R1_rarefy": with_ctes(r.COUNTS, *_rarefied("counts")),
+    "R1_rarefy_distinct": with_ctes(r.COUNTS, *_rarefied_distinct("counts")),
     "R2_css_normalize": with_ctes(
         r.COUNTS,
-        """many AS (SELECT specimen_id2, quantile_cont(read_count, 0.5) AS q FROM counts
-  WHERE read_count > 0 GROUP BY 1 HAVING count(*) > 1),
-scale AS (SELECT c.specimen_id2, sum(c.read_count) AS s FROM counts c JOIN many m USING (specimen_id2)
-  WHERE c.read_count <= m.q GROUP BY 1)""",
+        _scale("counts"),
         f"""SELECT c.specimen_id2, c.otu_id, {sql_r6("c.read_count / s.s::DOUBLE * 1000")} AS norm_count
 FROM counts c JOIN scale s USING (specimen_id2)""",
+    ),
+    "R3_clean_scaled": with_ctes(
+        *_CLEAN,
+        "left_over AS (SELECT m.* FROM merged m WHERE m.specimen_id2 IN (SELECT specimen_id2 FROM exposed))",
+        _scale("left_over"),
+        f"""SELECT c.specimen_id2, c.otu_id, {sql_r6("c.read_count / s.s::DOUBLE * 1000")} AS read_count
+FROM left_over c JOIN scale s USING (specimen_id2)""",
     ),
     "R3_clean_counts": with_ctes(
         *_CLEAN, "SELECT m.* FROM merged m WHERE m.specimen_id2 IN (SELECT specimen_id2 FROM exposed)"

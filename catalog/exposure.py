@@ -142,6 +142,18 @@ def w7_exposure_run_length(spark: SparkSession, d: str) -> DataFrame:
     return exposure.exposure_run_length(_days(spark, d), LONG_LAG)
 
 
+def w6_calendar_lags(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.exposure_lags(_days(spark, d), MAX_LAG, calendar=True)
+
+
+def w7_calendar_run_length(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.exposure_run_length(_days(spark, d), LONG_LAG, calendar=True)
+
+
+def x5_calendar_history(spark: SparkSession, d: str) -> DataFrame:
+    return exposure.history_rows(exposure.exposure_record(_days(spark, d), MAX_LAG, calendar=True))
+
+
 def w8_gap_flag(spark: SparkSession, d: str) -> DataFrame:
     return exposure.gap_flag(exposure.exposure_lags(_days(spark, d), MAX_LAG))
 
@@ -377,6 +389,9 @@ QUERIES = {
     "N4_unnest": n4_unnest,
     "W6_exposure_lags": w6_exposure_lags,
     "W7_exposure_run_length": w7_exposure_run_length,
+    "W6_calendar_lags": w6_calendar_lags,
+    "W7_calendar_run_length": w7_calendar_run_length,
+    "X5_calendar_history": x5_calendar_history,
     "W8_gap_flag": w8_gap_flag,
     "J5_restore_unmatched": j5_restore_unmatched,
     "X5_exposure_history": x5_exposure_history,
@@ -550,6 +565,17 @@ FROM names WHERE abx_b IS NOT NULL GROUP BY 1""",
         *_history_base(), "SELECT subject_id, study_day, day_lag, abx_b FROM lags"
     ),
     "W7_exposure_run_length": with_ctes(*_history_base(LONG_LAG), "SELECT * FROM runs"),
+    "W6_calendar_lags": with_ctes(
+        *r.EXPOSURE_BASE, r.sql_lags(MAX_LAG, calendar=True), "SELECT subject_id, study_day, day_lag, abx_b FROM lags"
+    ),
+    "W7_calendar_run_length": with_ctes(
+        *r.EXPOSURE_BASE, r.sql_lags(LONG_LAG, calendar=True), "SELECT * FROM runs"
+    ),
+    "X5_calendar_history": with_ctes(
+        *r.EXPOSURE_BASE,
+        r.sql_lags(MAX_LAG, calendar=True),
+        "SELECT subject_id, study_day, abx_b, continuous, day_lag FROM history",
+    ),
     "W8_gap_flag": with_ctes(
         *r.EXPOSURE_BASE,
         f"""records AS (

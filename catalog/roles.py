@@ -290,15 +290,16 @@ cleaned AS (
         AND c.abx_b = 'click.purchase')))"""
 
 
-def sql_lags(max_lag: int) -> str:
-    """Each record against its n-th predecessor, and run lengths by their definition."""
+def sql_lags(max_lag: int, calendar: bool = False) -> str:
+    """Each record against its n-th predecessor, or the n-th day before, and run lengths by their definition."""
+    before = "p.study_day = r.study_day - n.n" if calendar else "p.rn = r.rn - n.n"
     return f"""records AS (
   SELECT subject_id, study_day, row_number() OVER (PARTITION BY subject_id ORDER BY study_day) AS rn
   FROM (SELECT DISTINCT subject_id, study_day FROM cleaned)),
 lags AS (
   SELECT r.subject_id, r.study_day, CAST(n.n AS INT) AS day_lag, c.abx_b
   FROM records r CROSS JOIN range({max_lag + 1}) n(n)
-  LEFT JOIN records p ON p.subject_id = r.subject_id AND p.rn = r.rn - n.n
+  LEFT JOIN records p ON p.subject_id = r.subject_id AND {before}
   LEFT JOIN cleaned c ON c.subject_id = p.subject_id AND c.study_day = p.study_day),
 gaps AS (
   SELECT *, coalesce(day_lag - lag(day_lag) OVER (

@@ -390,3 +390,28 @@ def test_spread_joins_on_shared_indices(spark):
     assert rows(found, "draw", "i", "k", "a", "s", "b") == [(0, 1, 2, 1.0, 10.0, 5.0), (0, 2, 2, 1.0, 20.0, 6.0)]
     with pytest.raises(ValueError):
         posterior.spread_draws(draws, "b[i")
+
+
+def test_calendar_lags_see_missing_days(spark):
+    """Days 0, 1, 3, 4 and 9: day 3 has no record the day before; day 9 none within three days."""
+    table = [("A", 0, ["x"]), ("A", 1, ["x", "y"]), ("A", 3, ["x"]), ("A", 4, ["x", None]), ("A", 9, ["x"]), ("B", 4, ["y"])]
+    days = spark.createDataFrame(table, "subject_id string, study_day int, abx array<string>")
+    given = {(s, d): names for s, d, names in table}
+    want = []
+    for s, d, _ in table:
+        for n in range(4):
+            want += [(s, d, n, name) for name in given.get((s, d - n), [None])]
+    lags = exposure.exposure_lags(days, 3, calendar=True)
+    assert rows(lags, "subject_id", "study_day", "day_lag", "abx_b") == sorted(want, key=repr)
+    runs = exposure.exposure_run_length(days, 2, calendar=True)
+    assert rows(runs, "subject_id", "study_day", "abx_b", "continuous") == sorted(
+        [("A", 0, "x", 1), ("A", 1, "x", 2), ("A", 1, "y", 1), ("A", 3, "x", 1), ("A", 4, "x", 2), ("A", 9, "x", 1), ("B", 4, "y", 1)],
+        key=repr,
+    )
+    assert rows(exposure.gap_flag(lags), "subject_id", "study_day", "abx_b", "continuous") == rows(
+        exposure.exposure_run_length(days, 3, calendar=True), "subject_id", "study_day", "abx_b", "continuous"
+    )
+    by_record = exposure.exposure_run_length(days, 9)
+    assert by_record.filter("study_day = 9 AND subject_id = 'A'").first()["continuous"] == 5
+    history = exposure.history_rows(exposure.exposure_record(days, 3, calendar=True))
+    assert rows(history, "subject_id", "study_day", "day_lag", "abx_b") == sorted(want, key=repr)

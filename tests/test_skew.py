@@ -110,6 +110,42 @@ def test_rarefaction_is_the_same_in_slices(spark):
     assert len(totals) == kept
 
 
+def test_rarefaction_without_replacement(spark):
+    counts = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 40).alias("specimen_id2"),
+        F.col("id").alias("otu_id"),
+        (F.col("id") % 9 + 1).alias("read_count"),
+    )
+    order = ("specimen_id2", "otu_id")
+    totals = dict(map(tuple, counts.groupBy("specimen_id2").sum("read_count").collect()))
+    for depth in (1, 100, 240, max(totals.values())):
+        plain = normalize.rarefy(counts, depth, replace=False)
+        assert rows_of(normalize.rarefy(counts, depth, features_per_slice=20, replace=False), *order) == rows_of(plain, *order)
+        found = {r[0]: r[1] for r in plain.groupBy("specimen_id2").sum("read_count").collect()}
+        assert found == {s: depth for s, n in totals.items() if n >= depth}
+        above = plain.withColumnRenamed("read_count", "kept").join(counts, list(order)).filter("kept > read_count")
+        assert above.count() == 0
+    # All reads of a specimen: every count comes back as it was.
+    whole = spark.createDataFrame([(1, f, f + 1) for f in range(20)], "specimen_id2 long, otu_id long, read_count long")
+    assert rows_of(normalize.rarefy(whole, 210, replace=False), *order) == rows_of(whole, *order)
+    with pytest.raises(ValueError, match="whole counts"):
+        normalize.rarefy(whole.withColumn("read_count", F.col("read_count") / 2), 5, replace=False)
+
+
+def test_reads_without_replacement_are_even(spark):
+    counts = spark.createDataFrame(
+        [(s, f, n) for s in range(400) for f, n in (("a", 70), ("b", 20), ("c", 10))],
+        "specimen_id2 long, otu_id string, read_count long",
+    )
+    for depth in (30, 80):  # drawn, and left out
+        drawn = normalize.rarefy(counts, depth, replace=False).groupBy("otu_id")
+        found = {r["otu_id"]: r for r in drawn.agg(F.avg("read_count").alias("m"), F.var_samp("read_count").alias("v")).collect()}
+        share = depth / 100
+        assert found["a"]["m"] == pytest.approx(70 * share, abs=0.5)
+        # Hypergeometric spread, smaller than with replacement.
+        assert found["a"]["v"] == pytest.approx(depth * 0.7 * 0.3 * (100 - depth) / 99, rel=0.3)
+
+
 def test_rarefaction_follows_the_counts(spark):
     counts = spark.createDataFrame(
         [(s, f, n) for s in range(400) for f, n in (("a", 70), ("b", 20), ("c", 10))],
