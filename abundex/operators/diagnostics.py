@@ -40,6 +40,9 @@ WARNINGS = (
     "energy warning",
 )
 LAGS_PER_ROUND = 1_024
+# Rounds grow up to this many times the first one.
+LONGEST_ROUND = 1_024
+VALUES_PER_BLOCK = 4_096
 
 
 def stack_chains(chains: Sequence[DataFrame]) -> DataFrame:
@@ -149,7 +152,9 @@ def _block_products(lags_from: int, size: int):
         here[own["pos"].to_numpy() - block * size] = own["x"]
         other = part[part["_role"] == 1]
         there[other["pos"].to_numpy() - block * size - lags_from] = other["x"]
-        sums = np.correlate(there, here, "valid")[:size]
+        # The longer of the two is as long as the transform, so the lags wanted do not wrap.
+        spectrum = np.fft.rfft(there) * np.conj(np.fft.rfft(here, 2 * size))
+        sums = np.fft.irfft(spectrum, 2 * size)[:size]
         count = min(size, int(part["_n"].iloc[0]) - lags_from)
         return pd.DataFrame(
             {
@@ -167,7 +172,7 @@ def _lag_sums(centred: DataFrame, number: int, size: int) -> DataFrame:
     """Autocovariance sums for the lags of one round, block by block.
 
     A block of ``size`` positions meets the two blocks that hold its partners, so
-    no task sees more than ``3 * size`` rows of a chain.
+    no task sees more than ``3 * size`` rows of a chain; their products are taken by Fourier transform.
     """
     block = F.floor(F.col("pos") / size)
     places = F.array(
@@ -238,7 +243,9 @@ def n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataFrame:
     Pairs of autocorrelations are summed while positive and made monotone. Lags
     are worked off in rounds; only parameters whose pairs are still positive at the
     end of a round go into the next one, so a slow chain costs more rounds and
-    loses nothing. ``lags_per_round`` must be even.
+    loses nothing. From the second round on a round has as many lags as all before it,
+    up to a limit, so the work of a chain of n draws is about n log(n)^2. Each round
+    writes its own sums. ``lags_per_round`` must be even.
     """
     if lags_per_round % 2:
         raise ValueError("lags_per_round must be even")
@@ -253,13 +260,15 @@ def n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataFrame:
     )
     longest = chains.agg(F.max("_n")).first()[0]
     sums = None
-    left = centred
-    for number in range(0 if longest is None else -(-longest // lags_per_round)):
-        more = _lag_sums(left, number, lags_per_round)
+    left, done, size = centred, 0, lags_per_round
+    while longest is not None and done < longest:
+        more = _lag_sums(left, done // size, size)
+        done += size
+        if done < longest:
+            more = cut_lineage(more)
         sums = more if sums is None else sums.unionByName(more)
-        if (number + 1) * lags_per_round >= longest:
+        if done >= longest:
             break
-        sums = cut_lineage(sums)
         going_on = _ess_from_sums(sums, chains).filter(
             F.col("_open") & (F.col("_lags") < F.col("_length"))
         )
@@ -268,6 +277,7 @@ def n_eff(draws: DataFrame, lags_per_round: int = LAGS_PER_ROUND) -> DataFrame:
         left = cut_lineage(
             join_groups(left, going_on.select("parameter"), ["parameter"], "left_semi")
         )
+        size = min(done, LONGEST_ROUND * lags_per_round)
     if sums is None:
         raise ValueError("no draws")
     return _ess_from_sums(sums, chains).select("parameter", "n_eff", F.col("_total").alias("n_draws"))
@@ -286,8 +296,9 @@ def khat(
     """Tail index of a generalised Pareto fit to the positive values of each group.
 
     The candidates of a group, ``20 + sqrt(N)`` of them, are made from its size,
-    maximum and first quartile; each row adds to one sum per candidate before
-    anything is shuffled. Groups with a value of 0 or less get 0.
+    maximum and first quartile. The values are put into blocks; a block tries all candidates
+    at once and hands on one array of sums, so there is a row per block and candidate and
+    none per value and candidate. Groups with a value of 0 or less get 0; a NULL key is a group.
     """
     keys = list(keys)
     ranks = value_ranks(df, keys, value, limit)
@@ -300,24 +311,37 @@ def khat(
         .groupBy(*keys, "_n", "_min", "_max")
         .agg(value_at_rank(value, quarter).alias("_q"))
     )
-    n, m = F.col("_n"), F.col("_m")
+    n = F.col("_n")
     count = F.lit(20) + F.floor(F.sqrt(n))
-    candidate = F.lit(1.0) / F.col("_max") + (
-        F.lit(1.0) - F.sqrt(count / (m - F.lit(0.5)))
-    ) / (F.lit(3.0) * F.col("_q"))
-    positive = join_groups(ranks, stats.filter(F.col("_min") > 0), keys)
+
+    def candidate(m: Column) -> Column:
+        spread = F.lit(1.0) - F.sqrt(count / (m - F.lit(0.5)))
+        return F.lit(1.0) / F.col("_max") + spread / (F.lit(3.0) * F.col("_q"))
+
+    positive = stats.filter(F.col("_min") > 0)
+    tries = positive.select(*keys, "_n", F.transform(F.sequence(F.lit(1).cast("long"), count), candidate).alias("_b"))
+    block = F.pmod(F.xxhash64(value), F.ceil(n / VALUES_PER_BLOCK))
+    blocks = (
+        join_groups(ranks, positive.select(*keys, "_n"), keys)
+        .groupBy(*keys, block.alias("_block"))
+        .agg(F.collect_list(F.struct(F.col(value).alias("x"), F.col("_freq").alias("f"))).alias("_values"))
+    )
+
+    def summed(b: Column) -> Column:
+        return F.aggregate("_values", F.lit(0.0), lambda done, v: done + v["f"] * F.ln(F.lit(1.0) - b * v["x"]))
+
+    profiles = join_groups(blocks, tries, keys).select(*keys, "_n", "_b", F.transform("_b", summed).alias("_s"))
     tried = (
-        positive.select("*", F.explode(F.sequence(F.lit(1).cast("long"), count)).alias("_m"))
-        .withColumn("_b", candidate)
+        profiles.select(*keys, "_n", F.inline(F.arrays_zip("_b", "_s")))
         .groupBy(*keys, "_n", "_b")
-        .agg(F.sum(F.col("_freq") * F.ln(F.lit(1.0) - F.col("_b") * F.col(value))).alias("_s"))
+        .agg(F.sum("_s").alias("_s"))
     )
     k = -F.col("_s") / n
     weighed = tried.withColumn("_log_w", n * (F.ln(F.col("_b") / k) + k - F.lit(1.0)))
     top = weighed.groupBy(*keys).agg(F.max("_log_w").alias("_top"))
     weight = F.exp(F.col("_log_w") - F.col("_top"))
     best = (
-        weighed.join(top, keys)
+        join_groups(weighed, top, keys)
         .groupBy(*keys)
         .agg((F.sum(F.col("_b") * weight) / F.sum(weight)).alias("_best"))
     )
@@ -328,7 +352,7 @@ def khat(
             F.sum(F.col("_freq") * F.ln(F.lit(1.0) - F.col("_best") * F.col(value))).alias("_s")
         )
     )
-    return sizes.join(fitted, keys, "left").select(
+    return join_groups(sizes, fitted, keys, "left").select(
         *keys, F.coalesce(F.col("_s") / n, F.lit(0.0)).alias("khat")
     )
 
@@ -343,7 +367,7 @@ def tail_khats(draws: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
     ends = draws.groupBy("parameter").agg(
         F.min("value").alias("_min"), F.max("value").alias("_max")
     )
-    stats = middle.join(ends, "parameter").withColumn(
+    stats = join_groups(middle, ends, ["parameter"]).withColumn(
         "_flat", (F.col("_median") == F.col("_min")) | (F.col("_median") == F.col("_max"))
     )
     sides = join_groups(draws, stats.filter(~F.col("_flat")), ["parameter"]).select(
@@ -360,7 +384,7 @@ def tail_khats(draws: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
             F.max(F.when(side == "right", F.col("khat"))).alias("khat_right"),
         )
     )
-    return stats.select("parameter").join(found, "parameter", "left").fillna(
+    return join_groups(stats.select("parameter"), found, ["parameter"], "left").fillna(
         0.0, ["khat_left", "khat_right"]
     )
 

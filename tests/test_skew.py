@@ -199,8 +199,9 @@ def brute_ess(values):
     return m * n / (2 * total - 1)
 
 
-@pytest.mark.parametrize("lags", [26, 1024])
-def test_effective_sample_size_in_rounds(draws, lags):
+@pytest.mark.parametrize(("lags", "longest"), [(26, 1_024), (4, 1_024), (4, 4), (1024, 1_024)])
+def test_effective_sample_size_in_rounds(draws, lags, longest, monkeypatch):
+    monkeypatch.setattr(diagnostics, "LONGEST_ROUND", longest)
     table = draws.toPandas()
     found = {r["parameter"]: r["n_eff"] for r in diagnostics.n_eff(draws, lags).collect()}
     assert found["flat"] is None
@@ -223,10 +224,12 @@ def brute_khat(x):
     return np.log(1 - (b * w).sum() / w.sum() * x).mean()
 
 
-@pytest.mark.parametrize("limit", [None, 40])
-def test_tail_index(spark, limit):
+@pytest.mark.parametrize(("limit", "block"), [(None, 4_096), (40, 4_096), (None, 30)])
+def test_tail_index(spark, limit, block, monkeypatch):
+    monkeypatch.setattr(diagnostics, "VALUES_PER_BLOCK", block)
     rng = np.random.default_rng(3)
     values = {"heavy": rng.pareto(1.0, 400) + 0.1, "light": rng.exponential(1.0, 333), "zero": np.r_[0.0, rng.uniform(1, 2, 20)]}
+    values[None] = rng.pareto(2.0, 50) + 0.1
     rows = [(k, float(v)) for k, vs in values.items() for v in vs]
     df = spark.createDataFrame(rows, "parameter string, value double")
     found = {r["parameter"]: r["khat"] for r in diagnostics.khat(df, ["parameter"], "value", limit).collect()}
