@@ -34,6 +34,11 @@ class _Numbers(dict):
         return number
 
 
+def occurrences(sequences: list[np.ndarray], size: int) -> np.ndarray:
+    """How often each number below ``size`` occurs in the sequences."""
+    return np.bincount(np.concatenate(sequences), minlength=size) if sequences else np.zeros(size, np.int64)
+
+
 def _blocks(
     batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], block_chars: int
 ) -> Iterator[tuple[int, list[str], np.ndarray, list[int | None], list[np.ndarray]]]:
@@ -52,22 +57,18 @@ def _blocks(
 
     def close() -> tuple:
         first_seen = list(numbers)
-        counts = np.zeros(len(first_seen), np.int64)
-        learned = np.zeros(len(first_seen), np.int64)
-        for sequence, learn in zip(sequences, counted, strict=True):
-            np.add.at(counts, sequence, 1)
-            if learn:
-                np.add.at(learned, sequence, 1)
-        order = sorted(range(len(first_seen)), key=lambda i: (-counts[i], first_seen[i]))
+        counts = occurrences(sequences, len(first_seen))
+        learned = occurrences([x for x, learn in zip(sequences, counted, strict=True) if learn], len(first_seen))
+        # Words that are equally frequent keep the order in which they were first seen.
+        order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
-        words = [first_seen[i] for i in order]
+        words = [first_seen[i] for i in order.tolist()]
         return seen.intdigest() - (1 << 63), words, learned[order], ids, [rank[x] for x in sequences]
 
     for batch in batches:
-        for i, text, *learn in zip(*batch.columns, strict=True):
-            i, text = i.as_py(), text.as_py()
-            counted.append(learn[0].as_py() if learn else True)
+        for i, text, *learn in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            counted.append(learn[0] if learn else True)
             words = split(text)
             ids.append(i)
             sequences.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
