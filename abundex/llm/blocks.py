@@ -35,8 +35,15 @@ class _Numbers(dict):
 
 
 def occurrences(sequences: list[np.ndarray], size: int) -> np.ndarray:
-    """How often each number below ``size`` occurs in the sequences."""
-    return np.bincount(np.concatenate(sequences), minlength=size) if sequences else np.zeros(size, np.int64)
+    """How often each number below ``size`` occurs in the sequences, added up a part at a time."""
+    counts, part, held = np.zeros(size, np.int64), [], 0
+    for sequence in sequences:
+        part.append(sequence)
+        held += len(sequence)
+        if held >= PACK_WORDS:
+            counts += np.bincount(np.concatenate(part), minlength=size)
+            part, held = [], 0
+    return counts + np.bincount(np.concatenate(part), minlength=size) if part else counts
 
 
 def _blocks(
@@ -58,7 +65,9 @@ def _blocks(
     def close() -> tuple:
         first_seen = list(numbers)
         counts = occurrences(sequences, len(first_seen))
-        learned = occurrences([x for x, learn in zip(sequences, counted, strict=True) if learn], len(first_seen))
+        learned = counts
+        if not all(counted):
+            learned = occurrences([x for x, learn in zip(sequences, counted, strict=True) if learn], len(first_seen))
         # Words that are equally frequent keep the order in which they were first seen.
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -67,8 +76,9 @@ def _blocks(
         return seen.intdigest() - (1 << 63), words, learned[order], ids, [rank[x] for x in sequences]
 
     for batch in batches:
-        for i, text, *learn in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            counted.append(learn[0] if learn else True)
+        for i, text, *learn in zip(*batch.columns, strict=True):
+            i, text = i.as_py(), text.as_py()
+            counted.append(learn[0].as_py() if learn else True)
             words = split(text)
             ids.append(i)
             sequences.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words)))
