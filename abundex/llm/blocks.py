@@ -13,7 +13,7 @@ cut differently in between, the job stops with an error and never mixes blocks.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +48,8 @@ def occurrences(sequences: list[np.ndarray], size: int) -> np.ndarray:
 
 def _blocks(
     batches: Iterator[pa.RecordBatch], split: Callable[[str], list[str]], block_chars: int
-) -> Iterator[tuple[int, list[str], np.ndarray, list[int | None], list[np.ndarray]]]:
-    """(block id, words, their counts, document ids, sequences) from rows (id, text[, counted]).
+) -> Iterator[tuple[int, list[str], np.ndarray, list[int | None], list[np.ndarray], list[bool]]]:
+    """(block id, words, their counts, document ids, sequences, counted) from rows (id, text[, counted]).
 
     A text is turned into numbers as it comes; a block holds those and its distinct words.
     Words of texts that are not ``counted`` get a number, but no count.
@@ -73,7 +73,7 @@ def _blocks(
         rank = np.empty(len(order), np.uint32)
         rank[order] = np.arange(len(order), dtype=np.uint32)
         words = [first_seen[i] for i in order.tolist()]
-        return seen.intdigest() - (1 << 63), words, learned[order], ids, [rank[x] for x in sequences]
+        return seen.intdigest() - (1 << 63), words, learned[order], ids, [rank[x] for x in sequences], counted
 
     for batch in batches:
         for i, text, *learn in zip(*batch.columns, strict=True):
@@ -104,7 +104,7 @@ def block_words(
     kind = pa.int64() if word_type == "long" else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, words, counts, _, _ in _blocks(batches, split(), block_chars):
+        for block, words, counts, *_ in _blocks(batches, split(), block_chars):
             for start in range(0, len(words), 16_384):
                 part = words[start : start + 16_384]
                 yield pa.RecordBatch.from_arrays(
@@ -120,6 +120,40 @@ def block_words(
     return docs.mapInArrow(run, f"block long, number int, word {word_type}, n long")
 
 
+def _packed(
+    block: int, n_words: int, ids: list, sequences: Iterable[np.ndarray], kind: pa.DataType
+) -> Iterator[pa.RecordBatch]:
+    """(block, n_words, doc_ids, lengths, packed) rows of about ``PACK_WORDS`` numbers."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=3)
+
+    def pack(some_ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        numbers = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([block], pa.int64()),
+                pa.array([n_words], pa.int32()),
+                pa.array([some_ids], pa.list_(kind)),
+                pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
+                pa.array([squeeze.compress(planes.tobytes())], pa.binary()),
+            ],
+            names=["block", "n_words", "doc_ids", "lengths", "packed"],
+        )
+
+    some_ids, some, size = [], [], 0
+    for i, sequence in zip(ids, sequences, strict=True):
+        some_ids.append(i)
+        some.append(sequence)
+        size += len(sequence) + 1
+        if size >= PACK_WORDS:
+            yield pack(some_ids, some)
+            some_ids, some, size = [], [], 0
+    if some_ids:
+        yield pack(some_ids, some)
+
+
 def block_sequences(
     docs: DataFrame, split: Split, block_chars: int = BLOCK_CHARS, id_type: str = "long"
 ) -> DataFrame:
@@ -130,39 +164,82 @@ def block_sequences(
     kind = pa.string() if id_type == "string" else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        squeeze = zstandard.ZstdCompressor(level=3)
-
-        def pack(block: int, n_words: int, ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
-            numbers = np.concatenate(parts) if parts else np.empty(0, np.uint32)
-            planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4).T)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([block], pa.int64()),
-                    pa.array([n_words], pa.int32()),
-                    pa.array([ids], pa.list_(kind)),
-                    pa.array([[len(p) for p in parts]], pa.list_(pa.int32())),
-                    pa.array([squeeze.compress(planes.tobytes())], pa.binary()),
-                ],
-                names=["block", "n_words", "doc_ids", "lengths", "packed"],
-            )
-
-        for block, words, _, ids, sequences in _blocks(batches, split(), block_chars):
-            some_ids, some, size = [], [], 0
-            for i, sequence in zip(ids, sequences, strict=True):
-                some_ids.append(i)
-                some.append(sequence)
-                size += len(sequence) + 1
-                if size >= PACK_WORDS:
-                    yield pack(block, len(words), some_ids, some)
-                    some_ids, some, size = [], [], 0
-            if some_ids:
-                yield pack(block, len(words), some_ids, some)
+        for block, words, _, ids, sequences, _ in _blocks(batches, split(), block_chars):
+            yield from _packed(block, len(words), ids, sequences, kind)
 
     return docs.mapInArrow(run, f"block long, n_words int, doc_ids array<{id_type}>, lengths array<int>, packed binary")
 
 
+CONTEXT_BITS = 10
+_BOTH = {
+    "block": ("long", pa.int64()),
+    "number": ("int", pa.int32()),
+    "word": ("string", pa.string()),
+    "classes": ("array<smallint>", pa.list_(pa.int16())),
+    "counts": ("array<int>", pa.list_(pa.int32())),
+    "n_words": ("int", pa.int32()),
+    "doc_ids": ("array<long>", pa.list_(pa.int64())),
+    "lengths": ("array<int>", pa.list_(pa.int32())),
+    "packed": ("binary", pa.binary()),
+}
+
+
+def block_contexts(
+    docs: DataFrame, split: Split, context_of: Callable[[str], int], block_chars: int = BLOCK_CHARS
+) -> DataFrame:
+    """Words and sequences of each block from one pass over the texts (doc_id, text, counted).
+
+    ``context_of`` gives the class, below 2 ** ``CONTEXT_BITS``, that a word is to the word after it;
+    a text starts in class 0. A block has rows of two kinds, the columns of the other kind being
+    NULL: (block, number, word, classes, counts) for each distinct word, with the classes it follows
+    in ascending order and how often it does so in counted texts, and (block, n_words, doc_ids,
+    lengths, packed) for the texts. A text is a sequence of places in the block's list of all
+    (number, class) in order, so what is found for a word's classes needs no look-up.
+    """
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [
+            batch.column(name) if name in batch.schema.names else pa.nulls(batch.num_rows, kind)
+            for name, (_, kind) in _BOTH.items()
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=list(_BOTH))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, words, _, ids, sequences, counted in _blocks(batches, split(), block_chars):
+            of_word = np.fromiter(map(context_of, words), np.int64, len(words))
+            keys = []
+            for sequence in sequences:
+                key = sequence.astype(np.int64) << CONTEXT_BITS
+                key[1:] |= of_word[sequence[:-1]]
+                keys.append(key)
+            pairs = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+            places = [np.searchsorted(pairs, key).astype(np.uint32) for key in keys]
+            del keys, sequences
+            counts = occurrences([x for x, learn in zip(places, counted, strict=True) if learn], len(pairs))
+            starts = np.searchsorted(pairs >> CONTEXT_BITS, np.arange(len(words) + 1)).astype(np.int32)
+            classes = (pairs & ((1 << CONTEXT_BITS) - 1)).astype(np.int16)
+            for start in range(0, len(words), 16_384):
+                stop = min(start + 16_384, len(words))
+                low, high = starts[start], starts[stop]
+                offsets = pa.array(starts[start : stop + 1] - low)
+                yield whole(
+                    pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(stop - start, block, np.int64)),
+                            pa.array(np.arange(start, stop, dtype=np.int32)),
+                            pa.array(words[start:stop], pa.string()),
+                            pa.ListArray.from_arrays(offsets, pa.array(classes[low:high])),
+                            pa.ListArray.from_arrays(offsets, pa.array(counts[low:high].astype(np.int32))),
+                        ],
+                        names=["block", "number", "word", "classes", "counts"],
+                    )
+                )
+            for batch in _packed(block, len(words), ids, places, pa.int64()):
+                yield whole(batch)
+
+    return docs.mapInArrow(run, ", ".join(f"{name} {kind}" for name, (kind, _) in _BOTH.items()))
+
+
 def unpack(packed: bytes) -> np.ndarray:
     import zstandard
 

@@ -154,24 +154,49 @@ def test_scores_by_brute_force(spark):
             excluded |= set(table)
         return cost - math.log10(256 - len(excluded))
 
-    def token_cost(word):
+    def discount(counts):
+        once, twice = (sum(c == n for c in counts) for n in (1, 2))
+        return (once + 1) / (once + 2 * twice + 2)
+
+    follows = defaultdict(Counter)
+    for x, h in zip(tokens, held, strict=True):
+        for before, word in zip([None, *x], x):  # noqa: B905
+            if not h:
+                follows[ppm.context_class(before) if before else 0][word] += 1
+    less, pair_less = discount(seen.values()), discount([c for x in follows.values() for c in x.values()])
+
+    def single(word):
         if seen[word]:
-            return math.log10((2 * seen[word] - 1) / (2 * total))
-        return math.log10(kinds / (2 * total)) + sum(byte_cost(*p) for p in places(word))
+            return math.log10((seen[word] - less) / total)
+        return math.log10(kinds * less / total) + sum(byte_cost(*p) for p in places(word))
+
+    def token_cost(before, word):
+        after = follows.get(ppm.context_class(before) if before else 0)
+        if after is None:
+            return single(word)
+        n = sum(after.values())
+        if word in after:
+            return math.log10((after[word] - pair_less) / n)
+        rest = 1 - sum((seen[w] - less) / total for w in after)
+        return math.log10(len(after) * pair_less / n) + single(word) - math.log10(rest)
 
     want = []
     for (i, *_), words in zip(rows, tokens, strict=True):
-        pairs, score = defaultdict(Counter), 0.0
+        shown, score = Counter(), 0.0
         for k, word in enumerate(words):
-            table = pairs[words[k - 2], words[k - 1]] if k >= 2 and word != "\n" else Counter()
-            n = sum(table.values())
-            if n and word in table:
-                score += math.log10((2 * table[word] - 1) / (2 * n))
-            else:
-                score += token_cost(word) + (math.log10(len(table) / (2 * n)) if n else 0.0)
-            table[word] += 1
+            cost = token_cost(words[k - 1] if k else None, word)
+            if k:
+                escape = (sum(c == 1 for c in shown.values()) + 0.5) / (k + 1)
+                cost += math.log10(escape)
+                if shown[word]:
+                    cost = math.log10((1 - escape) * shown[word] / k + 10**cost)
+            score += cost
+            shown[word] += 1
         base = sum(math.log10((seen[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in words)
         want.append((i, len(words), sum(seen[w] > 0 for w in words), total, base, score))
+    in_blocks = sorted(map(tuple, ppm.score(docs, ~queries.held_out(10, 0), block_chars=2_000).collect()), key=str)
+    for mine, parts in zip(got, in_blocks, strict=True):
+        assert mine[:4] == parts[:4] and mine[4:] == pytest.approx(parts[4:], rel=1e-9)
     for mine, theirs in zip(got, sorted(want, key=str), strict=True):
         assert mine[:4] == theirs[:4]
         assert mine[4:] == pytest.approx(theirs[4:], rel=1e-9)
@@ -180,7 +205,18 @@ def test_scores_by_brute_force(spark):
 
 def test_scores_without_training_rows(spark):
     got = ppm.score(corpus.frame(spark, [(1, "ab", None, None, 0), (2, None, None, None, 0)]), F.lit(False)).collect()
-    assert {r["doc_id"]: round(r["score"] / math.log10(1 / 256), 6) for r in got} == {1: 4, 2: 1}
+    byte, escape = math.log10(1 / 256), math.log10(0.75)
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx({1: 4 * byte + escape, 2: byte})
+
+
+def test_probabilities_of_different_texts_add_up_to_less_than_one(spark):
+    """One beginning alone, and followed by each token that training texts have and one that they lack."""
+    rows = [(i, corpus.prose(i, 30), None, None, 0) for i in range(5)]
+    kinds = sorted({w for _, t, *_ in rows for w in corpus.WORD.findall(t.lower())})
+    start = " ".join(kinds[:3] + kinds[:1])
+    asked = [(100 + k, f"{start} {w}", None, None, 0) for k, w in enumerate([*kinds, "notseen"])] + [(99, start, None, None, 0)]
+    got = {r["doc_id"]: r["score"] for r in ppm.score(corpus.frame(spark, rows + asked), F.col("doc_id") < 99).collect()}
+    assert sum(10 ** got[100 + k] for k in range(len(asked) - 1)) + 10 ** got[99] < 1
 
 
 def test_licences_in_prose(spark):
