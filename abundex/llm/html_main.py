@@ -1,17 +1,20 @@
 """Main text of web pages as the best-scoring contiguous region.
 
 A page is read once into text nodes and tags. Words score by where they stand, tags cost; a
-linear scan finds the contiguous region with the highest sum. The weights are log odds counted
-on pages that label their own content with an ``article`` or ``main`` element: how often words
-in a context, and tags of a name, are inside and outside of it. Counting uses a sample of about
-``LABELLED_PAGES`` pages, chosen by a hash of the page.
+linear scan finds the contiguous region with the highest sum; of equal ones that which ends
+first, and of those that which starts last. The weights are log odds counted on pages that label
+their own content with an ``article`` or ``main`` element: how often words in a context, and tags
+of a name, are inside and outside of it. A weight that few pages support is drawn to its default.
+Counting uses a sample of about ``LABELLED_PAGES`` pages, chosen by a hash of the row. The labels
+are used for nothing else: every page is cut by its scores.
 
 Elements that are never part of an article (navigation, forms, scripts, adverts, notices,
 reader comments and the like, by element or by the words of class, id and role) cost by the word
 and are left out of the text wherever they stand.
 
 Defined results: a null or empty page has an empty text; markup that is not closed ends with its
-parent; repeated pages are extracted each; null ids and urls pass through; other columns do not
+parent; a "<" that no tag follows, or whose tag never ends, is text; the time of a page is in
+proportion to its length, broken or not; repeated pages are extracted each; null ids and urls pass through; other columns do not
 matter; an empty table gives an empty result.
 """
 
@@ -20,7 +23,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +32,11 @@ from pyspark.sql import functions as F
 from abundex.llm.common import map_rows
 
 LABELLED_PAGES = 5_000
+PRIOR_PAGES = 10
+WORD_SCORE, TAG_SCORE = 1.0, -0.5
 
-_ITEM = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _MARK = re.compile(r"(?:^|\s)(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(\S+)))?", re.I)
 _PART = re.compile(r"[a-z]+|[0-9]+")
 _WHITE = re.compile(r"\s+")
@@ -44,6 +51,11 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 CONTENT = frozenset(("article", "main"))
+# With the sets above, the element names that have weights of their own; all others share one.
+BLOCKS = frozenset(
+    "html body header section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th pre "
+    "blockquote figure figcaption address details summary center hgroup picture ruby rt rp iframe article main".split()
+)
 # Elements that words of their class cannot exclude.
 WHOLE = CONTENT | {"html", "body"}
 EXCLUDED = frozenset(
@@ -81,57 +93,123 @@ def _excluded(tag: str, attributes: str, in_content: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Finds the items of a page, in time in proportion to its length.
+
+    Where an attribute's quote or a tag never ends, every place on the way is remembered, so that no
+    later tag goes the same way to the end again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last, self.endless = page, page.rfind(">"), set()
+        self.clear = range(0)
+
+    def stop(self, at: int) -> int:
+        """Place of the next ">" or quote; there is one up to the last ">"."""
+        if at not in self.clear:
+            self.clear = range(at, _STOP.search(self.page, at).start() + 1)
+        return self.clear[-1]
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ">" that ends a tag whose name ends at ``at``, or -1."""
+        page, way = self.page, []
+        while at <= self.last:
+            at = self.stop(at)
+            if at in self.endless:
+                break
+            if page[at] == ">":
+                return at
+            way.append(at)
+            close = page.find(page[at], at + 1)
+            if close < 0:
+                break
+            at = close + 1
+        self.endless.update(way)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next item; comments and declarations have no name."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(page), "", "", ""
+            if start > self.last:
+                # No tag ends any more; a comment may still begin.
+                at = page.find("<!--", start)
+                if at < 0:
+                    return None
+                continue
+            if page[start + 1] in "!?":
+                return start, page.find(">", start) + 1, "", "", ""
+            name = _NAME.match(page, start)
+            end = self.tag_end(name.end()) if name else -1
+            if end >= 0:
+                return start, end + 1, name[1], name[2], page[name.end() : end]
+            at = start + 1
+        return None
+
+
 def nodes(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
     """(kind, name or text, excluded, inside a labelled content element, in a link) in page order.
 
     ``kind`` is "text" or "tag"; a text's name is the nearest block element around it.
     """
     stack: list[tuple[str, bool, bool]] = []  # element, excluded, content
-    at, size = 0, len(page)
+    opened: Counter[str] = Counter()
+    tags, at, size = _Tags(page), 0, len(page)
+
+    def cut(depth: int) -> None:
+        opened.subtract(element for element, *_ in stack[depth:])
+        del stack[depth:]
 
     def state() -> tuple[bool, bool, bool]:
         excluded, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         return excluded, content, any(e[0] == "a" for e in stack[-4:])
 
     while at < size:
-        found = _ITEM.search(page, at)
-        end = found.start() if found else size
+        found = tags.next(at)
+        end = found[0] if found else size
         if end > at:
             yield ("text", page[at:end], *state())
         if not found:
             return
-        at, tag = found.end(), (found[2] or "").lower()
+        _, at, slash, tag, attributes = found
+        tag = tag.lower()
         if not tag:
             continue
-        if found[1]:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+        if slash:
+            if opened[tag] > 0:
+                cut(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == tag))
             yield ("tag", tag, *state())
             continue
         excluded, content, _ = state()
-        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack:
+        if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and opened[tag] > 0:
             # These end at the next one of their kind, where nothing but inline elements is open.
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if stack[depth][0] not in INLINE:
                     break
             excluded, content, _ = state()
-        excluded = excluded or _excluded(tag, found[3], content)
-        content = content or tag in CONTENT or "articlebody" in found[3].lower()
+        excluded = excluded or _excluded(tag, attributes, content)
+        content = content or tag in CONTENT or "articlebody" in attributes.lower()
         if tag in RAW:
             closing = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at)
             at = closing.end() if closing else size
             yield ("tag", tag, excluded, content, False)
             continue
-        if tag not in VOID and not found[3].endswith("/"):
+        if tag not in VOID and not attributes.endswith("/"):
             stack.append((tag, excluded, content))
+            opened[tag] += 1
         yield ("tag", tag, excluded, content, False)
 
 
+def _known(name: str) -> str:
+    return name if name in BLOCKS or name in INLINE or name in NEVER or name in VOID else "other"
+
+
 def _features(page: str) -> Iterator[tuple[str, str, int, bool]]:
     """(feature, raw text, words, inside content) of each node; a tag has no words."""
     block = "body"
@@ -139,22 +217,21 @@ def _features(page: str) -> Iterator[tuple[str, str, int, bool]]:
         if kind == "tag":
             if name not in INLINE:
                 block = name
-            yield f"tag:{name}", name, 0, content
+            yield f"tag:{_known(name)}", name, 0, content
         else:
             n = len(name.split())
-            where = "excluded" if excluded else "link" if linked else block
+            where = "excluded" if excluded else "link" if linked else _known(block)
             yield f"word:{where}", name, n, content
 
 
 def weights(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) -> dict[str, float]:
     """Score of a word by context and of a tag by name.
 
-    Counts are summed by Spark; the table has a row per element name at most, names that occur on
-    fewer than ten pages being left to the default.
+    Counts are summed by Spark; the table has at most two rows per name that has a weight of its own.
     """
     total = pages.count()
     share = min(1.0, labelled_pages / max(total, 1))
-    chosen = F.pmod(F.xxhash64("html"), F.lit(1 << 20)) < int(share * (1 << 20))
+    chosen = F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(1 << 20)) < int(share * (1 << 20))
     sample = pages.filter(chosen & F.lower("html").rlike("<(article|main)[\\s>]")).select("html")
 
     def make():
@@ -170,42 +247,43 @@ def weights(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) -> dict[str,
         map_rows(sample, make, "feature string, inside long, outside long")
         .groupBy("feature")
         .agg(F.count("*").alias("pages"), F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
-        .filter("pages >= 10")
         .collect()
     )
     found: dict[str, float] = {}
     for row in counts:
         odds = math.log((row["inside"] + 1) / (row["outside"] + 1))
         if row["feature"].startswith("word:"):
-            found[row["feature"]] = max(-3.0, min(3.0, odds))
+            weight, default = max(-3.0, min(3.0, odds)), WORD_SCORE
         else:
             # A tag always costs: little where it is part of the content, much where it is not.
-            found[row["feature"]] = -min(8.0, math.log1p(math.exp(-odds)) + 0.1)
+            weight, default = -min(8.0, math.log1p(math.exp(-odds)) + 0.1), TAG_SCORE
+        found[row["feature"]] = (row["pages"] * weight + PRIOR_PAGES * default) / (row["pages"] + PRIOR_PAGES)
     found["word:excluded"] = -1.0
     return found
 
 
+def best_region(scores: Iterable[float]) -> tuple[int, int]:
+    """(start, stop) of the contiguous run with the highest sum above zero; (0, 0) if there is none."""
+    best, region, total, start = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        if total <= 0:
+            total, start = 0.0, i
+        total += score
+        if total > best:
+            best, region = total, (start, i + 1)
+    return region
+
+
 def extract(page: str | None, scores: dict[str, float]) -> str:
     """The text of the best region, block by block."""
     if not page:
         return ""
     items = list(_features(page))
-    declared = any(inside and n for f, _, n, inside in items if f != "word:excluded")
-    best, best_range, total, start = 0.0, (0, 0), 0.0, 0
-    for i, (feature, _, n, inside) in enumerate(items):
-        if n:
-            score = n * (scores.get(feature, 1.0) if inside or not declared else -1.0)
-            score = max(score, n * 0.5) if inside and feature != "word:excluded" else score
-        elif feature.startswith("tag:"):
-            score = scores.get(feature, -0.5)
-        else:
-            score = 0.0
-        if total <= 0:
-            total, start = 0.0, i
-        total += score
-        if total > best:
-            best, best_range = total, (start, i + 1)
-    return _text(items[best_range[0] : best_range[1]])
+    start, stop = best_region(
+        scores.get(feature, TAG_SCORE) if feature.startswith("tag:") else n * scores.get(feature, WORD_SCORE)
+        for feature, _, n, _ in items
+    )
+    return _text(items[start:stop])
 
 
 def _text(items: list[tuple[str, str, int, bool]]) -> str:

@@ -264,3 +264,44 @@ def test_pages_without_content_elements_use_the_learned_weights(spark):
     text = html_main.extract(page, html_main.weights(labelled))
     assert "First paragraph of the text. Second one goes on." in text
     assert not any(x in text for x in ("Home", "cookies", "Buy now", "Nice post", "Related", "©"))
+
+
+def test_best_region_by_brute_force():
+    import random
+
+    draw = random.Random(5)
+    for size in [0, 1, 2, *[draw.randrange(3, 25) for _ in range(300)]]:
+        scores = [draw.randrange(-3, 4) for _ in range(size)]
+        regions = [(-sum(scores[a:b]), b, -a) for b in range(1, size + 1) for a in range(b) if sum(scores[a:b]) > 0]
+        _, stop, start = min(regions, default=(0, 0, 0))
+        assert html_main.best_region(scores) == (-start, stop)
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", '<p title="x ', "<! ", "<!-- ", "<p title='a\" ", "<div>", "</p>", "<b><p>", "<", "a<b ", '<a b="'],
+)
+def test_broken_pages_take_time_in_proportion(piece):
+    import time
+
+    page = "<main><p>first words here</p>" + piece * ((1 << 20) // len(piece))
+    for end in ("", ">", "'>", '">'):
+        start = time.process_time()
+        html_main.extract(page + end, {})
+        assert time.process_time() - start < 6
+
+
+def test_what_is_no_tag_is_text():
+    assert html_main.extract("<p>if a < b and <3 then c<d", {}) == "if a < b and <3 then c<d"
+    assert html_main.extract('<p>x <a title="> y', {}) == 'x <a title="> y'
+    assert html_main.extract("<p>x <!-- y", {}) == "x"
+    assert html_main.extract("<p>x <?php y ?>z", {}) == "x z"
+
+
+def test_weights_of_a_page_do_not_jump_with_the_number_of_pages(spark):
+    def found(n):
+        pages = spark.createDataFrame([(i, "u", PAGE) for i in range(n)], "page_id long, url string, html string")
+        return html_main.weights(pages)
+
+    nine, ten = found(9), found(10)
+    assert nine.keys() == ten.keys()
+    assert all(abs(nine[k] - ten[k]) < 0.3 for k in nine)
