@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 BLOCK_CHARS = 32 << 20
 PACK_WORDS = 1 << 18
 
-Split = Callable[[], Callable[[str], list[str]]]
+# Words may also come as UTF-8.
+Split = Callable[[], Callable[[str], list[str] | list[bytes]]]
 
 
 class _Numbers(dict):
@@ -185,7 +186,7 @@ _BOTH = {
 
 
 def block_contexts(
-    docs: DataFrame, split: Split, context_of: Callable[[str], int], block_chars: int = BLOCK_CHARS
+    docs: DataFrame, split: Split, context_of: Callable[[str | bytes], int], block_chars: int = BLOCK_CHARS
 ) -> DataFrame:
     """Words and sequences of each block from one pass over the texts (doc_id, text, counted).
 

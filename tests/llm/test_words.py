@@ -162,7 +162,7 @@ def test_scores_by_brute_force(spark):
     for x, h in zip(tokens, held, strict=True):
         for before, word in zip([None, *x], x):  # noqa: B905
             if not h:
-                follows[ppm.context_class(before) if before else 0][word] += 1
+                follows[ppm.context_class(before.encode()) if before else 0][word] += 1
     less, pair_less = discount(seen.values()), discount([c for x in follows.values() for c in x.values()])
 
     def single(word):
@@ -171,7 +171,7 @@ def test_scores_by_brute_force(spark):
         return math.log10(kinds * less / total) + sum(byte_cost(*p) for p in places(word))
 
     def token_cost(before, word):
-        after = follows.get(ppm.context_class(before) if before else 0)
+        after = follows.get(ppm.context_class(before.encode()) if before else 0)
         if after is None:
             return single(word)
         n = sum(after.values())
