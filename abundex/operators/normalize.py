@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from abundex.functions.expressions import bisect, join_groups
-from abundex.functions.ordered import hash_order, hash_slice
-from abundex.functions.quantiles import median_of_counts
+from abundex.functions.ordered import hash_order, hash_slice, running_sum
 
 FEATURES_PER_SLICE = 100_000
 
@@ -122,34 +121,41 @@ def rarefy(
     )
 
 
+def count_slice(count: Column, bits: int = 10) -> Column:
+    """Slices of positive counts that follow their order: a count up to ``2 ** (bits + 1)`` has its own,
+    a larger one shares its binary exponent and next ``bits`` binary digits.
+
+    There are at most ``64 << bits`` slices. A specimen of ``t`` reads has at most about
+    ``sqrt(t / 2 ** bits)`` different counts in one of them, as each count costs that many reads.
+    """
+    shift = F.greatest(F.length(F.bin(count)) - F.lit(bits + 1), F.lit(0))
+    return F.call_function("shiftright", count, shift) + shift.cast("long") * F.lit(1 << bits)
+
+
 def css_normalize(
     counts: DataFrame, p: float = 0.5, sl: float = 1000.0, min_features: int = 1
 ) -> DataFrame:
     """Divide each count by its specimen's sum of counts up to the ``p`` quantile, times ``sl``.
 
-    Quantile and sum come from how often each count occurs, which is a short list
-    even for a specimen with many features. Specimens with fewer than
-    ``min_features`` features drop.
+    A quantile between two ranks lies below the higher one, so the sum runs up to the count of
+    rank ``floor((features - 1) * p)``, its ties included. Ranks come from running totals of how
+    often each count occurs, cut into slices of counts; no task holds a specimen's list of counts.
+    Specimens with fewer than ``min_features`` features drop.
     """
+    key = ["specimen_id2"]
     filled = counts.filter((F.col("read_count") > 0) & F.col("specimen_id2").isNotNull())
-    occurs = filled.groupBy("specimen_id2", "read_count").agg(F.count(F.lit(1)).alias("_freq"))
-    upto = F.filter("_occurs", lambda o: o["read_count"] <= F.col("_limit"))
-    scale = F.aggregate(
-        upto,
-        F.lit(0).cast("long"),
-        lambda done, o: done + o["read_count"] * o["_freq"],
-    )
+    occurs = filled.groupBy(*key, "read_count").agg(F.count(F.lit(1)).alias("_freq"))
+    features = occurs.groupBy(*key).agg(F.sum("_freq").alias("_features")).filter(F.col("_features") >= min_features)
+    sliced = occurs.withColumn("_slice", count_slice(F.col("read_count")))
+    ranked = running_sum(sliced, key, "_slice", ["read_count"], F.col("_freq"), "_upto")
+    rank = F.floor((F.col("_features") - 1) * F.lit(float(p)))
     scales = (
-        occurs.groupBy("specimen_id2")
-        .agg(
-            median_of_counts("read_count", "_freq", p).alias("_limit"),
-            F.collect_list(F.struct("read_count", "_freq")).alias("_occurs"),
-            F.sum("_freq").alias("_features"),
-        )
-        .filter(F.col("_features") >= min_features)
-        .select("specimen_id2", scale.alias("_scale"))
+        join_groups(ranked, features, key)
+        .filter(F.col("_upto") - F.col("_freq") <= rank)
+        .groupBy(*key)
+        .agg(F.sum(F.col("read_count") * F.col("_freq")).alias("_scale"))
     )
-    return join_groups(filled, scales, ["specimen_id2"]).select(
+    return join_groups(filled, scales, key).select(
         "specimen_id2",
         "otu_id",
         (F.col("read_count") / F.col("_scale") * F.lit(float(sl))).alias("norm_count"),

@@ -265,3 +265,39 @@ def test_rollout_goes_block_by_block(spark):
             found = posterior.pp_rollout(draws, specimens, fn, python=python, block=block)
             rows = rows_of(found.select("draw", "specimen_id2", "pred_prob"), "draw", "specimen_id2")
             assert rows == expected
+
+
+@pytest.mark.parametrize("p", [0.0, 0.37, 0.5, 0.95, 1.0])
+def test_scaling_by_ranks_in_slices_of_counts(spark, p):
+    """Counts of every size, most in one specimen, against a quantile over all of them."""
+    random = np.random.default_rng(3)
+    counts = {
+        "hot": (2.0 ** random.uniform(0, 40, 3000)).astype(np.int64),
+        "ties": random.integers(1, 4, 400),
+        "two": np.array([1, 1 << 52]),
+        "one": np.array([7]),
+    }
+    table = [(s, f"o{i}", int(n)) for s, many in counts.items() for i, n in enumerate(many)]
+    df = spark.createDataFrame(
+        [*table, ("none", "o", 0), (None, "o", 5)], "specimen_id2 string, otu_id string, read_count long"
+    )
+    found = {(r[0], r[1]): r[2] for r in normalize.css_normalize(df, p, 10.0, min_features=2).collect()}
+    want = {}
+    for s, many in counts.items():
+        scale = int(many[many <= np.sort(many)[int((len(many) - 1) * p)]].sum())
+        want |= {(s, f"o{i}"): n / scale * 10.0 for i, n in enumerate(many) if s != "one"}
+    assert found.keys() == want.keys()
+    assert all(found[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+
+
+def test_slices_of_counts_follow_their_order(spark):
+    counts = [*range(1, 5000), *(int(2**k) + d for k in range(13, 62) for d in (-1, 0, 1)), 2**63 - 1]
+    df = spark.createDataFrame([(n,) for n in counts], "n long")
+    slices = [r[1] for r in df.withColumn("s", normalize.count_slice(F.col("n"))).orderBy("n").collect()]
+    assert slices == sorted(slices) and slices[:2047] == list(range(1, 2048)) and slices[-1] < 64 << 10
+
+
+def test_scaling_holds_no_list_of_counts(spark):
+    df = spark.createDataFrame([], "specimen_id2 string, otu_id string, read_count long")
+    plan = normalize.css_normalize(df)._jdf.queryExecution().toString().lower()
+    assert "collect_list" not in plan and "percentile" not in plan
