@@ -235,6 +235,53 @@ def test_licences_in_prose(spark):
     assert licences.scan(corpus.odd(spark)).count() == 0 and licences.scan(corpus.empty(spark)).count() == 0
 
 
+def _found(text):
+    scanner = licences.Scanner(licences.TEMPLATES, licences.MIN_COVERAGE)
+    return [(name, round(coverage, 2)) for name, coverage, *_ in scanner.scan(text)]
+
+
+def test_every_template_is_its_own_licence():
+    for name, texts in licences.TEMPLATES.items():
+        for text in texts:
+            assert (name, 1.0) in _found(corpus.prose(1, 40) + "\n" + text + "\n" + corpus.prose(2, 40)), text
+            assert {found for found, _ in _found(text)} == {name}, text
+
+
+def test_longer_names_are_other_licences():
+    gpl, agpl = licences.TEMPLATES["GPL-3.0"][1], licences.TEMPLATES["AGPL-3.0"][1]
+    assert _found(agpl) == [("AGPL-3.0", 1.0)] and _found(gpl) == [("GPL-3.0", 1.0)]
+    assert _found(licences.TEMPLATES["LGPL-2.1"][0]) == [("LGPL-2.1", 1.0)]
+    assert _found(licences.TEMPLATES["BSD-3-Clause"][0]) == [("BSD-3-Clause", 1.0)]
+    assert _found(licences.TEMPLATES["BSD-2-Clause"][0]) == [("BSD-2-Clause", 1.0)]
+    ((name, coverage, purity, *_),) = licences.Scanner({"GPL-3.0": (gpl,)}, 0.8).scan(agpl)
+    assert name == "GPL-3.0" and coverage == 1.0 and purity < 1.0
+
+
+def test_whole_licences_and_their_parts():
+    whole = licences.TEMPLATES["MIT"][-1]
+    text = corpus.prose(7, 60) + "\n" + whole + "\n" + corpus.prose(8, 60)
+    scanner = licences.Scanner(licences.TEMPLATES, 0.8)
+    ((name, coverage, purity, start, end),) = scanner.scan(text)
+    assert (name, coverage, purity) == ("MIT", 1.0, 1.0) and whole.startswith(text[start : end - 1])
+    assert _found(whole[len(whole) // 2 :]) and {n for n, _ in _found(whole[len(whole) // 2 :])} == {"MIT"}
+
+
+def test_a_licence_with_other_words_inside():
+    notice = licences.TEMPLATES["GPL-3.0"][1].split()
+    inserted = " ".join(notice[:20]) + " " + " ".join(f"zz{i}" for i in range(40)) + " " + " ".join(notice[20:])
+    ((name, coverage, purity, *_),) = licences.Scanner(licences.TEMPLATES, 0.8).scan(inserted)
+    assert name == "GPL-3.0" and coverage == 1.0 and 0.5 < purity < 0.6
+
+
+def test_a_text_of_many_notices_takes_time_in_proportion():
+    import time
+
+    line = "Licensed under the MIT License. " + corpus.prose(9, 12) + "\n"
+    started = time.monotonic()
+    assert len(_found(line * 10_000)) == 10_000
+    assert time.monotonic() - started < 30
+
+
 def test_patience_alignment_keeps_order():
     pairs = licences.align("x a b c y d e z".split(), "a b q c d e".split())
     assert pairs == [(1, 0), (2, 1), (3, 3), (5, 4), (6, 5)]
