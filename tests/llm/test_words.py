@@ -83,6 +83,15 @@ def test_languages_of_held_out_documents(spark):
     assert language.predict(corpus.odd(spark), model).count() == len(corpus.ODD)
 
 
+def test_a_text_that_most_rows_hold_is_fitted_on_few_of_them(spark, monkeypatch):
+    text = corpus.prose(1, 30)
+    rows = [(i, text, "x", "s", 0) for i in range(2000)] + [(9_999, text, "x", "s", 0)] * 500
+    seen = []
+    monkeypatch.setattr(language, "_calibrate", lambda model, found: seen.extend(found))
+    language.train(corpus.frame(spark, rows), calibration_docs=250)
+    assert 100 < len(seen) < 300
+
+
 def test_no_labels_means_no_language(spark):
     docs = corpus.frame(spark, [(1, "some text", None, None, 0)])
     model = language.train(docs)
