@@ -99,3 +99,37 @@ def test_long_parameter_names_stay_apart():
     import inspect
 
     assert "1_000" not in inspect.getsource(model)
+
+
+def test_specimens_of_one_code_are_dealt_in_chunks(spark):
+    """Many specimens read few codes: chunks change nothing, and draws are not copied per subject."""
+    from abundex.operators.drawblocks import draw_blocks, exploded, spread_blocks
+
+    draws = spark.createDataFrame(
+        [(d, n, d + 0.5) for d in range(6) for n in ("a", "b_lag", "sigma", "a_subj[1]", "a_subj[2]", "b_abx2[1,1,1]")],
+        "draw long, parameter string, value double",
+    )
+    obs = spark.createDataFrame([(s, s % 2 + 1, 0.1 * s) for s in range(90)], "specimens int, i int, D1_lag double")
+    design = spark.createDataFrame([(s, s % 2 + 1, 1, 1) for s in range(0, 90, 4)], "specimens int, i int, j int, k int")
+    blocks = draw_blocks(draws, 4)
+    effects = spread_blocks(blocks, "b_abx2[i,j,k]")
+    found = []
+    for chunk in (7, 1_000):
+        pieces = model.in_chunks(obs, chunk).groupBy("i").agg(F.countDistinct("_chunk").alias("n")).collect()
+        assert all((r["n"] > 1) == (chunk == 7) for r in pieces)
+        mu = model.predictor_blocks(obs, design, effects, blocks, model.VARIANTS["3.5"], chunk=chunk)
+        found.append(sorted(map(tuple, exploded(mu, ["specimens"], ["mu"]).collect())))
+    assert found[0] == found[1] and len(found[0]) == 90 * 6
+
+
+def test_draws_are_not_copied_for_every_subject(spark):
+    """Subjects meet the codes of the draws; blocks hold the 62 parameters, however many subjects there are."""
+    from catalog import roles
+    from tests.oracle import DATA
+
+    small = f"{DATA}/sf0.001"
+    assert roles.blocks(spark, small).select("parameter").distinct().count() == 62
+    subjects = spark.createDataFrame([(f"s{n}", n) for n in range(1, 10)], "subjects string, idx long")
+    assert [tuple(r) for r in roles.fitted_codes(subjects).orderBy("subjects").collect()] == [
+        (f"s{n}", (n - 1) % 4 + 1) for n in range(1, 10)
+    ]
