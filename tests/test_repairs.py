@@ -133,3 +133,26 @@ def test_draws_are_not_copied_for_every_subject(spark):
     assert [tuple(r) for r in roles.fitted_codes(subjects).orderBy("subjects").collect()] == [
         (f"s{n}", (n - 1) % 4 + 1) for n in range(1, 10)
     ]
+
+
+@pytest.mark.parametrize("replace", [True, False])
+def test_usual_draws_give_what_all_draws_give(spark, replace):
+    """Places of each draw as a row, and different ones in the order they are first drawn."""
+    depth, totals = 50, {"a": 50, "b": 51, "c": 99, "d": 100, "e": 101, "f": 150, "g": 5_000, "h": 1 << 40}
+    counts = spark.createDataFrame(
+        [(s, f"o{n}", t // 10 + (t % 10 if n == 0 else 0)) for s, t in totals.items() for n in range(10)],
+        "specimen_id2 string, otu_id string, read_count long",
+    )
+    got = normalize.rarefy(counts, depth, replace=replace).collect()
+    assert {s: sum(r["read_count"] for r in got if r["specimen_id2"] == s) for s in totals} == dict.fromkeys(totals, depth)
+    rows = spark.createDataFrame([(s, t, d) for s, t in totals.items() for d in range(4 * depth + 64)], "s string, t long, d int")
+    single = rows.groupBy("s").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("d", normalize.read_position(F.col("s"), F.col("d"), F.col("t"), 1988).alias("p")))),
+            lambda x: x["p"],
+        ).alias("one")
+    )
+    both = spark.createDataFrame(list(totals.items()), "s string, t long").join(single, "s").select(
+        "one", normalize.read_positions(F.col("s"), F.lit(4 * depth + 64), F.col("t"), 1988).alias("all")
+    )
+    assert all(r["one"] == r["all"] for r in both.collect())
