@@ -101,6 +101,32 @@ def test_long_parameter_names_stay_apart():
     assert "1_000" not in inspect.getsource(model)
 
 
+def test_a_day_without_reads_is_nan_and_no_error(spark, tmp_path):
+    """Events of value 0 alone make a specimen without reads: its share is 0 / 0, and so is what follows from it."""
+    import math
+
+    import __spark_entry__ as entry
+    from tests.oracle import database, differences
+
+    at = lambda day: datetime.datetime(2024, 1, day, 12)
+    values = {1: {1: 2.0, 2: 0.0, 3: 4.0, 4: 1.0}, 2: {1: 0.0, 2: 3.0, 3: 5.0}}
+    events = [(u * 10 + d, at(d), u, "click", v, '{"k": 10}') for u, days in values.items() for d, v in days.items()]
+    spark.createDataFrame(
+        events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ).write.parquet(str(tmp_path / "events.parquet/"))
+    vectors = spark.range(150).select(
+        F.col("id").alias("vec_id"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda p: F.sin(p + F.col("id")).cast("float")).alias("embedding")
+    )
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = database(str(tmp_path / "none"))
+    for name in ("events", "embeddings"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    for name in ("B5_pp_rollout", "H1_python_link"):
+        assert differences(spark, con, entry.queries()[name], entry.oracle_sql()[name], str(tmp_path)) == []
+        shares = {r["specimen_id2"]: r["emp_prob"] for r in entry.queries()[name](spark, str(tmp_path)).collect()}
+        assert math.isnan(shares[101]) and not math.isnan(shares[102])
+
+
 def test_specimens_of_one_code_are_dealt_in_chunks(spark):
     """Many specimens read few codes: chunks change nothing, and draws are not copied per subject."""
     from abundex.operators.drawblocks import draw_blocks, exploded, spread_blocks
