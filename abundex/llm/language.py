@@ -7,7 +7,7 @@ discounts estimated from counts of one and two. What a model says about an n-gra
 sorted arrays of 64-bit hashes that are searched by bisection.
 
 A text's cross-entropy per character is taken under every language; the lowest one is the
-prediction. Its score is the posterior over languages at a temperature fitted on labelled
+prediction. Its score is the posterior over languages at a temperature fitted on all labelled
 documents, and a prediction is rejected if the score, or the cross-entropy against that of the
 language's own documents, falls outside of what 99% of them have. Rejection is a column of its
 own.
@@ -32,12 +32,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from abundex.functions.quantiles import group_quantiles
 from abundex.llm.common import as_batch, map_rows, written
 
 ORDER = 4
 EDGE = "\x02"
 CACHE_WORDS = 1 << 19
-CALIBRATION_DOCS = 20_000
+TEMPERATURES = tuple(2.0**k for k in range(-3, 7))
 UNKNOWN = "und"
 
 
@@ -268,50 +269,69 @@ def _posterior(cross: np.ndarray, length: np.ndarray, temperature: float) -> np.
     return p / p.sum(axis=1, keepdims=True)
 
 
-def train(docs: DataFrame, calibration_docs: int = CALIBRATION_DOCS) -> Model:
+def train(docs: DataFrame, calibration_docs: int | None = None) -> Model:
     """Models of all languages in ``lang``, counted on every labelled row of ``docs``.
 
-    Temperature and limits are fitted on at most about ``calibration_docs`` rows, chosen by a hash of
-    id and text, so that a text many rows hold counts as often as it should and no more rows are
-    chosen for it; a row that repeats with its id counts once. Only their scores reach the driver.
+    Temperature and limits are fitted on all of these rows too; a row that repeats with its id counts
+    once. Scores stay distributed: the driver gets sums of losses and two quantiles per language.
+
+    A caller may bound the fit to about ``calibration_docs`` rows, chosen by a hash of id and text, so
+    that a text many rows hold counts as often as it should.
     """
     model = Model.of(kneser_ney(written(gram_counts(docs), "language-grams")).toArrow())
     if not model.langs:
         return model
     labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL")
+    if calibration_docs is None:
+        _calibrate_all(model, written(_scored(labelled, model), "language-scores"))
+        return model
     share = min(1.0, calibration_docs / max(labelled.count(), 1))
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / F.lit(2.0**53)
-    chosen = labelled.filter(place < share).dropDuplicates(["doc_id", "lang", "text"])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    found = _scored(labelled.filter(place < share), model).collect()
+    if found:
+        _calibrate(model, found)
+    return model
+
+
+def _scored(labelled: DataFrame, model: Model) -> DataFrame:
+    """(truth, cross, length): the number of its language and the cross-entropies of every labelled row with words."""
+    held = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        for batch in batches:
-            total, length = scorer.texts(batch.column(1).to_pylist())
-            cross = total / np.maximum(length, 1)[:, None]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cross.tolist(), pa.list_(pa.float64())), pa.array(length)],
-                names=["lang", "cross", "length"],
-            )
+        number = {lang: k for k, lang in enumerate(held.value.langs)}
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                total, length = scorer.texts(batch.column(3).to_pylist())
+                cross = total / np.maximum(length, 1)[:, None]
+                truth = pa.array([number[lang] for lang in batch.column(2).to_pylist()], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), truth, pa.array(cross.tolist(), pa.list_(pa.float64())), pa.array(length)],
+                    names=["doc_id", "digest", "truth", "cross", "length"],
+                )
+
+    kind = labelled.schema["doc_id"].dataType.simpleString()
+    rows = labelled.select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"), "lang", "text").mapInArrow(
+        run, f"doc_id {kind}, digest string, truth int, cross array<double>, length double"
+    )
+    once = rows.filter("length > 0").dropDuplicates(["doc_id", "truth", "digest"])
+    return once.select("truth", "cross", "length")
 
-    found = [
-        r for r in chosen.select("lang", "text").mapInArrow(run, "lang string, cross array<double>, length double").collect()
-        if r["length"] > 0
-    ]
-    if found:
-        _calibrate(model, found)
-    return model
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    truth, length = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+    return truth, batch.column(1).flatten().to_numpy().reshape(len(truth), -1), length
 
 
 def _calibrate(model: Model, rows: list) -> None:
     cross, length = np.array([r["cross"] for r in rows]), np.array([r["length"] for r in rows])
-    truth = np.array([model.langs.index(r["lang"]) for r in rows])
-    at = np.arange(len(rows))
+    truth, at = np.array([r["truth"] for r in rows]), np.arange(len(rows))
 
     def loss(temperature: float) -> float:
         return float(-np.log(np.maximum(_posterior(cross, length, temperature)[at, truth], 1e-12)).mean())
 
-    model.temperature = min((2.0**k for k in range(-3, 7)), key=loss)
+    model.temperature = min(TEMPERATURES, key=loss)
     score = _posterior(cross, length, model.temperature)[at, truth]
     for k, lang in enumerate(model.langs):
         mine = truth == k
@@ -319,6 +339,37 @@ def _calibrate(model: Model, rows: list) -> None:
             model.limits[lang] = (float(np.quantile(score[mine], 0.01)), float(np.quantile(cross[mine, k], 0.99)))
 
 
+def _calibrate_all(model: Model, rows: DataFrame) -> None:
+    """As ``_calibrate``, on a table of any size."""
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(TEMPERATURES))
+        for batch in batches:
+            truth, cross, length = _columns(batch)
+            at = np.arange(len(truth))
+            for k, temperature in enumerate(TEMPERATURES):
+                sums[k] -= np.log(np.maximum(_posterior(cross, length, temperature)[at, truth], 1e-12)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(sums)), pa.int32()), pa.array(sums)], names=["k", "loss"])
+
+    found = dict(map(tuple, rows.mapInArrow(losses, "k int, loss double").groupBy("k").agg(F.sum("loss")).collect()))
+    if not found:
+        return
+    model.temperature = chosen = TEMPERATURES[min(sorted(found), key=found.__getitem__)]
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            truth, cross, length = _columns(batch)
+            at = np.arange(len(truth))
+            score = _posterior(cross, length, chosen)[at, truth]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(score), pa.array(cross[at, truth])], names=["truth", "score", "cross"]
+            )
+
+    own = written(rows.mapInArrow(scores, "truth int, score double, cross double"), "language-own")
+    for r in group_quantiles(own, ["truth"], ["score", "cross"], [0.01, 0.99]).collect():
+        model.limits[model.langs[r["truth"]]] = (r["score"][0], r["cross"][1])
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy (nats per character) and ``rejected``."""
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -361,3 +361,18 @@ def test_weights_of_a_page_do_not_jump_with_the_number_of_pages(spark):
     nine, ten = found(9), found(10)
     assert nine.keys() == ten.keys()
     assert all(abs(nine[k] - ten[k]) < 0.3 for k in nine)
+
+
+def test_temperature_and_limits_come_from_all_labelled_rows(spark, monkeypatch):
+    """More rows than the sample once had room for; each is scored, and the fit is that of a list of all of them."""
+    rows = [(i, *row[1:]) for i, row in enumerate(languages() * 3)] + [(7_000, "1 2", "en", "s", 0)]
+    docs = corpus.frame(spark, rows + rows[:40])
+    fit, seen = language._calibrate_all, []
+    monkeypatch.setattr(language, "_calibrate_all", lambda model, found: (seen.extend(found.collect()), fit(model, found)))
+    model = language.train(docs)
+    assert len(seen) == len(rows)
+    whole = language.Model(model.langs, model.tables)
+    language._calibrate(whole, seen)
+    assert whole.temperature == model.temperature and whole.limits.keys() == model.limits.keys() != set()
+    for lang, limits in whole.limits.items():
+        assert np.allclose(limits, model.limits[lang], rtol=1e-9)
