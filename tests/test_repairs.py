@@ -161,6 +161,26 @@ def test_draws_are_not_copied_for_every_subject(spark):
     ]
 
 
+def test_copies_of_draws_and_specimens_are_bounded(spark, monkeypatch):
+    """However many specimens read a code: so many copies of its blocks and of the specimens, each pair once."""
+    from abundex.operators.drawblocks import draw_blocks, exploded, spread_blocks
+
+    names = ["a", "sigma", "b_lag", "a_subj[1]", "a_subj[2]", "b_abx2[1,1,1]", "b_abx2[2,1,1]"]
+    rows = [(d, p, 0.25 * d + len(p)) for d in range(24) for p in names]
+    blocks = draw_blocks(spark.createDataFrame(rows, "draw long, parameter string, value double"), 4)
+    effects = spread_blocks(blocks, "b_abx2[i,j,k]")
+    obs = spark.range(400).selectExpr("id AS specimens", "IF(id < 5, 2, 1) AS i", "id / 8D AS D1_lag", "1D AS D1")
+    design = obs.filter("specimens % 3 = 0").selectExpr("specimens", "i", "1 AS j", "1 AS k")
+    dealt = model.in_chunks(obs, 5).groupBy("i").agg(F.countDistinct("_chunk").alias("n"), F.max("_groups").alias("g"))
+    assert sorted(map(tuple, dealt.collect())) == [(1, model.CHUNKS, model.GROUPS), (2, 1, 1)]
+    found = []
+    for chunk, groups in ((5, model.GROUPS), (5, 3), (1_000, 1)):
+        monkeypatch.setattr(model, "GROUPS", groups)
+        mu = model.predictor_blocks(obs, design, effects, blocks, model.VARIANTS["3.5"], chunk=chunk)
+        found.append(sorted(map(tuple, exploded(mu, ["specimens"], ["mu"]).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 400 * 24
+
+
 @pytest.mark.parametrize("replace", [True, False])
 def test_usual_draws_give_what_all_draws_give(spark, replace):
     """Places of each draw as a row, and different ones in the order they are first drawn."""
