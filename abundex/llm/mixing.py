@@ -172,6 +172,33 @@ def _planned(
     )
 
 
+def training_order(copies: DataFrame) -> DataFrame:
+    """The copies (``doc_id``, ``_copy``, ``_at`` and others) with ``place``, their number in training order from 0.
+
+    They are sorted by range of position and written; a range counts on from the rows of those before it.
+    """
+    numbered = copies.orderBy("_at", "doc_id", "_copy").withColumn("_n", F.monotonically_increasing_id())
+    ordered = written(numbered, "ordered").withColumn("_range", F.shiftright("_n", 33))
+    sizes = ordered.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_n").bitwiseAND((1 << 33) - 1)
+    return ordered.join(starts, "_range").withColumn("place", place).drop("_n", "_range", "_start")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: sizes, target, and what the training order has of it: words, first place and position."""
+    rows = docs.select("doc_id", "source", "text").withColumn("_id", F.monotonically_increasing_id())
+    planned = written(plan(rows, ("_id",), **options), "planned")
+    copies = planned.select("_id", "doc_id", F.posexplode("positions").alias("_copy", "_at"))
+    found = training_order(copies).groupBy("_id").agg(
+        F.count("*").alias("_copies"), F.min("place").alias("first_place"), F.min_by("_at", "place").alias("first_position")
+    )
+    taken = F.coalesce("_copies", F.lit(0)) * F.col("size")
+    kept = planned.select("_id", "doc_id", "size", "source_size", "target").join(found, "_id", "left")
+    return kept.withColumn("taken", taken).drop("_id", "_copies")
+
+
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The training order: every taken copy of a document as a row with exactly the columns of ``docs``.
 

@@ -2,7 +2,9 @@
 
 from collections import defaultdict
 
-from abundex.llm import mixing, rules
+from pyspark.sql import functions as F
+
+from abundex.llm import mixing, queries, rules
 from tests.llm import corpus
 
 
@@ -97,3 +99,22 @@ def test_mix_repeats_rows_and_keeps_columns(spark):
     assert mixed.count() == sum(r["copies"] for r in planned)
     assert all(r["taken"] == 0 for r in planned if r["size"] == 0)
     assert mixing.mix(corpus.empty(spark)).count() == 0
+
+
+def test_the_query_reads_the_training_order(spark, monkeypatch, tmp_path):
+    """Copies are numbered in order of position; what the order lacks is not taken."""
+    rows = [(i, "w " * (i % 9), None, f"s{i % 4}", 0) for i in range(300)] * 2
+    docs = corpus.frame(spark, rows)
+    planned = mixing.plan(docs).collect()
+    copies = mixing.plan(docs).select("doc_id", F.posexplode("positions").alias("_copy", "_at"))
+    placed = sorted(mixing.training_order(copies.repartition(7)).collect(), key=lambda r: r["place"])
+    assert [r["place"] for r in placed] == list(range(sum(r["copies"] for r in planned)))
+    assert [r["_at"] for r in placed] == sorted(t for r in planned for t in r["positions"])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_curriculum_mix(spark, str(tmp_path)).collect()
+    want = [(r["doc_id"], r["size"], r["taken"], r["positions"][0] if r["positions"] else None) for r in planned]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["size"], r["taken"], r["first_position"])) for r in got)
+    whole = mixing.training_order
+    monkeypatch.setattr(mixing, "training_order", lambda copies: whole(copies).filter("place < 10"))
+    short = queries.op3_curriculum_mix(spark, str(tmp_path)).collect()
+    assert len(short) == 600 and sum(r["taken"] / r["size"] for r in short if r["taken"]) == 10
