@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from abundex.llm import blocks, bpe, html_main, language, licences, ppm, queries
+from abundex.llm.common import written
 from tests.llm import corpus
 
 
@@ -212,6 +213,16 @@ def test_scores_by_brute_force(spark):
     assert ppm.score(corpus.empty(spark), F.lit(True)).count() == 0
 
 
+def test_scoring_shuffles_a_class_with_its_count(spark, monkeypatch):
+    """An answer is one list a word, and the costs, read once, are not written."""
+    names, found = [], []
+    monkeypatch.setattr(ppm, "written", lambda df, name: names.append(name) or written(df, name))
+    monkeypatch.setattr(ppm, "answered", lambda s, a, f, schema: found.append(a) or blocks.answered(s, a, f, schema))
+    docs = corpus.frame(spark, [(n, text, None, None, 0) for n, text in enumerate(("a b a", "b c", "", "a d"))])
+    assert ppm.score(docs, F.col("doc_id") < 3).count() == 4
+    assert found[-1].columns == ["block", "number", "value", "pairs"] and "ppm-costs" not in names
+
+
 def test_scores_without_training_rows(spark):
     got = ppm.score(corpus.frame(spark, [(1, "ab", None, None, 0), (2, None, None, None, 0)]), F.lit(False)).collect()
     byte, escape = math.log10(1 / 256), math.log10(0.75)
