@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from abundex.functions import quantiles
-from abundex.operators import clean, exposure, model, normalize, posterior
+from abundex.operators import clean, exposure, frame, model, normalize, posterior
 from abundex.session import cut_lineage, shared_dir
 from abundex.sources import tables
 
@@ -202,3 +202,31 @@ def test_usual_draws_give_what_all_draws_give(spark, replace):
         "one", normalize.read_positions(F.col("s"), F.lit(4 * depth + 64), F.col("t"), 1988).alias("all")
     )
     assert all(r["one"] == r["all"] for r in both.collect())
+
+
+def test_a_frame_joins_and_keeps_only_the_history_it_reads(spark, monkeypatch):
+    """What is shuffled beside a specimen are its own day's records, and the lists of one frame are written once."""
+    days = spark.createDataFrame(
+        [("A", n, ["x"]) for n in range(6)] + [("B", 1, ["x", "y"]), ("B", 3, ["y"])],
+        "subject_id string, study_day int, abx array<string>",
+    )
+    samples = spark.createDataFrame(
+        [(n, "A", "1" if n % 2 else "2", n) for n in range(6)] + [(10, "B", "1", 1), (11, "B", "1", 3), (12, "B", "1", 9)],
+        "specimen_id2 int, subject_id string, specimen_type string, study_day int",
+    )
+    diversity = spark.createDataFrame([(n, 1.0 + n) for n in range(12)], "specimen_id2 int, D1 double")
+    wanted = frame.specimen_type_filter(samples, "1")
+    part, whole = exposure.exposure_record(days, 2, wanted=wanted), exposure.exposure_record(days, 2)
+    keys = ["subject_id", "study_day"]
+    assert part.count() == 5
+    assert sorted(map(str, part.collect())) == sorted(map(str, whole.join(wanted.select(*keys), keys, "left_semi").collect()))
+    kept = []
+    monkeypatch.setattr(frame, "cut_lineage", lambda df: kept.append(cut_lineage(df)) or kept[-1])
+    for build, lists in ((frame.gen_continuous, 1), (frame.gen_lag, 3)):
+        kept.clear()
+        one, all_ = (build(samples, diversity, h, "1", min_subjects=1, min_median=1, **({"max_lag": 2} if lists > 1 else {})) for h in (part, whole))
+        assert sorted(map(str, one.rows.collect())) == sorted(map(str, all_.rows.collect())) and one.rows.count() >= 3
+        assert {r["specimens"]: r["D1_lag"] for r in one.obs.collect()} == {3: 2.0, 5: 4.0, 11: 11.0}
+        responses, exposures, subjects = kept[:3]
+        assert {e["day_lag"] for r in responses.collect() for e in r["abx_lagged"]} == set(range(lists))
+        assert exposures.columns[0] == "abx_lag" and subjects.columns == ["subjects"]
