@@ -1,10 +1,12 @@
 """BPE, language models, scores, licences and pages."""
 
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,33 @@ def test_ngrams_do_not_share_entries(spark):
         assert model.filter(f"order = {order} AND is_gram").select("slot").distinct().count() == 5_000
 
 
+def test_block_takes_little_room_besides_its_sequences(monkeypatch):
+    """A word is 4 bytes in its sequence; keys of 8 bytes, copies of them and the block before took over 24 more."""
+    monkeypatch.setattr(blocks, "PACK_WORDS", 1 << 14)
+    docs = type("Docs", (), {"mapInArrow": lambda self, run, schema: run})()
+    run = blocks.block_contexts(docs, ppm.split_words, ppm.context_class, block_chars=700_000)
+    texts = [" ".join(f"w{(i * k) % 97}" for k in range(1_000)) for i in range(1, 401)]
+    rows = pa.RecordBatch.from_arrays(
+        [pa.array(range(400)), pa.array(texts), pa.array([i % 10 > 0 for i in range(400)])], names=["doc_id", "text", "counted"]
+    )
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        made = [sum(map(len, batch.column("lengths").drop_null().to_pylist())) for batch in run(iter([rows]))]
+        taken = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert sum(made) == 400
+    assert taken < 12 * 200_000
+
+
+def test_distinct_numbers_by_parts(monkeypatch):
+    monkeypatch.setattr(blocks, "PACK_WORDS", 5)
+    parts = [np.array(part, np.int64) for part in ([3, 3, 1], [], [0, 7, 3, 7, 2], [9], [1 << 40, 0, 5])]
+    assert blocks.distinct(parts).tolist() == [0, 1, 2, 3, 5, 7, 9, 1 << 40]
+    assert blocks.distinct([]).tolist() == blocks.distinct([np.empty(0, np.int64)]).tolist() == []
+
+
 def test_scores_by_brute_force(spark):
     rows = [(i, corpus.prose(i % 17, 60) + (" again and again" * (i % 3)), None, None, 0) for i in range(60)] + corpus.ODD[:6]
     docs = corpus.frame(spark, rows, clashes=True)
