@@ -1,6 +1,7 @@
 """BPE, language models, scores, licences and pages."""
 
 import math
+import os
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -252,6 +253,109 @@ def test_scoring_shuffles_a_class_with_its_count(spark, monkeypatch):
     assert found[-1].columns == ["block", "number", "value", "pairs"] and "ppm-costs" not in names
 
 
+def test_keys_of_tokens():
+    tokens = ["a", "\n", "wort", "gr\u00fc\u00dfe", "x" * 40, "\n"]
+    want = []
+    for token in tokens:
+        text = b" " + (b"\n" if token == "\n" else (token + " ").encode())
+        for k in range(1, len(text)):
+            context = text[max(0, k - ppm.ORDER) : k]
+            want.append((int.from_bytes(context, "big") << 3 | len(context)) << 8 | text[k])
+    keys, lengths = ppm.token_keys([t.encode() for t in tokens])
+    assert keys.tolist() == want and lengths.tolist() == [2, 1, 5, 8, 41, 1]
+    assert [x.tolist() for x in ppm.token_keys([])] == [[], []]
+
+
+def test_query_spells_every_token(spark, tmp_path, monkeypatch):
+    """Tokens that training texts have are spelled too, and what each level leaves to its escape goes to the shorter one."""
+    rows = [(i, corpus.prose(i % 17, 60) + (" again and again" * (i % 3)), None, None, 0) for i in range(60)] + corpus.ODD[:6]
+    corpus.frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    names = []
+    monkeypatch.setattr(ppm, "written", lambda df, name: names.append((name, written(df, name))) or names[-1][1])
+    got = sorted(map(tuple, queries.op5_byte_ppm(spark, str(tmp_path)).drop("held_out").collect()), key=str)
+    kept = {"ppm-blocks", "ppm-vocabulary", "ppm-spelled"}
+    assert {name for name, _ in names} > kept
+    cost = {r["word"]: r["cost"] / math.log(10) for name, df in names if name == "ppm-spelled" for r in df.collect()}
+    lower = {c: c + 32 for c in range(65, 91)}
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, *_ in rows]
+    tokens = [[*corpus.WORD.findall((t or "").translate(lower)), "\n"] for _, t, *_ in rows]
+    assert set(cost) == {w for x in tokens for w in x}
+    seen = Counter(w for x, h in zip(tokens, held, strict=True) if not h for w in x)
+    total, kinds = sum(seen.values()), len(seen)
+    trie = [defaultdict(Counter) for _ in range(ppm.ORDER + 1)]
+    for word in seen:
+        text = b" " + (b"\n" if word == "\n" else (word + " ").encode())
+        for k in range(1, len(text)):
+            context = text[max(0, k - ppm.ORDER) : k]
+            trie[len(context)][context][text[k]] += 1
+    for size in range(ppm.ORDER - 1, -1, -1):
+        for context, symbols in list(trie[size + 1].items()):
+            for byte in symbols:
+                trie[size][context[1:]][byte] += 1
+    for word in seen:
+        # A token of the training texts has all its longest contexts in the trie.
+        text, want = b" " + (b"\n" if word == "\n" else (word + " ").encode()), 0.0
+        for k in range(1, len(text)):
+            context = text[max(0, k - ppm.ORDER) : k]
+            table = trie[len(context)][context]
+            want += math.log10((2 * table[text[k]] - 1) / (2 * sum(table.values())))
+        assert cost[word] == pytest.approx(want, rel=1e-9)
+
+    def discount(counts):
+        once, twice = (sum(c == n for c in counts) for n in (1, 2))
+        return (once + 1) / (once + 2 * twice + 2)
+
+    follows = defaultdict(Counter)
+    for x, h in zip(tokens, held, strict=True):
+        for before, word in zip([None, *x], x):  # noqa: B905
+            if not h:
+                follows[ppm.context_class(before.encode()) if before else 0][word] += 1
+    less, pair_less = discount(seen.values()), discount([c for x in follows.values() for c in x.values()])
+
+    def probability(before, word):
+        found = (max(seen[word] - less, 0.0) + kinds * less * 10 ** cost[word]) / total
+        if after := follows.get(ppm.context_class(before.encode()) if before else 0):
+            found = (max(after[word] - pair_less, 0.0) + len(after) * pair_less * found) / sum(after.values())
+        return found
+
+    want = []
+    for (i, *_), words in zip(rows, tokens, strict=True):
+        shown, score = Counter(), 0.0
+        for k, word in enumerate(words):
+            found = probability(words[k - 1] if k else None, word)
+            if k:
+                escape = (sum(c == 1 for c in shown.values()) + 0.5) / (k + 1)
+                found = (1 - escape) * shown[word] / k + escape * found
+            score += math.log10(found)
+            shown[word] += 1
+        base = sum(math.log10((seen[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in words)
+        want.append((i, len(words), sum(seen[w] > 0 for w in words), total, base, score))
+    for mine, theirs in zip(got, sorted(want, key=str), strict=True):
+        assert mine[:4] == theirs[:4] and mine[4:] == pytest.approx(theirs[4:], rel=1e-9)
+    for before in [None, *list(seen)[:20]]:
+        assert sum(probability(before, w) for w in cost) <= 1
+    # What the trie was made from is gone, what is read later is not.
+    for name, df in names:
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.exists(path) == (name in kept), name
+
+
+def test_spelling_without_training_rows(spark):
+    docs = corpus.frame(spark, [(1, "ab", None, None, 0), (2, None, None, None, 0)])
+    assert sorted(ppm.score(docs, F.lit(False), spell=True).collect()) == sorted(ppm.score(docs, F.lit(False)).collect())
+    assert ppm.score(corpus.empty(spark), F.lit(True), spell=True).count() == 0
+
+
+def test_keys_are_cut_into_blocks(spark):
+    words = [(w, n % 3) for n, w in enumerate(["\n", *sorted(f"w{n}" for n in range(2_500))])]
+    tokens = spark.createDataFrame(words, "word string, c long").coalesce(1).cache()
+    rows = ppm.block_keys(tokens, block_size=50).filter("packed IS NOT NULL").select("block", "doc_ids", "lengths").collect()
+    assert len({r["block"] for r in rows}) > 1 and sorted(w for r in rows for w in r["doc_ids"]) == [w for w, _ in words]
+    assert {w: n for r in rows for w, n in zip(r["doc_ids"], r["lengths"], strict=True)} == {
+        w: len(w.encode()) + (w != "\n") for w, _ in words
+    }
+
+
 def test_scores_without_training_rows(spark):
     got = ppm.score(corpus.frame(spark, [(1, "ab", None, None, 0), (2, None, None, None, 0)]), F.lit(False)).collect()
     byte, escape = math.log10(1 / 256), math.log10(0.75)
